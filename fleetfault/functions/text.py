@@ -87,9 +87,16 @@ def display_time(ts: Column | str) -> Column:
     return F.when(ts.rlike(pattern), short).otherwise(ts)
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """A number with ``digits`` decimals, rounded from its exact binary value, true ties upwards."""
+    tie = (number * 2 ** (digits + 1)) % 2 == 1
+    nudged = F.when(tie, number + 10.0 ** -(digits + 1)).otherwise(number)
+    return F.regexp_replace(F.format_number(nudged, digits), ",", "")
+
+
 def boot_text(boot_s: Column) -> Column:
     """Seconds since boot as ``boot+1.234s``."""
-    return F.concat(F.lit("boot+"), F.round(boot_s, 3).cast("decimal(18,3)").cast("string"), F.lit("s"))
+    return F.concat(F.lit("boot+"), fixed(boot_s.cast("double"), 3), F.lit("s"))
 
 
 def exact_words(text: Column, words: list[str]) -> Column:

@@ -40,13 +40,12 @@ def flatten_conversation(
 def _candidate(text: Column, pattern: str, group: int) -> tuple[Column, Column]:
     """An object with an ``insights`` array, or a bare array, at one spot of the text."""
     found = F.trim(capture(text, pattern, group), F.lit(" \n\r\t"))
-    is_array = found.startswith("[")
-    holder = F.from_json(found, f"struct<insights:string,_bad:string>", {"columnNameOfCorruptRecord": "_bad"})
-    listed = F.startswith(F.ltrim(holder["insights"]), F.lit("["))
-    whole = F.from_json(found, ANSWER)
-    as_object = F.when(~is_array & listed & holder["_bad"].isNull(), whole)
+    # The reader stops after the first value; wrapped in a list, text behind it is an error.
+    one = F.coalesce(F.size(F.from_json(F.concat(F.lit("["), found, F.lit("]")), "array<string>")) == 1, F.lit(False))
+    listed = F.ltrim(F.get_json_object(found, "$.insights")).startswith("[")
+    as_object = F.when(one & found.startswith("{") & listed, F.from_json(found, ANSWER))
     # from_json would wrap an object into an array, so arrays must start as one.
-    items = F.when(is_array & F.from_json(found, "array<string>").isNotNull(), F.from_json(found, f"array<{ITEM}>"))
+    items = F.when(one & found.startswith("["), F.from_json(found, f"array<{ITEM}>"))
     return as_object, items
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fleetfault.functions import wording
 from fleetfault.functions.kernel_rules import allow_rule
 from fleetfault.functions.reasons import label, trace_severity
-from fleetfault.functions.text import display_time
+from fleetfault.functions.text import display_time, fixed
 from fleetfault.operators.ordering import ordered_text, top_rows, with_position
 from fleetfault.operators.timeline import kernel_time
 
@@ -222,7 +222,7 @@ def resource_findings(
     memory: DataFrame, mem_top: DataFrame, cpu: DataFrame, cpu_top: DataFrame, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     consumers = F.coalesce("_names", F.lit("N/A"))
-    size = F.format_string("%.0f", F.col("pss_kb") / 1024)
+    size = fixed(F.col("pss_kb") / 1024, 0)
     mem_names = _top_three(mem_top, keys, F.concat("process_name", F.lit(" ("), size, F.lit(" MB)")))
     share = F.col("free_kb") / F.nullif(F.col("total_kb"), F.lit(0))
     low = memory.where(share < 0.1).join(mem_names, list(keys), "left")
@@ -230,8 +230,8 @@ def resource_findings(
     mem = _rows(
         low, keys, 3, [F.lit(0)], severity="warning", category="memory", title="Low available memory",
         description=F.concat(
-            F.format_string("Only %.1f%% of RAM is free (%.1f GB used / %.1f GB total). Top consumers: ",
-                            share * 100, F.col("used_kb") / gb, F.col("total_kb") / gb), consumers, F.lit(".")),
+            F.lit("Only "), fixed(share * 100, 1), F.lit("% of RAM is free ("), fixed(F.col("used_kb") / gb, 1),
+            F.lit(" GB used / "), fixed(F.col("total_kb") / gb, 1), F.lit(" GB total). Top consumers: "), consumers, F.lit(".")),
         source="cross", debug_commands=_commands(wording.MEMORY_COMMANDS),
     )
     cpu_names = _top_three(cpu_top, keys, F.concat("process_name", F.lit(" ("), _plain(F.col("cpu_percent")), F.lit("%)")))

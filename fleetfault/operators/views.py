@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetfault.functions.text import fixed
 from fleetfault.operators.ordering import top_rows
 
 KEYS = ("report_id",)
@@ -68,7 +69,7 @@ def fleet_bands(health: DataFrame) -> DataFrame:
 
 
 def gigabytes(kb: Column) -> Column:
-    return F.round(kb / 1048576, 1)
+    return fixed(kb / 1048576, 1)
 
 
 def uptime_text(seconds: Column) -> Column:
