@@ -28,6 +28,17 @@ def fields(text: Column | str, pattern: str, groups: list[int]) -> Column:
     return F.when((F.size(parts) == len(groups) + 2) & (parts[0] == "") & (parts[1] == ""), F.slice(parts, 3, len(groups)))
 
 
+def computed(value: Column) -> Column:
+    """Evaluate ``value`` once per row.  Without this the optimizer copies a long CASE
+    into every place that reads one of its fields; a generator is never copied."""
+    return F.explode(F.array(value))
+
+
+def computed_rows(value: Column) -> Column:
+    """As ``computed``, and rows where ``value`` is null vanish."""
+    return F.explode(F.array_compact(F.array(value)))
+
+
 def trimmed(text: Column | str) -> Column:
     """Strip every kind of white space, not only blanks."""
     return F.regexp_replace(col(text), r"^\s+|\s+\z", "")

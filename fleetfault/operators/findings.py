@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fleetfault.functions import wording
 from fleetfault.functions.kernel_rules import allow_rule
 from fleetfault.functions.reasons import label, trace_severity
-from fleetfault.functions.text import display_time, fixed
+from fleetfault.functions.text import computed, display_time, fixed
 from fleetfault.operators.ordering import ordered_text, top_rows, with_position
 from fleetfault.operators.timeline import kernel_time
 
@@ -99,8 +99,10 @@ def kernel_findings(events: DataFrame, epochs: DataFrame, keys: Sequence[str] =
     }
     rule = F.when(F.col("type") == "selinux_denial", allow_rule(d))
     told = _texts(F.col("type"), wording.KERNEL_FINDINGS, values)
+    rows = events.join(epochs, list(keys), "left").select("*", computed(F.struct(told.alias("told"), rule.alias("rule"))).alias("c"))
+    told, rule = F.col("c.told"), F.col("c.rule")
     return _rows(
-        events.join(epochs, list(keys), "left"), keys, 2, [F.lit(0), F.col("entry_idx")],
+        rows, keys, 2, [F.lit(0), F.col("entry_idx")],
         severity=F.col("severity"), category=_category(F.col("type"), wording.KERNEL_FINDINGS), title=F.col("summary"),
         description=F.concat(told, F.coalesce(F.concat(F.lit("\nSuggested allow rule: "), rule), F.lit(""))),
         snippet=F.col("raw"), ts_text=kernel_time(F.col("boot_ms"), F.col("boot_s")), source="kernel",

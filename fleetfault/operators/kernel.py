@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetfault.functions.kernel_rules import kernel_event, worth_checking
-from fleetfault.functions.text import fields
+from fleetfault.functions.text import computed_rows, fields
 
 KEYS = ("report_id",)
 
@@ -20,11 +20,11 @@ def parse_kernel(
     lines: DataFrame, keys: Sequence[str] = KEYS, order: str = "line_no", text: str = "raw"
 ) -> DataFrame:
     """Entries in line order (``entry_idx`` is the line number); other lines are dropped.  Row-local."""
-    parsed = lines.select(*keys, F.col(order).cast("long").alias("entry_idx"), F.col(text).alias("raw")).withColumn(
-        "p", fields("raw", LINE, [1, 2, 3])
+    parsed = lines.select(*keys, F.col(order).cast("long").alias("entry_idx"), F.col(text).alias("raw")).select(
+        "*", computed_rows(fields("raw", LINE, [1, 2, 3])).alias("p")
     )
     level = F.col("p")[0]
-    return parsed.where("p is not null").select(
+    return parsed.select(
         *keys, "entry_idx",
         F.col("p")[1].cast("decimal(18,6)").alias("boot_s"),
         F.when(level == "", "").otherwise(F.concat(F.lit("<"), level, F.lit(">"))).alias("level"),
@@ -34,5 +34,7 @@ def parse_kernel(
 
 def detect_events(entries: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """At most one event per entry: the first rule that holds.  Row-local."""
-    found = entries.where(worth_checking(F.col("message"))).withColumn("k", kernel_event(F.col("message")))
-    return found.where("k is not null").select(*keys, "entry_idx", "k.*", "boot_s", "message", "raw")
+    found = entries.where(worth_checking(F.col("message"))).select(
+        "*", computed_rows(kernel_event(F.col("message"))).alias("k")
+    )
+    return found.select(*keys, "entry_idx", "k.*", "boot_s", "message", "raw")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfault.functions.log_rules import log_anomaly, tag_class, worth_checking
-from fleetfault.functions.text import capture, fields, log_time_ms, trimmed, whole
+from fleetfault.functions.text import capture, computed, computed_rows, fields, log_time_ms, trimmed, whole
 from fleetfault.operators.dedup import anchored_groups
 from fleetfault.operators.ordering import ordered_text, scan, top_rows
 
@@ -48,8 +48,8 @@ def parse_log(
     """Entries with a dense 1-based ``entry_idx`` per report; indented lines that
     match no entry are appended to the entry before them."""
     raw = F.col(text)
-    marked = lines.select(*keys, F.col(order).cast("long").alias("line_no"), raw.alias("raw")).withColumn(
-        "e", parse_line("raw")
+    marked = lines.select(*keys, F.col(order).cast("long").alias("line_no"), raw.alias("raw")).select(
+        "*", computed(parse_line("raw")).alias("e")
     )
     head = F.col("e").isNotNull()
     used = marked.where(head | _continues(F.col("raw"))) if stitch else marked.where(head)
@@ -104,10 +104,10 @@ def process_name(message: Column) -> Column:
 
 def detect_anomalies(entries: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """At most one anomaly per entry: the first rule that holds.  Row-local."""
-    found = entries.where(worth_checking(F.col("tag"), F.col("message"))).withColumn(
-        "a", log_anomaly(F.col("tag"), F.col("message"))
+    found = entries.where(worth_checking(F.col("tag"), F.col("message"))).select(
+        "*", computed_rows(log_anomaly(F.col("tag"), F.col("message"))).alias("a")
     )
-    return found.where("a is not null").select(
+    return found.select(
         *keys, "entry_idx", "a.type", "a.severity", "ts_text", "ms", "pid",
         process_name(F.col("message")).alias("process_name"), "a.summary",
     )

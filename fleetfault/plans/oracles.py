@@ -186,7 +186,7 @@ oracle("trace_frames", TH, FACTS, FR,
        "SELECT report_id, trace_id, class_name, method_name, file_name, CAST(line_number AS BIGINT) AS line_number, is_native, raw FROM fr")
 oracle("trace_locks", TH,
        "SELECT report_id, trace_id, '0x0' || tid AS address, 'com.app.Lock' AS class_name FROM th WHERE i % 4 = 1")
-oracle("thread_texts", TH, f"""SELECT report_id, trace_id, CAST(sum(length(array_to_string(list_filter([{', '.join(sql(x) for x in b.TRACE_LINES[3:])}], x -> x IS NOT NULL), chr(10)))) AS BIGINT) AS chars,
+oracle("thread_texts", TH, f"""SELECT report_id, trace_id, CAST(sum(length(concat_ws(chr(10), {', '.join(sql(x) for x in b.TRACE_LINES[3:])}))) AS BIGINT) AS chars,
   count(*) AS threads FROM th GROUP BY 1, 2""")
 oracle("hot_frames", TH, FACTS, FR, "SELECT report_id, func AS function, count(*) AS count FROM fr GROUP BY 1, 2")
 oracle("frame_kinds", TH, FACTS, FR,
@@ -401,12 +401,12 @@ oracle("tag_findings", LOGS, ENTRIES, _tags(20), """SELECT report_id, 'Top Error
 KTIME = """uptimes AS (SELECT report_id, arg_max(boot_s, entry_idx) AS uptime_s FROM kentries GROUP BY 1),
   ktimed AS (SELECT f.*, CASE WHEN f.report_id IN ('r0', 'r1', 'r2') THEN strftime(make_timestamp_ms(CAST(floor(
       CAST(epoch_ms(TIMESTAMP '2024-02-01 00:00:00') AS DECIMAL(24,3)) + 86400000 * CAST(substr(f.report_id, 2) AS INT) - CAST(uptime_s * 1000 AS DECIMAL(24,3)) + CAST(boot_s * 1000 AS DECIMAL(24,3))) AS BIGINT)), '%m-%d %H:%M:%S.%g')
-    ELSE 'boot+' || printf('%.3f', CAST(boot_text AS DOUBLE)) || 's' END AS at FROM kfound f JOIN uptimes USING (report_id))"""
+    ELSE 'boot+' || printf('%.3f', CAST(boot_text AS DOUBLE)) || 's' END AS happened FROM kfound f JOIN uptimes USING (report_id))"""
 _SRC = "CASE kind WHEN 13 THEN 'u:r:dom' || u || ':s0' WHEN 15 THEN 'odd' ELSE 'unknown' END"
 _TGT = "CASE WHEN kind IN (13, 15) THEN 'u:object_r:typ:s0' ELSE 'unknown' END"
 KFIND = f"""kfind AS (SELECT report_id, entry_idx, severity, category, summary AS title,
   replace(replace(replace(replace(replace(replace(template, '{{name}}', coalesce(victim, '')), '{{pid}}', coalesce(victim_pid, '')), '{{message}}', message), '{{heat}}', coalesce(' Temperature: ' || temperature || '°C.', '')),
-    '{{source}}', {_SRC}), '{{target}}', {_TGT}) || coalesce(chr(10) || 'Suggested allow rule: ' || rule, '') AS description, at AS ts_text, rule AS allow_rule, commands FROM ktimed)"""
+    '{{source}}', {_SRC}), '{{target}}', {_TGT}) || coalesce(chr(10) || 'Suggested allow rule: ' || rule, '') AS description, happened AS ts_text, rule AS allow_rule, commands FROM ktimed)"""
 _KF = [*_KBASE, KTIME, KFIND]
 oracle("kernel_findings", *_KF, "SELECT * FROM kfind")
 DENIED = """denied AS (SELECT report_id, CAST(0 AS BIGINT) AS o1, entry_idx AS o2, severity, category, title, description FROM kfind WHERE NOT starts_with(title, 'SELinux denial:')
@@ -430,7 +430,7 @@ def _runs(source: str, order: str) -> str:
 _RUNS = """SELECT report_id, min(pos) AS seq, arg_min(ts_text, pos) AS ts_text, any_value(source) AS source, any_value(severity) AS severity, any_value(label) AS label,
   arg_min(details, pos) FILTER (opens = 1) AS details, CASE WHEN count(*) > 1 THEN count(*) END AS count, CASE WHEN count(*) > 1 THEN arg_min(ts_text, pos) || ' ~ ' || arg_max(ts_text, pos) END AS time_range FROM islands GROUP BY report_id, island"""
 ALLROWS = """allrows AS (SELECT report_id, 0 AS source_rank, entry_idx AS s, ts_text, 'logcat' AS source, severity, summary AS label, process_name AS details FROM found
-  UNION ALL SELECT report_id, 1, entry_idx, at, 'kernel', severity, summary, NULL FROM ktimed
+  UNION ALL SELECT report_id, 1, entry_idx, happened, 'kernel', severity, summary, NULL FROM ktimed
   UNION ALL SELECT report_id, 2, t, substr(ts_text, 6), 'anr', CASE WHEN reason = 'idle_main_thread' THEN 'info' ELSE 'critical' END, 'ANR: ' || l.label || ' in ' || process_name, 'Confidence: ' || confidence FROM sure JOIN labels_of l USING (reason) WHERE role = 'main'
   UNION ALL SELECT report_id, 3, s_suppkey, '02-03 10:00:00.' || substr(hexa, 1, 3), 'tombstone', 'critical', summary, library FROM crashed),
   positioned AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY starts_with(ts_text, 'boot+'), ts_text, source_rank, s) - 1 AS pos FROM allrows)"""
@@ -488,10 +488,10 @@ oracle("kernel_context", *_KBASE, INS, f"""khits AS (SELECT i.report_id, i.insig
   around AS (SELECT m.report_id, m.boot_s, e.raw FROM moments m JOIN kentries e ON e.report_id = m.report_id AND abs(e.boot_s - m.boot_s) <= {NEAR_S} QUALIFY row_number() OVER (PARTITION BY m.report_id, m.boot_s ORDER BY e.entry_idx) <= 20)""",
   """SELECT DISTINCT report_id, insight_no, text, CAST(1 AS BIGINT) AS n FROM (SELECT report_id, insight_no, raw AS text FROM kevery UNION ALL SELECT k.report_id, k.insight_no, a.raw FROM kevery k JOIN around a ON a.report_id = k.report_id AND a.boot_s = k.boot_s)""")
 oracle("temporal_context", LOGS, ENTRIES, f"""moments AS (SELECT 'r' || CAST(o_custkey % 4 AS VARCHAR) AS report_id, o_orderkey AS insight_no,
-    epoch_ms(strptime('2000-01-' || lpad(CAST(1 + o_custkey % 30 AS VARCHAR), 2, '0') || ' 0' || o_orderkey % 10 || ':00:00', '%Y-%m-%d %H:%M:%S')) AS at FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 30 <> 9),
-  near AS (SELECT m.report_id, m.at, e.entry_idx, e.raw, row_number() OVER (PARTITION BY m.report_id, m.at ORDER BY e.entry_idx) AS ord FROM (SELECT DISTINCT report_id, at FROM moments) m
-    JOIN entries e ON e.report_id = m.report_id AND e.ms BETWEEN m.at - {NEAR_MS} AND m.at + {NEAR_MS} AND e.level IN ('W', 'E', 'F') QUALIFY ord <= 20)""",
-  "SELECT report_id, insight_no, ord, raw AS text FROM moments JOIN near USING (report_id, at)")
+    epoch_ms(strptime('2000-01-' || lpad(CAST(1 + o_custkey % 30 AS VARCHAR), 2, '0') || ' 0' || o_orderkey % 10 || ':00:00', '%Y-%m-%d %H:%M:%S')) AS moment FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 30 <> 9),
+  near AS (SELECT m.report_id, m.moment, e.entry_idx, e.raw, row_number() OVER (PARTITION BY m.report_id, m.moment ORDER BY e.entry_idx) AS ord FROM (SELECT DISTINCT report_id, moment FROM moments) m
+    JOIN entries e ON e.report_id = m.report_id AND e.ms BETWEEN m.moment - {NEAR_MS} AND m.moment + {NEAR_MS} AND e.level IN ('W', 'E', 'F') QUALIFY ord <= 20)""",
+  "SELECT report_id, insight_no, ord, raw AS text FROM moments JOIN near USING (report_id, moment)")
 oracle("trace_choice", TH, INS, """heads AS (SELECT report_id, trace_id, t, process_name, pid FROM th WHERE i = 0)""", """SELECT i.report_id, i.insight_no,
   coalesce((SELECT arg_min(trace_id, t) FROM heads h WHERE h.report_id = i.report_id AND (contains(replace(i.title, '.u', '.p'), h.process_name) OR contains(replace(i.title, '.u', '.p'), 'pid ' || h.pid))),
     (SELECT arg_min(trace_id, t) FROM heads h WHERE h.report_id = i.report_id)) AS trace_id FROM ins i""")
