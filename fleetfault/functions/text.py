@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
@@ -17,17 +17,6 @@ def capture(text: Column | str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(col(text), pattern, group), F.lit(""))
 
 
-def fields(text: Column | str, pattern: str, groups: list[int]) -> Column:
-    """Several groups of one pattern as an array, matching only once per row.
-
-    ``pattern`` must cover the whole text.  Null when it does not match.
-    """
-    mark = "\u0001"
-    reply = mark + mark + mark.join(f"${g}" for g in groups)
-    parts = F.split(F.regexp_replace(col(text), F.lit(pattern), F.lit(reply)), mark, len(groups) + 2)
-    return F.when((F.size(parts) == len(groups) + 2) & (parts[0] == "") & (parts[1] == ""), F.slice(parts, 3, len(groups)))
-
-
 def computed(value: Column) -> Column:
     """Evaluate ``value`` once per row.  Without this the optimizer copies a long CASE
     into every place that reads one of its fields; a generator is never copied."""
@@ -39,6 +28,20 @@ def computed_rows(value: Column) -> Column:
     return F.explode(F.array_compact(F.array(value)))
 
 
+def with_fields(df: DataFrame, text: Column | str, pattern: str, groups: list[int], out: str) -> DataFrame:
+    """Adds several groups of one pattern as an array, matching each text only once.
+
+    ``pattern`` must cover the whole text.  Null when it does not match.
+    """
+    mark = "\u0001"
+    reply = mark + mark + mark.join(f"${g}" for g in groups)
+    parts = F.split(F.regexp_replace(col(text), F.lit(pattern), F.lit(reply)), mark, len(groups) + 2)
+    split = df.select("*", computed(parts).alias("_parts"))
+    p = F.col("_parts")
+    whole_match = (F.size(p) == len(groups) + 2) & (p[0] == "") & (F.get(p, 1) == "")
+    return split.withColumn(out, F.when(whole_match, F.slice(p, 3, len(groups)))).drop("_parts")
+
+
 def trimmed(text: Column | str) -> Column:
     """Strip every kind of white space, not only blanks."""
     return F.regexp_replace(col(text), r"^\s+|\s+\z", "")

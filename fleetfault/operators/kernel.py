@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetfault.functions.kernel_rules import kernel_event, worth_checking
-from fleetfault.functions.text import computed_rows, fields
+from fleetfault.functions.text import computed_rows, with_fields
 
 KEYS = ("report_id",)
 
@@ -20,9 +20,8 @@ def parse_kernel(
     lines: DataFrame, keys: Sequence[str] = KEYS, order: str = "line_no", text: str = "raw"
 ) -> DataFrame:
     """Entries in line order (``entry_idx`` is the line number); other lines are dropped.  Row-local."""
-    parsed = lines.select(*keys, F.col(order).cast("long").alias("entry_idx"), F.col(text).alias("raw")).select(
-        "*", computed_rows(fields("raw", LINE, [1, 2, 3])).alias("p")
-    )
+    rows = lines.select(*keys, F.col(order).cast("long").alias("entry_idx"), F.col(text).alias("raw"))
+    parsed = with_fields(rows, "raw", LINE, [1, 2, 3], "p").where("p is not null")
     level = F.col("p")[0]
     return parsed.select(
         *keys, "entry_idx",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfault.functions.log_rules import log_anomaly, tag_class, worth_checking
-from fleetfault.functions.text import capture, computed, computed_rows, fields, log_time_ms, trimmed, whole
+from fleetfault.functions.text import capture, computed_rows, log_time_ms, trimmed, whole, with_fields
 from fleetfault.operators.dedup import anchored_groups
 from fleetfault.operators.ordering import ordered_text, scan, top_rows
 
@@ -21,21 +21,20 @@ LINE = (
 )
 
 
-def parse_line(text: Column | str) -> Column:
-    """``struct(ts_text, ms, pid, tid, level, tag, message)`` or null; row-local."""
-    parts = fields(text, LINE, [1, 2, 3, 4, 5, 6])
-    return F.when(
-        parts.isNotNull(),
-        F.struct(
-            parts[0].alias("ts_text"),
-            log_time_ms(parts[0]).alias("ms"),
-            whole(parts[1]).alias("pid"),
-            whole(parts[2]).alias("tid"),
-            parts[3].alias("level"),
-            trimmed(parts[4]).alias("tag"),
-            parts[5].alias("message"),
-        ),
+def with_entry(lines: DataFrame, text: str = "raw", out: str = "e") -> DataFrame:
+    """Adds ``struct(ts_text, ms, pid, tid, level, tag, message)`` or null; row-local."""
+    p = F.col("_f")
+    entry = F.struct(
+        p[0].alias("ts_text"),
+        log_time_ms(p[0]).alias("ms"),
+        whole(p[1]).alias("pid"),
+        whole(p[2]).alias("tid"),
+        p[3].alias("level"),
+        trimmed(p[4]).alias("tag"),
+        p[5].alias("message"),
     )
+    found = with_fields(lines, text, LINE, [1, 2, 3, 4, 5, 6], "_f")
+    return found.withColumn(out, F.when(p.isNotNull(), entry)).drop("_f")
 
 
 def _continues(text: Column) -> Column:
@@ -48,9 +47,7 @@ def parse_log(
     """Entries with a dense 1-based ``entry_idx`` per report; indented lines that
     match no entry are appended to the entry before them."""
     raw = F.col(text)
-    marked = lines.select(*keys, F.col(order).cast("long").alias("line_no"), raw.alias("raw")).select(
-        "*", computed(parse_line("raw")).alias("e")
-    )
+    marked = with_entry(lines.select(*keys, F.col(order).cast("long").alias("line_no"), raw.alias("raw")))
     head = F.col("e").isNotNull()
     used = marked.where(head | _continues(F.col("raw"))) if stitch else marked.where(head)
     counted = scan(used, keys, "line_no", total={"entry_idx": head.cast("long")})

@@ -46,7 +46,7 @@ def first_within(
     order: str,
     radius: int,
     k: int,
-    base: int = 16,
+    base: int = 64,
 ) -> DataFrame:
     """For each distinct ``(keys, at)`` the first ``k`` values, by ``order``, whose
     ``when`` lies within ``radius``.  ``at`` and ``when`` are whole numbers in one unit."""

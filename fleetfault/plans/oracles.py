@@ -316,7 +316,7 @@ oracle("cpu_summary", SN, CPUSUM, "SELECT report_id, CAST(busy AS DOUBLE) AS tot
 CPUTOP = "cputop AS (SELECT report_id, report, load + 0.5::DOUBLE AS cpu_percent, c_custkey + 10 AS pid, 'com.c' || c_custkey AS process_name, row_number() OVER (PARTITION BY report_id ORDER BY load DESC, i) AS rank FROM sn QUALIFY rank <= 10)"
 oracle("cpu_processes", SN, CPUTOP, "SELECT report_id, cpu_percent, pid, process_name, CAST(rank AS INT) AS rank FROM cputop")
 oracle("resource_findings", SN, MEMTOP, CPUSUM, CPUTOP, """
-SELECT s.report_id, 'warning' AS severity, 'memory' AS category, 'Low available memory' AS title, 'Only ' || printf('%.1f', CASE WHEN (free * 4) % 100 IN (25, 75) AND false THEN 0 ELSE (free::DOUBLE / 10000) * 100 END) || '% of RAM is free (0.0 GB used / 0.0 GB total). Top consumers: '
+SELECT s.report_id, 'warning' AS severity, 'memory' AS category, 'Low available memory' AS title, 'Only ' || printf('%.1f', CASE WHEN ((free::DOUBLE / 10000) * 100 * 4) % 2 = 1 THEN (free::DOUBLE / 10000) * 100 + 0.01 ELSE (free::DOUBLE / 10000) * 100 END) || '% of RAM is free (0.0 GB used / 0.0 GB total). Top consumers: '
   || (SELECT string_agg(process_name || ' (' || printf('%.0f', CASE WHEN pss_kb % 1024 = 512 THEN pss_kb / 1024.0 + 0.1 ELSE pss_kb / 1024.0 END) || ' MB)', ', ' ORDER BY rank) FROM memtop m WHERE m.report = s.report AND rank <= 3) || '.' AS description FROM sn s WHERE i = 0 AND free < 1000
 UNION ALL SELECT report_id, 'warning', 'performance', 'High CPU usage', 'Total CPU usage is ' || busy || '% (40% user + 20.5% kernel). Top consumers: '
   || (SELECT string_agg(process_name || ' (' || CAST(cpu_percent AS VARCHAR) || '%)', ', ' ORDER BY rank) FROM cputop m WHERE m.report = c.report AND rank <= 3) || '.' FROM cpusum c WHERE busy > 80

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -77,17 +78,27 @@ def expand_archives(archives: DataFrame, block_bytes: int = BLOCK_BYTES) -> Data
     bounded by one archive plus one block.  A broken archive gives one ``error`` row.
     """
     names = [c.split()[0] for c in BLOCKS.split(", ")]
+    batch_bytes = 4 * BLOCK_BYTES
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 report = path.rsplit("/", 1)[-1].removesuffix(".zip")
                 try:
-                    for row in _open(report, bytes(content), block_bytes):
-                        yield pd.DataFrame([row], columns=names)
-                except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError, OSError) as problem:
-                    failed = dict.fromkeys(names) | {"report_id": report, "error": str(problem) or type(problem).__name__}
-                    yield pd.DataFrame([failed], columns=names)
+                    yield from _open(report, bytes(content), block_bytes)
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError) as problem:
+                    yield dict.fromkeys(names) | {"report_id": report, "error": str(problem) or type(problem).__name__}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for row in rows(batches):
+            held.append(row)
+            size += len(row["text"] or "") + len(row["content"] or b"")
+            if size >= batch_bytes or len(held) >= 4096:
+                yield pd.DataFrame(held, columns=names)
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return archives.select("path", "content").mapInPandas(run, BLOCKS)
 
