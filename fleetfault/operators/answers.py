@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetfault.functions.text import capture
+from fleetfault.functions.text import capture, computed
 from fleetfault.operators.ordering import ordered_text
 
 # Shape of an answer.
@@ -37,15 +37,14 @@ def flatten_conversation(
     return final.join(history, list(keys), "left").select(*keys, F.concat(lead, "_final").alias(out))
 
 
-def _candidate(text: Column, pattern: str, group: int) -> tuple[Column, Column]:
-    """An object with an ``insights`` array, or a bare array, at one spot of the text."""
-    found = F.trim(capture(text, pattern, group), F.lit(" \n\r\t"))
+def _candidate(found: Column) -> tuple[Column, Column]:
+    """An object with an ``insights`` array, or a bare array, in one cut of the text."""
     # The reader stops after the first value; wrapped in a list, text behind it is an error.
-    one = F.coalesce(F.size(F.from_json(F.concat(F.lit("["), found, F.lit("]")), "array<string>")) == 1, F.lit(False))
+    one = F.size(F.from_json(F.concat(F.lit("["), found, F.lit("]")), "array<string>")) == 1
     listed = F.ltrim(F.get_json_object(found, "$.insights")).startswith("[")
-    as_object = F.when(one & found.startswith("{") & listed, F.from_json(found, ANSWER))
+    as_object = F.when(found.startswith("{") & listed & one, F.from_json(found, ANSWER))
     # from_json would wrap an object into an array, so arrays must start as one.
-    items = F.when(one & found.startswith("["), F.from_json(found, f"array<{ITEM}>"))
+    items = F.when(found.startswith("[") & one, F.from_json(found, f"array<{ITEM}>"))
     return as_object, items
 
 
@@ -57,10 +56,12 @@ def parse_answers(outputs: DataFrame, keys: Sequence[str], text: str = "content"
         F.lit(None).cast(ANSWER.split("correlationFindings:")[1].split(",prioritizedActions:")[0]).alias("correlationFindings"),
         F.lit(None).cast(ANSWER.split("prioritizedActions:")[1].split(",insights:")[0]).alias("prioritizedActions"),
     ]
-    for pattern, group in SPOTS:
-        as_object, items = _candidate(F.col(text), pattern, group)
+    cuts = F.array(*[F.trim(capture(text, p, g), F.lit(" \n\r\t")) for p, g in SPOTS])
+    for i in range(len(SPOTS)):
+        as_object, items = _candidate(F.col("_cuts")[i])
         found += [as_object, F.when(items.isNotNull(), F.struct(*empty, *lists, items.alias("insights")))]
-    return outputs.select(*keys, F.coalesce(*found).alias(out))
+    cut = outputs.select(*keys, computed(cuts).alias("_cuts"))
+    return cut.select(*keys, computed(F.coalesce(*found)).alias(out))
 
 
 def deep_insights(insights: DataFrame, answers: DataFrame, keys: Sequence[str] = ("report_id",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Pointer doubling: after ``r`` rounds a node knows who stands ``2**r`` steps
 ahead, so a chain of ``n`` nodes needs ``log2(n)`` joins and no task ever holds
-a whole graph.  Every second round is written, or the plan would double with it.
+a whole graph.  Every third round is written, or the plan would double with it.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def cycle_nodes(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     def twice(h: DataFrame) -> DataFrame:
         return _ahead(h, h, keys).select(*keys, "node", F.col("_to").alias("to"), F.least("low", "_low").alias("low"))
 
-    for _ in range(0, _rounds(hops, keys), 2):
-        hops = materialize(twice(twice(hops)))
+    for _ in range(0, _rounds(hops, keys), 3):
+        hops = materialize(twice(twice(twice(hops))))
         if hops.isEmpty():  # every chain has ended: no cycle anywhere
             break
     ends = hops.select(*keys, F.col("to").alias("node")).distinct()
@@ -61,8 +61,8 @@ def steps_to(edges: DataFrame, stops: DataFrame, keys: Sequence[str]) -> DataFra
             *keys, "node", F.col("_to").alias("to"), (F.col("steps") + F.col("_steps")).alias("steps")
         )
 
-    for _ in range(0, _rounds(state, keys), 2):
-        state = materialize(twice(twice(state)))
+    for _ in range(0, _rounds(state, keys), 3):
+        state = materialize(twice(twice(twice(state))))
     reached = stops.select(*keys, F.col("node").alias("to"))
     return state.join(reached, [*keys, "to"], "left_semi").select(*keys, "node", F.col("to").alias("stop"), "steps")
 

@@ -14,7 +14,7 @@ from fleetfault.operators import (
     views,
 )
 from fleetfault.plans import bindings as b
-from fleetfault.session import materialize
+from fleetfault.session import materialize, prepare
 from fleetfault.sources import archives, sections
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,10 @@ KERNEL_TYPES = [r[0] for r in KERNEL_RULES]
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return build(prepare(spark), folder)
+
+    QUERIES[build.__name__] = run
     return build
 
 
@@ -670,7 +673,7 @@ def matching_anomalies_any_process(spark, folder):
 def kernel_context(spark, folder):
     entries = materialize(_kernel(spark, folder))
     rows = context.kernel_context(
-        _insights(spark, folder), kernel.detect_events(entries), entries, KERNEL_TYPES, radius_s=NEAR_S
+        _insights(spark, folder), materialize(kernel.detect_events(entries)), entries, KERNEL_TYPES, radius_s=NEAR_S
     )
     return context.distinct_lines(rows).groupBy("report_id", "insight_no", "text").agg(F.count(F.lit(1)).alias("n"))
 

@@ -9,7 +9,7 @@ from fleetfault.functions.kernel_rules import KERNEL_RULES
 from fleetfault.functions.log_rules import LOG_RULES
 from fleetfault.operators import context as ctx
 from fleetfault.operators import crashes, findings, health, kernel, logs, snapshots, timeline, traces
-from fleetfault.session import materialize
+from fleetfault.session import materialize, prepare
 from fleetfault.sources import archives, sections
 
 LOG_TYPES = [r[0] for r in LOG_RULES]
@@ -23,6 +23,7 @@ def typed_tables(blocks: DataFrame) -> dict[str, DataFrame]:
     so that archives are opened once.  Tables that later steps read several times are
     written once here.
     """
+    prepare(blocks.sparkSession)
     t: dict[str, DataFrame] = {
         "members": materialize(archives.members(blocks)), "rejects": materialize(archives.rejects(blocks))
     }
