@@ -67,9 +67,13 @@ LOG_ENTRY = "ts_text || '  ' || CAST(pid AS STRING) || '  ' || CAST(tid AS STRIN
 LOG_RAW = f"CASE shape WHEN 'tail' THEN {LOG_TAIL} WHEN 'stray' THEN {LOG_STRAY} ELSE {LOG_ENTRY} END"
 
 
+def as_log_lines(events: DataFrame) -> DataFrame:
+    timed = events.withColumn("ts_text", F.date_format("ts", "MM-dd HH:mm:ss.SSS"))
+    return with_columns(timed, {**LOG, "raw": LOG_RAW}).select("report_id", "line_no", "raw")
+
+
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    events = load(spark, folder, "events").withColumn("ts_text", F.date_format("ts", "MM-dd HH:mm:ss.SSS"))
-    return with_columns(events, {**LOG, "raw": LOG_RAW}).select("report_id", "line_no", "raw")
+    return as_log_lines(load(spark, folder, "events"))
 
 
 # orders -> kernel log -----------------------------------------------------------------

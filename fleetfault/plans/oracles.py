@@ -528,3 +528,35 @@ oracle("ordered_position", """SELECT l_returnflag, pos // 100 AS page, CAST(sum(
   SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem) GROUP BY 1, 2""")
 oracle("running_text_groups", """lines AS (SELECT doc_id, p, l[p + 1] AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents))""",
   """SELECT doc_id, head, count(*) AS lines, CAST(sum(length(raw)) AS BIGINT) AS chars FROM (SELECT doc_id, p, raw, max(CASE WHEN p = 0 OR regexp_matches(raw, '[0-9]') THEN p END) OVER (PARTITION BY doc_id ORDER BY p) AS head FROM lines) GROUP BY 1, 2""")
+
+# Trace context, summaries and HAL cross-reference ---------------------------------------------------------------------
+
+_WHO = "'Thread \"' || th.name || '\" tid=' || th.tid || ' (' || th.state || '):'"
+BODIES = f"""bodies AS (SELECT t, i, coalesce(string_agg('    ' || raw, chr(10) ORDER BY ord), '') AS body, coalesce(string_agg('    ' || raw, chr(10) ORDER BY ord) FILTER (ord <= 5), '') AS top FROM fr GROUP BY 1, 2),
+  texts AS (SELECT th.t, th.i, th.tid, th.state, {_WHO} || coalesce('  waiting on lock 0x0' || th.holder || ' (com.app.Lock' || th.i % 3 || ') held by tid=' || th.holder, '')
+      || CASE WHEN th.i % 4 = 1 THEN '  holds locks: 0x0' || th.tid || '(com.app.Lock)' ELSE '' END || chr(10) || coalesce(b.body, '') AS full_text,
+    {_WHO} || chr(10) || coalesce(b.top, '') AS short_text FROM th LEFT JOIN bodies b ON b.t = th.t AND b.i = th.i)"""
+oracle("trace_context", *_TRACED, FACTS, FR, CHAINS, CHOSEN, BODIES, """pieces AS (
+    SELECT c.report_id, c.t, 'stack' AS kind, f.raw AS text FROM chosen c JOIN fr f ON f.t = c.t AND f.i = c.i
+    UNION ALL SELECT c.report_id, c.t, 'chain', x.full_text FROM chosen c JOIN chain n ON n.t = c.t AND n.start_tid = c.tid JOIN texts x ON x.t = n.t AND x.tid = n.cur
+    UNION ALL SELECT report_id, t, 'thread', short_text FROM (SELECT c.report_id, c.t, x.short_text, row_number() OVER (PARTITION BY c.t ORDER BY x.i) AS k FROM chosen c
+      JOIN texts x ON x.t = c.t AND x.tid <> c.tid AND x.state IN ('Blocked', 'Native')) WHERE k <= 10)""",
+  "SELECT report_id, t AS insight_no, kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM pieces GROUP BY 1, 2, 3", recursive=True)
+_THREAD = "CASE WHEN c.t % 2 = 0 THEN 'android.fg' ELSE 'main' END"
+oracle("trace_summaries", *_TRACED, FACTS, FR, TARGETS, CHAINS, CHOSEN, f"""SELECT c.report_id, c.t AS trace_idx,
+  'Process: ' || c.process_name || ' (PID ' || c.pid || ')' || coalesce(chr(10) || '  Subject: ' || c.subject, '') || chr(10) || '  Blocked Thread: "' || {_THREAD} || '" — ' || c.reason || ' (' || c.confidence || ')'
+  || chr(10) || '  Blocking Chain: ' || {_THREAD} || ' → ' || coalesce((SELECT string_agg(h.name, ' → ' ORDER BY n.hop) FROM chain n JOIN th h ON h.t = n.t AND h.tid = n.cur WHERE n.t = c.t AND n.start_tid = c.tid), 'none')
+  || coalesce(CASE WHEN g.interface_name <> 'Unknown' THEN chr(10) || '  Binder Target: ' || g.interface_name || CASE WHEN g.method <> '' THEN '.' || g.method || '()' ELSE '' END || ' (' || g.package_name || ')' END, '')
+  || coalesce(chr(10) || '  Suspected HAL targets: ' || (SELECT string_agg(s.interface_name || CASE s.interface_name WHEN 'IGnss' THEN '.start() on "' ELSE '.getService() on "' END || h.name || '"', ', ' ORDER BY s.si)
+      FROM suspects s JOIN th h ON h.t = s.t AND h.i = s.si WHERE s.t = c.t AND s.role = c.role), '')
+  || chr(10) || '  Binder Threads: ' || coalesce(q.busy, 0) || '/' || coalesce(q.total, 0) || ' busy' || chr(10) || '  Deadlock: ' || CASE WHEN EXISTS (SELECT 1 FROM rings r WHERE r.t = c.t) THEN 'YES' ELSE 'no' END AS text
+  FROM chosen c LEFT JOIN targets g ON g.t = c.t AND g.tid = c.tid LEFT JOIN pool q ON q.t = c.t""", recursive=True)
+oracle("hal_cross_reference", *_TRACED, FACTS, FR, TARGETS, CHOSEN, HALS, FAMILIES, """aims AS (
+    SELECT c.report_id, c.t, -1 AS o, g.package_name, g.interface_name FROM chosen c JOIN targets g ON g.t = c.t AND g.tid = c.tid WHERE g.interface_name <> 'Unknown'
+    UNION ALL SELECT c.report_id, c.t, s.si, CASE s.interface_name WHEN 'IGnss' THEN 'android.hardware.gnss@1.0' ELSE 'vendor.acme.hardware.pad@1.0' END, s.interface_name
+    FROM chosen c JOIN suspects s ON s.t = c.t AND s.role = c.role),
+  firsts AS (SELECT * FROM aims QUALIFY row_number() OVER (PARTITION BY report_id, package_name ORDER BY t, o) = 1)""",
+  """SELECT a.report_id, '- ' || a.interface_name || ' (' || a.package_name || ') → ' || coalesce(f.highest_status || ', highest=' || f.highest_version || ', ' || f.version_count || ' version(s)' || CASE WHEN f.is_oem THEN ' [OEM]' ELSE '' END,
+  'status unknown (not found in lshal)') AS text FROM firsts a LEFT JOIN families f ON replace(f.report_id, 'h', 'r') = a.report_id AND split_part(f.family, '::', 1) = lower(split_part(a.package_name, '@', 1))""", recursive=True)
+oracle("streamed_anomalies", LOGS, KINDS, ENTRIES, FOUND,
+       f"SELECT report_id, line_no, type, summary, tag, {_CLASS} AS classification FROM found")

@@ -14,8 +14,9 @@ from fleetfault.operators import (
     views,
 )
 from fleetfault.plans import bindings as b
-from fleetfault.session import materialize, prepare
+from fleetfault.session import materialize, prepare, scratch_folder
 from fleetfault.sources import archives, sections
+from fleetfault.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -838,3 +839,17 @@ def running_text_groups(spark, folder):
     return owned.groupBy("doc_id", "head").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.length("raw")).alias("chars")
     )
+
+
+# Streams -------------------------------------------------------------------------------------------
+
+
+@query
+def streamed_anomalies(spark, folder):
+    """The events table read as a stream, rendered to lines, classified and appended."""
+    schema = b.load(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    lines = b.as_log_lines(stream)
+    place = scratch_folder(spark)
+    arrivals.append_anomalies(lines, f"{place}/out", f"{place}/state").awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("report_id", "line_no", "type", "summary", "tag", "classification")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,16 +42,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "fle
     return prepare(spark)
 
 
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only where none is set
+    (tests, a single machine) a temporary folder stands in."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fleetfault-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new place for written tables in the checkpoint folder."""
+    return f"{_checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and read it from there.
 
-    Used where a later step must see the same row placement twice, so that the
-    loss of an executor cannot change it.  The folder is the one the cluster
-    names in ``spark.checkpoint.dir``; only where none is set (tests, a single
-    machine) a temporary folder stands in.
+    Used where a later step must see the same row placement twice, or reads it
+    several times; the loss of an executor cannot change it.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fleetfault-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
