@@ -16,7 +16,7 @@ from fleetfault.functions.wording import CATEGORY_TYPES
 from fleetfault.operators.matching import containing_pairs
 from fleetfault.operators.ordering import ordered_text, scan, top_rows, with_position
 from fleetfault.operators.ranges import first_within
-from fleetfault.operators.traces import first_by_tid
+from fleetfault.session import materialize
 
 KEYS = ("report_id",)
 MAX_CHARS = 210_000  # fixed value: 60,000 tokens of 3.5 characters
@@ -74,7 +74,7 @@ def matching_anomalies(
         unnamed = anomalies.where("process_name is null").select(*keys, "entry_idx")
         few = top_rows(unnamed, keys, [F.col("entry_idx")], k, "_r").drop("_r")
         hits = hits.unionByName(found.select(*keys, "insight_no").join(few, list(keys)))
-    fit = top_rows(hits.distinct(), [*keys, "insight_no"], [F.col("entry_idx")], k)
+    fit = materialize(top_rows(hits.distinct(), [*keys, "insight_no"], [F.col("entry_idx")], k))
 
     groups = F.create_map(*[x for c, t in CATEGORY_TYPES.items() for x in (F.lit(c), F.array(*map(F.lit, t)))])
     spare = (
@@ -105,7 +105,7 @@ def kernel_context(
         _by_type(found, keys, types).join(kinds, [*keys, "type"]).select(*keys, "insight_no", "entry_idx")
         .unionByName(_by_summary(found, events, keys, k)).distinct()
     )
-    fit = top_rows(hits, [*keys, "insight_no"], [F.col("entry_idx")], k)
+    fit = materialize(top_rows(hits, [*keys, "insight_no"], [F.col("entry_idx")], k))
     levels = top_rows(events.select(*keys, "severity", "entry_idx"), [*keys, "severity"], [F.col("entry_idx")], k)
     spare = (
         found.join(fit.select(*keys, "insight_no").distinct(), [*keys, "insight_no"], "left_anti")
@@ -114,9 +114,8 @@ def kernel_context(
         .select(*keys, "insight_no", "entry_idx", "rank")
     )
     micros = (F.col("boot_s") * 1_000_000).cast("long")
-    chosen = fit.unionByName(spare).join(
-        events.select(*keys, "entry_idx", micros.alias("_at"), F.col("raw").alias("_own")), [*keys, "entry_idx"]
-    )
+    told = events.select(*keys, "entry_idx", micros.alias("_at"), F.col("raw").alias("_own"))
+    chosen = materialize(fit.unionByName(spare).join(told, [*keys, "entry_idx"]))
     near = first_within(
         chosen, entries.select(*keys, F.col("entry_idx").alias("_e"), "raw", micros.alias("_when")), keys,
         at="_at", when="_when", order="_e", radius=radius_s * 1_000_000, k=around,
@@ -236,20 +235,25 @@ def within_budget(
     # A stack counts with the line breaks that join its frames.
     joined = size + F.when((F.col("kind") == "stack") & (F.col("_spot") > 1), 1).otherwise(0)
     each = spot.groupBy(*keys, group).agg(F.sum(joined).alias("_size"), *saved)
-    sums = scan(each, keys, group, total={f"_p{i}": F.col(f"_s{i}") for i in range(len(cuts))})
-    left = each.groupBy(*keys).agg(F.sum("_size").alias("_left"))
+    sums = materialize(scan(each, keys, group, total={f"_p{i}": F.col(f"_s{i}") for i in range(len(cuts))}))
+
+    def is_cut(i: int) -> Column:
+        return F.col(f"_left{i}") - (F.col(f"_p{i}") - F.col(f"_s{i}")) > budget
+
+    left = sums.groupBy(*keys).agg(F.sum("_size").alias("_left0"))
     for i in range(len(cuts)):
-        sums = sums.join(left, list(keys)).withColumn(
-            f"_cut{i}", F.col("_left") - (F.col(f"_p{i}") - F.col(f"_s{i}")) > budget
+        gone = F.sum(F.when(is_cut(i), F.col(f"_s{i}")).otherwise(0))
+        left = sums.join(left, list(keys)).groupBy(*keys).agg(
+            *[F.max(f"_left{j}").alias(f"_left{j}") for j in range(i + 1)],
+            (F.max(f"_left{i}") - gone).alias(f"_left{i + 1}"),
         )
-        left = sums.groupBy(*keys).agg(
-            (F.max("_left") - F.sum(F.when(F.col(f"_cut{i}"), F.col(f"_s{i}")).otherwise(0))).alias("_left")
-        )
-        sums = sums.drop("_left")
+    flagged = sums.join(left, list(keys))
+    for i in range(len(cuts)):
+        flagged = flagged.withColumn(f"_cut{i}", is_cut(i))
     dropped = F.lit(False)
     for i, (kind, keep) in enumerate(cuts):
         dropped = dropped | (F.col(f"_cut{i}") & (F.col("kind") == kind) & (F.col("_spot") > keep))
-    flags = sums.select(*keys, group, *[f"_cut{i}" for i in range(len(cuts))])
+    flags = flagged.select(*keys, group, *[f"_cut{i}" for i in range(len(cuts))])
     return spot.join(flags, [*keys, group]).where(~dropped).select(*parts.columns)
 
 

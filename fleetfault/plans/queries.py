@@ -624,7 +624,7 @@ def overview_texts(spark, folder):
 
 @query
 def latest_results(spark, folder):
-    events = b.load(spark, folder, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    events = b.load(spark, folder, "events").select("user_id", "event_id", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).alias("at"), "event_type")
     last = views.latest_results(events, ["user_id"], "at", F.lit(1706572800000000), F.lit(86_400_000_000), "event_id")
     return last.select("user_id", "event_id", "event_type")
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import fleetfault
+
 
 # A report may hold a third of all rows.  Rows grouped by (report, chunk) must spread by
 # both, though a join may have placed them by report alone; and a join skewed by one
@@ -19,7 +22,11 @@ SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the operators count on; safe to repeat, leaves everything else alone."""
+    """Settings the operators count on; safe to repeat, leaves everything else alone.
+
+    The functions run in tasks travel with the plan, so workers need no copy of the package.
+    """
+    cloudpickle.register_pickle_by_value(fleetfault)
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     return spark
