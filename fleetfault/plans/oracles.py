@@ -560,3 +560,7 @@ oracle("hal_cross_reference", *_TRACED, FACTS, FR, TARGETS, CHOSEN, HALS, FAMILI
   'status unknown (not found in lshal)') AS text FROM firsts a LEFT JOIN families f ON replace(f.report_id, 'h', 'r') = a.report_id AND split_part(f.family, '::', 1) = lower(split_part(a.package_name, '@', 1))""", recursive=True)
 oracle("streamed_anomalies", LOGS, KINDS, ENTRIES, FOUND,
        f"SELECT report_id, line_no, type, summary, tag, {_CLASS} AS classification FROM found")
+oracle("streamed_latest", """SELECT CAST(user_id AS VARCHAR) AS id, max(epoch_us(ts) // 1000) AS at, arg_max(event_id || ':' || event_type, ts) AS payload FROM events
+  GROUP BY 1 HAVING max(epoch_us(ts) // 1000) >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 86400000""")
+oracle("result_pages", EV.replace("event_type AS label", "'l' AS label"), _runs("ev", "pos"), f"runs AS ({_RUNS})", """SELECT report_id, 'insights' AS part, (pos + 1) // 100 AS page, CAST(count(*) AS INT) AS rows, arg_min(severity, pos) AS first_severity FROM ev GROUP BY 1, 3
+  UNION ALL SELECT report_id, 'timeline', seq // 100, CAST(count(*) AS INT), arg_min(severity, seq) FROM runs GROUP BY 1, 3""")

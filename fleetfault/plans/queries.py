@@ -15,7 +15,7 @@ from fleetfault.operators import (
 )
 from fleetfault.plans import bindings as b
 from fleetfault.session import materialize, prepare, scratch_folder
-from fleetfault.sources import archives, sections
+from fleetfault.sources import archives, sections, sinks
 from fleetfault.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,9 +159,7 @@ def _reasoned(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     t["reasoned"] = materialize(traces.block_reasons(t["primary"], t["evidence"], t["cycles"], t["pool"]))
     t["suspects"] = materialize(traces.suspected_targets(t["reasoned"], t["threads"], t["frames"], t["evidence"]))
     t["blocks"] = materialize(traces.thread_blocks(t["reasoned"], t["suspects"]))
-    t["targets"] = materialize(
-        traces.binder_targets(t["reasoned"].where("reason = 'slow_binder_call'"), t["frames"])
-    )
+    t["targets"] = traces.binder_targets(t["reasoned"].where("reason = 'slow_binder_call'"), t["frames"])
     return t
 
 
@@ -512,6 +510,7 @@ def _traced(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     t = _reasoned(_dumps(spark, folder))
     t["heads"] = t["heads"].withColumn("trace_idx", F.substring("trace_id", 2, 20).cast("long"))
     t["chains"] = materialize(traces.blocking_chains(t["threads"], t["primary"]))
+    t["targets"] = materialize(t["targets"])
     return t
 
 
@@ -853,3 +852,32 @@ def streamed_anomalies(spark, folder):
     place = scratch_folder(spark)
     arrivals.append_anomalies(lines, f"{place}/out", f"{place}/state").awaitTermination()
     return spark.read.parquet(f"{place}/out").select("report_id", "line_no", "type", "summary", "tag", "classification")
+
+
+@query
+def streamed_latest(spark, folder):
+    """The newest event of each user, kept by a stream with a day to live."""
+    schema = b.load(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    rows = stream.select(
+        F.col("user_id").cast("string").alias("id"), F.timestamp_diff("MILLISECOND", epoch, F.col("ts")).alias("at"),
+        F.concat_ws(":", F.col("event_id").cast("string"), "event_type").alias("payload"),
+    )
+    place = scratch_folder(spark)
+    arrivals.keep_latest(rows, f"{place}/out", f"{place}/state", ttl_ms=86_400_000).awaitTermination()
+    return spark.read.parquet(f"{place}/out/version=0").select("id", "at", "payload")
+
+
+@query
+def result_pages(spark, folder):
+    events = _event_timeline(spark, folder)
+    pages = sinks.result_pages(
+        _user_health(spark, folder).withColumn("report_id", F.col("report_id").cast("string")),
+        events.select("report_id", (F.col("pos") + 1).alias("insight_no"), "severity", "source", "details"),
+        timeline.merge_runs(events), page_rows=100,
+    )
+    return pages.where("part <> 'health'").select(
+        "report_id", "part", "page", F.json_array_length("result").alias("rows"),
+        F.get_json_object("result", "$[0].severity").alias("first_severity"),
+    )
