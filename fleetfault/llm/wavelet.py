@@ -47,7 +47,7 @@ def write_file(ids: np.ndarray, keys: np.ndarray, missing: np.ndarray, lengths:
         packed = np.packbits(bit, bitorder="little").tobytes()
         before = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)[BLOCK - 1 :: BLOCK]]).astype(np.uint32)
         blocks = [packed[k : k + BLOCK // 8] for k in range(0, len(packed), BLOCK // 8)]
-        stored = [min(zlib.compress(b, 1), b, key=len) for b in blocks] if _worth_packing(blocks) else blocks
+        stored = [min(b, zlib.compress(b, 1), key=len) for b in blocks] if _worth_packing(blocks) else blocks
         parts += stored
         sizes.append([len(b) for b in stored])
         ranks.append(before)
