@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from fleetfault.llm import token_counts, wavelet
+from fleetfault.llm import mixing, quality, token_counts, wavelet
 from fleetfault.llm.tables import read
 
 
+def op1_mix_sources(spark, sf_dir):
+    drawn = mixing.draw(mixing.sized(read(spark, sf_dir, "documents")))
+    words = F.expr("aggregate(copies, 0L, (a, c) -> a + c.words)")
+    return drawn.select(
+        "doc_id", "size", "source_size", "target", words.alias("taken"), F.get("copies", F.lit(0))["shard"].alias("first_shard")
+    )
+
+
 def op6_token_shards(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     files = wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -19,9 +28,15 @@ def op8_token_counts(spark, sf_dir):
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
     "op6_token_shards": op6_token_shards,
     "op8_token_counts": op8_token_counts,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 # The others have no SQL: their tests compare them with brute force.
