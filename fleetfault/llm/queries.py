@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleetfault.llm import mixing, quality, token_counts, wavelet
+from fleetfault.llm import chat, mixing, quality, token_counts, wavelet
 from fleetfault.llm.tables import read
 
 
@@ -17,6 +17,26 @@ def op1_mix_sources(spark, sf_dir):
     )
 
 
+def op3_format_chats(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    role = F.when(F.col("id") == 0, "user").otherwise(chat.ASSISTANT)
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
+    talks = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    formatted = chat.format_trees(chat.chains(talks.unionByName(extra)))
+    read_back = formatted.select("tree", "formatted", F.explode(F.array(chat.turns_of(F.col("formatted")))).alias("turns"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    read_back = read_back.select("tree", "formatted", "turns", F.inline(F.array(F.struct(lines.alias("lines"), loss.alias("loss")))))
+    return read_back.select(
+        F.expr("try_cast(tree as bigint)").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2("lines", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op6_token_shards(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     files = wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -34,6 +54,7 @@ def op9_quality_rules(spark, sf_dir):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_format_chats": op3_format_chats,
     "op6_token_shards": op6_token_shards,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
