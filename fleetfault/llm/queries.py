@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleetfault.llm import chat, mixing, quality, token_counts, wavelet
+from fleetfault.llm import chat, language, mixing, quality, token_counts, wavelet
 from fleetfault.llm.tables import read
 
 
@@ -52,12 +52,20 @@ def op9_quality_rules(spark, sf_dir):
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    field = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs, field)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_format_chats": op3_format_chats,
     "op6_token_shards": op6_token_shards,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 # The others have no SQL: their tests compare them with brute force.
