@@ -152,6 +152,10 @@ class Shard:
         return level
 
 
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    return array if size <= len(array) else np.concatenate([array, np.zeros(max(len(array), size - len(array)), array.dtype)])
+
+
 class SpanEncoder:
     """Ids of texts by a ``tokenizers`` file, each distinct span encoded once per worker.
 
@@ -168,6 +172,8 @@ class SpanEncoder:
         split = json.dumps(setup.get("pre_tokenizer"))
         self.by_word = '"invert": true' in split and '"behavior": "Removed"' in split and "[^\\\\s\\\\p{L}\\\\p{N}]+" in split
         self.folds = self.by_word and '"Lowercase"' in json.dumps(setup.get("normalizer"))
+        special = [x for x in setup.get("added_tokens", []) if x["special"] and "|" in x["content"] and x["content"] == x["content"].strip()]
+        self.mark = (special[0]["content"], special[0]["id"]) if special else None
         self.clear()
 
     def clear(self) -> None:
@@ -176,17 +182,36 @@ class SpanEncoder:
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def learn(self, names: list[int], texts: list[str]) -> None:
-        for low in range(0, len(texts), 1024):
-            coded = self.tokenizer.encode_batch_fast(texts[low : low + 1024], add_special_tokens=False)
-            for name, code in zip(names[low : low + 1024], coded):
-                ids, k = code.ids, len(self.known)
-                if self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-                if k == len(self.start):
-                    self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.start[k], self.length[k], self.known[name] = self.used, len(ids), k
-                self.used += len(ids)
+        """Encode new spans.  Many go in one call, held apart by a special token that they
+        cannot contain (no bar), since calls cost more than short words."""
+        mark = self.mark if self.by_word else None
+        whole = [k for k, text in enumerate(texts) if mark is None or "|" in text]
+        for low in range(0, len(whole), 1024):
+            part = whole[low : low + 1024]
+            coded = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)]
+            self.keep([names[k] for k in part], sum(coded, []), list(map(len, coded)))
+        if mark is None:
+            return
+        apart = set(whole)
+        short = [k for k in range(len(texts)) if k not in apart] if apart else range(len(texts))
+        for low in range(0, len(short), 4096):
+            part = short[low : low + 4096]
+            joined = mark[0].join([texts[k] for k in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == mark[1])
+            sizes = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+            self.keep([names[k] for k in part], np.delete(ids, at), sizes)
+
+    def keep(self, names: list[int], ids, sizes) -> None:
+        """Append the ids of spans to the pool, which grows by doubling."""
+        first, sizes = len(self.known), np.asarray(sizes, np.int64)
+        self.pool = _grown(self.pool, self.used + len(ids))
+        self.start, self.length = _grown(self.start, first + len(names)), _grown(self.length, first + len(names))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.length[first : first + len(names)] = sizes
+        self.start[first : first + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.known.update(zip(names, range(first, first + len(names))))
+        self.used += len(ids)
 
     def spans(self, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.by_word:
