@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleetfault.llm import chat, language, mixing, quality, token_counts, wavelet
+from fleetfault.llm import chat, jaccard, language, mixing, quality, token_counts, wavelet
 from fleetfault.llm.tables import read
 
 
@@ -37,6 +37,12 @@ def op3_format_chats(spark, sf_dir):
     )
 
 
+def op5_ngram_jaccard(spark, sf_dir):
+    return jaccard.groups(read(spark, sf_dir, "documents"), size=4, percent=85).select(
+        "doc_id", "n_shingles", "component_id", "class_id"
+    )
+
+
 def op6_token_shards(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     files = wavelet.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -62,6 +68,7 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_format_chats": op3_format_chats,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_shards": op6_token_shards,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,

@@ -119,9 +119,8 @@ def window_hashes(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.nd
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(rows[:n] == rows[size - 1 :])
-    total = np.zeros(len(at), np.uint64)
-    factor = 1
-    for k in range(size):
+    total, factor = np.zeros(len(at), np.uint64), 1
+    for k in range(size):  # the words' hashes are well spread already
         factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
-        total += scatter(words[at + k] + np.uint64(k + 1)) * np.uint64(factor)
+        total += words[at + k] * np.uint64(factor)
     return scatter(total), at
