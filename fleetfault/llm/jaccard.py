@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetfault.llm.components import components
+from fleetfault.llm.sketch import SCHEMA, bloom, maybe_in, merged, pieces
 from fleetfault.llm.words import scatter, slices, span_hashes, text_bytes, window_hashes, word_spans
 from fleetfault.operators.ordering import top_rows
 from fleetfault.session import materialize, scratch_folder
@@ -36,7 +37,6 @@ from fleetfault.session import materialize, scratch_folder
 SHINGLE = 5
 PERCENT = 80
 COUNTERS = 1 << 22
-CHUNKS = 64  # pieces of the counter table, summed apart
 LONG_COST = 64  # expected partners from which a prefix is lengthened
 PIVOTS = 2  # per prefix n-gram
 TRIES = 2  # pivots verified per text
@@ -69,34 +69,6 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _summed(parts: DataFrame) -> np.ndarray:
-    """Add up the pieces of counter tables ``(chunk int, counts binary)``; the result has a fixed size."""
-
-    def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for table in tables:
-            for chunk, raw in zip(table.column(0).to_pylist(), table.column(1)):
-                counts = np.frombuffer(raw.as_buffer(), np.int32)
-                total[chunk] = counts + total[chunk] if chunk in total else counts
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"]
-            )
-
-    out = np.zeros(COUNTERS, np.int32).reshape(CHUNKS, -1)
-    for row in parts.repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        out[row["chunk"]] = np.frombuffer(row["counts"], np.int32)
-    return out.ravel()
-
-
-def _pieces(counts: np.ndarray) -> pa.RecordBatch:
-    rows = counts.reshape(CHUNKS, -1)
-    used = np.flatnonzero(rows.any(1))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array([rows[k].tobytes() for k in used], pa.binary())], names=["chunk", "counts"]
-    )
-
-
 def _rarity(docs: DataFrame, size: int) -> np.ndarray:
     """Six-bit class of each counter: 0 up to twice the mean, then one more for each doubling."""
 
@@ -105,9 +77,9 @@ def _rarity(docs: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             for grams in shingle_sets(batch.column(0), size):
                 np.add.at(counts, (grams & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        yield _pieces(counts)
+        yield pieces(counts)
 
-    counts = _summed(docs.select("text").mapInArrow(counted, "chunk int, counts binary"))
+    counts = merged(docs.select("text").mapInArrow(counted, SCHEMA), COUNTERS, np.int32, np.add)
     return np.clip(np.log2(np.maximum(counts, 1) / max(2 * counts.mean(), 4)) + 1, 0, 63).astype(np.uint8)
 
 
@@ -154,19 +126,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     """The ``(a, b)`` of ``pairs`` that link.  Sets are made anew for the texts in a pair only."""
     spark = docs.sparkSession
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.int32)
-        for batch in batches:
-            for column in batch.columns:
-                seen[_slot(column)] = 1
-        yield _pieces(seen)
-
-    wanted = spark.sparkContext.broadcast(np.packbits(_summed(pairs.select("a", "b").mapInArrow(marked, "chunk int, counts binary")) > 0))
+    wanted = spark.sparkContext.broadcast(bloom(pairs.select("a", "b")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(bits[_slot(batch.column(0))]))
+            batch = batch.filter(pa.array(maybe_in(wanted.value, np.asarray(batch.column(0)))))
             found = list(shingle_sets(batch.column(1), size))
             if found:
                 yield pa.RecordBatch.from_arrays(
@@ -197,10 +161,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
 
-def _slot(ids: pa.Array) -> np.ndarray:
-    return (scatter(np.asarray(ids).astype(np.int64).view(np.uint64)) % np.uint64(COUNTERS)).astype(np.int64)
-
-
 def _demand(percent: int) -> str:
     """Prefix n-grams that the pair (n, p), (n2, p2) must share: its least overlap, less what
     may lie behind the prefix that ends first."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleetfault.llm import chat, jaccard, language, mixing, quality, token_counts, wavelet
+from fleetfault.llm import chat, decontam, jaccard, language, mixing, quality, token_counts, wavelet
 from fleetfault.llm.tables import read
 
 
@@ -49,6 +49,11 @@ def op6_token_shards(spark, sf_dir):
     return wavelet.text_digests(files)
 
 
+def op7_benchmark_tiles(spark, sf_dir):
+    found = decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "n_covered", "coverage", F.size("tiles").cast("long").alias("n_tiles"))
+
+
 def op8_token_counts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op3_format_chats": op3_format_chats,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_shards": op6_token_shards,
+    "op7_benchmark_tiles": op7_benchmark_tiles,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
