@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleetfault.llm import chat, decontam, jaccard, language, mixing, quality, token_counts, wavelet
+from fleetfault.llm import chat, decontam, jaccard, language, mixing, quality, repeats, token_counts, wavelet
 from fleetfault.llm.tables import read
 
 
@@ -37,6 +37,12 @@ def op3_format_chats(spark, sf_dir):
     )
 
 
+def op4_suffix_repeats(spark, sf_dir):
+    return repeats.without_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_ngram_jaccard(spark, sf_dir):
     return jaccard.groups(read(spark, sf_dir, "documents"), size=4, percent=85).select(
         "doc_id", "n_shingles", "component_id", "class_id"
@@ -73,6 +79,7 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_format_chats": op3_format_chats,
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_shards": op6_token_shards,
     "op7_benchmark_tiles": op7_benchmark_tiles,
