@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleetfault.llm import chat, decontam, jaccard, language, mixing, quality, repeats, token_counts, wavelet
+from fleetfault.llm import chat, decontam, hpylm, jaccard, language, mixing, quality, repeats, token_counts, wavelet
 from fleetfault.llm.tables import read
 
 
@@ -17,6 +17,10 @@ def op1_mix_sources(spark, sf_dir):
     )
 
 
+def op2_lm_scores(spark, sf_dir):
+    return hpylm.score(read(spark, sf_dir, "documents"))
+
+
 def op3_format_chats(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     role = F.when(F.col("id") == 0, "user").otherwise(chat.ASSISTANT)
@@ -78,6 +82,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_lm_scores": op2_lm_scores,
     "op3_format_chats": op3_format_chats,
     "op4_suffix_repeats": op4_suffix_repeats,
     "op5_ngram_jaccard": op5_ngram_jaccard,
