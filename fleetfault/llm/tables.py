@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetfault.session import prepare
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+# Texts are long: batches of fewer rows keep Python workers small.
+BATCH_ROWS = 4000
+
+
+def set_up(spark: SparkSession) -> None:
     prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    set_up(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")

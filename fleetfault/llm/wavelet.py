@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetfault.llm.words import slices, span_hashes, text_bytes, word_spans, worker_store
+from fleetfault.llm.words import SLICE, slices, span_hashes, text_bytes, word_spans, worker_store
 from fleetfault.session import scratch_folder
 
 END_ID = 2
@@ -292,7 +292,7 @@ def write_shards(
             absent = np.asarray(key.is_null())
             key = np.asarray(key.fill_null(0))
             data, borders = text_bytes(batch.column(1))
-            for low, high in slices(borders):
+            for low, high in slices(borders, min(SLICE, 2 * shard_ids)):
                 part = data[borders[low] : borders[high]]
                 ids, sizes = store["encoder"].encode(part, borders[low : high + 1] - borders[low], end_id)
                 for piece, value in zip(kept, (ids, key[low:high], absent[low:high], sizes)):
