@@ -32,7 +32,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 8192
 SHARD_BLOCKS = 64
-BUCKET_ROWS = 1 << 15
+BUCKET_ROWS = 1 << 11
 LEVELS_PER_CUT = 6
 
 
@@ -202,6 +202,7 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     """
     counts = (
         draw(sized(docs), seed)
+        .where("size > 0")
         .select("doc_id", F.expr("cast(floor(aggregate(copies, 0L, (a, c) -> a + c.words) / size + 0.5) as int)").alias("n"))
         .where("n > 0")
         .groupBy(F.col("doc_id").alias("mixed_id"))
