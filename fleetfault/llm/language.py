@@ -244,7 +244,10 @@ def fit(training: DataFrame, text_column: str = "text", lang_column: str = "lang
     """
     rows = training.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.xxhash64(F.lit(7), id_column).alias("h"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    sample = rows.orderBy("h", "lang", "text").limit(SAMPLE_TEXTS).select("text", "lang").collect()
+    # The hashes first: the texts of each task's best would be many times the sample.
+    lowest = [r.h for r in rows.select("h").orderBy("h").limit(SAMPLE_TEXTS).collect()]
+    sample = rows.where(F.col("h") <= (max(lowest) if lowest else 0)).select("h", "text", "lang").limit(2 * SAMPLE_TEXTS).collect()
+    sample = sorted(sample, key=lambda r: (r.h, r.lang, r.text))[:SAMPLE_TEXTS]
     return Field(sorted({r.lang for r in sample})).fit([r.text for r in sample], [r.lang for r in sample])
 
 
