@@ -31,15 +31,16 @@ def computed_rows(value: Column) -> Column:
 def with_fields(df: DataFrame, text: Column | str, pattern: str, groups: list[int], out: str) -> DataFrame:
     """Adds several groups of one pattern as an array, matching each text only once.
 
-    ``pattern`` must cover the whole text.  Null when it does not match.
+    ``pattern`` must cover the whole text.  Null when it does not match.  The groups are
+    parted by a control character; a text that holds it takes one match per group instead.
     """
-    mark = "\u0001"
+    text, mark = col(text), "\u0001"
     reply = mark + mark + mark.join(f"${g}" for g in groups)
-    parts = F.split(F.regexp_replace(col(text), F.lit(pattern), F.lit(reply)), mark, len(groups) + 2)
-    split = df.select("*", computed(parts).alias("_parts"))
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(reply)), mark, -1)
+    marked = F.when(text.rlike(pattern), F.array(F.lit(""), F.lit(""), *[F.regexp_extract(text, pattern, g) for g in groups]))
+    split = df.select("*", computed(F.when(text.contains(mark), marked).otherwise(parts)).alias("_parts"))
     p = F.col("_parts")
-    whole_match = (F.size(p) == len(groups) + 2) & (p[0] == "") & (F.get(p, 1) == "")
-    return split.withColumn(out, F.when(whole_match, F.slice(p, 3, len(groups)))).drop("_parts")
+    return split.withColumn(out, F.when(F.size(p) == len(groups) + 2, F.slice(p, 3, len(groups)))).drop("_parts")
 
 
 def trimmed(text: Column | str) -> Column:

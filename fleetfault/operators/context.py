@@ -258,11 +258,11 @@ def within_budget(
 
 
 def _list_positions(parts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Position of each context row in its list.  Lists other than stacks and chains are
-    short by construction; those two keep their own order, which is all a cut needs."""
+    """Position of each context row in its list, however long.  Stacks and chains keep their
+    own order, which is all a cut needs."""
     lists = parts.where("kind <> 'stack'").select("*", F.col("ord").alias("_o"))
     short = lists.where("kind <> 'chain'")
-    ranked = top_rows(short, by, [F.col("_o")], 1 << 30, "_spot")
+    ranked = with_position(short, by, [F.col("_o"), F.col("text")], "_spot").withColumn("_spot", (F.col("_spot") + 1).cast("int"))
     chained = lists.where("kind = 'chain'").withColumn("_spot", F.col("_o").cast("int"))
     stack = parts.where("kind = 'stack'")
     first = stack.groupBy(*by).agg(F.min("ord").alias("_o"))

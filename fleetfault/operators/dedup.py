@@ -6,7 +6,7 @@ anchor.  The anchor does not move with merged rows, so this is neither a
 session window nor a gap rule, and each decision depends on the one before.
 
 Rows are range-placed by ``(keys, order)``, which splits a hot key over tasks.
-Each task tells in one row how it maps an incoming anchor to an outgoing one
+Each task tells in one row of bounded size how it maps an incoming anchor to an outgoing one
 (needed only when a single run fills the task); the driver walks these rows,
 one per task; a second sweep decides each row knowing its incoming anchor.
 """
@@ -55,21 +55,74 @@ def _greedy_end(ms: np.ndarray, start: int, window: int, known: dict[int, int])
 
 
 def _steps(ms: np.ndarray, ids: np.ndarray, window: int):
-    """Which incoming anchor times survive to which row, and where each exit leads."""
+    """Which incoming anchor times survive to which row, and where each exit leads.
+
+    No anchor outlives the first row at which the rows so far lie more than two windows
+    apart.  Times are whole milliseconds, so at most ``4 * window + 3`` steps come before it.
+    """
     seen_none = np.flatnonzero(ms == _NONE)
     stop = int(seen_none[0]) if len(seen_none) else len(ms)
     low = np.maximum.accumulate(ms[:stop]) - window
     high = np.minimum.accumulate(ms[:stop]) + window
+    none_left = np.flatnonzero(low > high)
+    if len(none_left):
+        stop = int(none_left[0]) + 1
+        low, high = low[:stop], high[:stop]
     change = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if stop else np.array([], int)
     lows, highs = list(low[change]), list(high[change])
     rows = [int(c) for c in change]
-    if stop < len(ms):  # a row without time keeps itself whatever comes in
+    if stop < len(ms) and not len(none_left):  # a row without time keeps itself whatever comes in
         lows.append(1), highs.append(0), rows.append(stop)
     known: dict[int, int] = {}
     ends = [_greedy_end(ms, r, window, known) for r in reversed(rows)][::-1]
     return [int(x) for x in lows], [int(x) for x in highs], [int(ms[e]) for e in ends], [int(ids[e]) for e in ends]
 
 
+def _sweep(sigs: np.ndarray, ms: np.ndarray, ids: np.ndarray, state: tuple | None, window: int):
+    """The anchor of each row, and the last ``(sig, ms, id)``; ``state`` is the one before.
+
+    Runs of one row anchor themselves; in longer ones the sweep leaps from anchor to anchor.
+    """
+    anchor, n = ids.copy(), len(ids)
+    starts = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]])
+    ends = np.r_[starts[1:], n]
+    last = (sigs[-1], int(ms[-1]), int(ids[-1]))
+    long = np.flatnonzero(ends - starts > 1)
+    joins = state is not None and state[0] == sigs[0]
+    if joins and (not len(long) or long[0] != 0):
+        long = np.r_[0, long]
+    for k in long.tolist():
+        at, end = int(starts[k]), int(ends[k])
+        if k == 0 and joins:
+            held_ms, held_id = state[1], state[2]
+        else:
+            held_ms, held_id, at = int(ms[at]), int(ids[at]), at + 1
+        while at < end:
+            nxt, step = _first_far(ms, at, end, held_ms, window), at
+            anchor[step:nxt] = held_id
+            if nxt == end:
+                break
+            held_ms, held_id, at = int(ms[nxt]), int(ids[nxt]), nxt + 1
+        if end == n:
+            last = (sigs[-1], held_ms, held_id)
+    return anchor, last
+
+
+def _first_far(ms: np.ndarray, at: int, end: int, held: int, window: int) -> int:
+    """The first row from ``at`` on that the anchor time ``held`` does not reach, else ``end``."""
+    if held == _NONE:
+        return at
+    step = 64
+    while at < end:
+        part = ms[at : min(at + step, end)]
+        far = (part == _NONE) | (np.abs(part - held) > window)
+        if far.any():
+            return at + int(far.argmax())
+        at += len(part)
+        step *= 2
+    return end
+
+
 def anchored_groups(
     df: DataFrame, keys: Sequence[str], order: str, same: Sequence[str], millis: str, window_ms: int, out: str = "anchor"
 ) -> DataFrame:
@@ -87,8 +140,7 @@ def anchored_groups(
     )
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = sig = part = None
-        anchor_ms = anchor_id = None
+        first = part = state = None
         lead_ms: list[np.ndarray] = []
         lead_id: list[np.ndarray] = []
         one_run = True
@@ -105,11 +157,10 @@ def anchored_groups(
                 lead_id.append(ids[:cut])
                 if cut < len(sigs):
                     one_run, lead_ms, lead_id = False, [], []
-            for s, t, i in zip(sigs.tolist(), ms.tolist(), ids.tolist()):
-                if s != sig or t == _NONE or anchor_ms == _NONE or abs(t - anchor_ms) > window_ms:
-                    sig, anchor_ms, anchor_id = s, t, i
+            state = _sweep(sigs, ms, ids, state, window_ms)[1]
         if first is None:
             return
+        sig, anchor_ms, anchor_id = state
         lows, highs, step_ms, step_id = (
             _steps(np.concatenate(lead_ms), np.concatenate(lead_id), window_ms) if one_run else ([], [], [], [])
         )
@@ -121,7 +172,7 @@ def anchored_groups(
             }
         )
 
-    # One row per task: bounded by the number of partitions, not by the data.
+    # One row per task, which `_steps` keeps to a few thousand numbers whatever the data.
     incoming: dict[int, tuple[str, int, int]] = {}
     state: tuple[str, int, int] | None = None
     for row in sorted(placed.mapInPandas(summarise, _SUMMARY).collect(), key=lambda r: r.part):
@@ -138,19 +189,14 @@ def anchored_groups(
     handed = spark.sparkContext.broadcast(incoming)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sig = anchor_ms = anchor_id = None
-        begun = False
+        state, begun = None, False
         for pdf in batches:
             if not len(pdf):
                 continue
             if not begun:
                 begun = True
-                sig, anchor_ms, anchor_id = handed.value.get(int(pdf["_part"].iloc[0]), (None, None, None))
-            result = np.empty(len(pdf), np.int64)
-            for n, (s, t, i) in enumerate(zip(pdf["_sig"].tolist(), pdf["_ms"].tolist(), pdf[order].tolist())):
-                if s != sig or t == _NONE or anchor_ms == _NONE or abs(t - anchor_ms) > window_ms:
-                    sig, anchor_ms, anchor_id = s, t, i
-                result[n] = anchor_id
+                state = handed.value.get(int(pdf["_part"].iloc[0]))
+            result, state = _sweep(pdf["_sig"].to_numpy(), pdf["_ms"].to_numpy(), pdf[order].to_numpy(), state, window_ms)
             yield pdf[[*keys, order]].assign(**{out: result})
 
     types = dict(placed.dtypes)

@@ -847,7 +847,7 @@ def running_text_groups(spark, folder):
 def streamed_anomalies(spark, folder):
     """The events table read as a stream, rendered to lines, classified and appended."""
     schema = b.load(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/{{events.parquet}}")  # a file or a folder of files
     lines = b.as_log_lines(stream)
     place = scratch_folder(spark)
     arrivals.append_anomalies(lines, f"{place}/out", f"{place}/state").awaitTermination()
@@ -858,7 +858,7 @@ def streamed_anomalies(spark, folder):
 def streamed_latest(spark, folder):
     """The newest event of each user, kept by a stream with a day to live."""
     schema = b.load(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/{{events.parquet}}")  # a file or a folder of files
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     rows = stream.select(
         F.col("user_id").cast("string").alias("id"), F.timestamp_diff("MILLISECOND", epoch, F.col("ts")).alias("at"),
@@ -866,7 +866,7 @@ def streamed_latest(spark, folder):
     )
     place = scratch_folder(spark)
     arrivals.keep_latest(rows, f"{place}/out", f"{place}/state", ttl_ms=86_400_000).awaitTermination()
-    return spark.read.parquet(f"{place}/out/version=0").select("id", "at", "payload")
+    return arrivals.newest(spark, f"{place}/out").select("id", "at", "payload")
 
 
 @query

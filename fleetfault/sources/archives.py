@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ARCHIVE_BYTES = 200 * 1024 * 1024
@@ -21,13 +21,30 @@ BLOCKS = (
 
 
 def read_archives(spark: SparkSession, path: str, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
-    """Zip files of at most ``max_bytes``; the size test reaches the scan."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.zip")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .where(F.col("length") <= max_bytes)
+    """Zip files of at most ``max_bytes``; the size test reaches the scan.  ``oversize_archives``
+    lists the others."""
+    return _zip_files(spark, path).where(F.col("length") <= max_bytes)
+
+
+def _zip_files(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
+    return reader.load(path)
+
+
+def report_of_path(path: Column) -> Column:
+    """The file name without ``.zip``."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.zip\z", "")
+
+
+def oversize_archives(spark: SparkSession, path: str, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
+    """``(report_id, length, error)`` of the archives that ``read_archives`` leaves out.  Their
+    content is not read."""
+    return oversize_rows(_zip_files(spark, path), max_bytes)
+
+
+def oversize_rows(archives: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
+    return archives.where(F.col("length") > max_bytes).select(
+        report_of_path(F.col("path")).alias("report_id"), "length", F.lit(f"larger than {max_bytes} bytes").alias("error")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,11 +42,14 @@ def append_anomalies(lines: DataFrame, path: str, checkpoint: str) -> StreamingQ
     )
 
 
-def analyse_arrivals(spark: SparkSession, source: str, path: str, checkpoint: str) -> StreamingQuery:
+def analyse_arrivals(
+    spark: SparkSession, source: str, path: str, checkpoint: str, max_bytes: int = archives.MAX_ARCHIVE_BYTES
+) -> StreamingQuery:
     """Analyses archives that land in ``source``; a micro-batch holds whole reports.
 
     A batch writes ``path/<table>/batch=<n>`` and overwrites it when repeated, so
-    a restart neither loses nor doubles reports.
+    a restart neither loses nor doubles reports.  An archive above the size limit is not
+    opened and has its row in ``rejects``.
     """
     stream = (
         spark.readStream.format("binaryFile")
@@ -54,13 +59,15 @@ def analyse_arrivals(spark: SparkSession, source: str, path: str, checkpoint: st
     )
 
     def run(batch: DataFrame, number: int) -> None:
-        tables = report.analyse(report.typed_tables(archives.expand_archives(batch)))
+        small = batch.where(F.col("length") <= max_bytes)
+        tables = report.analyse(report.typed_tables(archives.expand_archives(small)))
+        large = archives.oversize_rows(batch, max_bytes).select("report_id", "error")
+        tables["rejects"] = tables["rejects"].unionByName(large)
         for name in ("insights", "timeline", "health", "rejects"):
             tables[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     return (
-        stream.where(F.col("length") <= archives.MAX_ARCHIVE_BYTES)
-        .writeStream.foreachBatch(run)
+        stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -71,9 +78,11 @@ def keep_latest(results: DataFrame, path: str, checkpoint: str, ttl_ms: int = 3_
     """Streaming ``id, at, payload`` (``at`` in epoch ms) -> table of the newest row per id.
 
     Each micro-batch merges its rows into the table before it and writes a new
-    version; ids not refreshed within ``ttl_ms`` of the newest ``at`` fall out.  A
-    repeated batch starts from the same earlier version and gives the same result.
+    version; ids not refreshed within ``ttl_ms`` of the newest ``at`` fall out, and of rows
+    with the same ``at`` the one with the greatest payload stays.  A repeated batch starts from
+    the same earlier version and gives the same result; versions before that one are removed.
     The merge is one aggregation with map-side combine, so a busy id is no hot task.
+    ``newest`` reads the result.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -81,9 +90,11 @@ def keep_latest(results: DataFrame, path: str, checkpoint: str, ttl_ms: int = 3_
         if number > 0:
             rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{path}/version={number - 1}"))
         now = rows.agg(F.max("at")).first()[0]
-        latest_results(rows, ["id"], "at", F.lit(now), F.lit(ttl_ms)).write.mode("overwrite").parquet(
+        latest_results(rows, ["id"], "at", F.lit(now), F.lit(ttl_ms), tie="payload").write.mode("overwrite").parquet(
             f"{path}/version={number}"
         )
+        if number > 1:
+            _remove(batch.sparkSession, f"{path}/version={number - 2}")
 
     return (
         results.writeStream.foreachBatch(run)
@@ -91,3 +102,15 @@ def keep_latest(results: DataFrame, path: str, checkpoint: str, ttl_ms: int = 3_
         .trigger(availableNow=True)
         .start()
     )
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The last version that ``keep_latest`` finished."""
+    files = spark.read.parquet(path).inputFiles()
+    number = max(int(name) for file in files for name in re.findall(r"/version=(\d+)/", file))
+    return spark.read.parquet(f"{path}/version={number}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -139,3 +139,32 @@ def test_graph(spark, seed):
                 chain.append(at)
             mine = got.get((g, v), {})
             assert [mine[i] for i in sorted(mine)] == chain
+
+
+def test_task_summary_is_bounded():
+    import numpy as np
+
+    for times in (np.arange(200_000) * 7, np.arange(200_000), np.arange(200_000)[::-1].copy()):
+        lows, *_ = dedup._steps(times.astype(np.int64), np.arange(200_000), 1000)
+        assert len(lows) <= 4 * 1000 + 3
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_sweep_equals_walk(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    n = rng.randrange(1, 60)
+    sigs = np.array([rng.choice("aab") for _ in range(n)], object)
+    ms = np.cumsum([rng.choice([0, 1, 5, -3, 20]) for _ in range(n)]).astype(np.int64)
+    for i in range(n):
+        if rng.random() < 0.05:
+            ms[i] = dedup._NONE
+    state = rng.choice([None, ("a", 3, -1), ("b", 3, -1), ("a", int(dedup._NONE), -1)])
+    got, last = dedup._sweep(sigs, ms, np.arange(n), state, 10)
+    for i in range(n):
+        far = state is None or dedup._NONE in (ms[i], state[1]) or state[0] != sigs[i] or abs(int(ms[i]) - state[1]) > 10
+        if far:
+            state = (sigs[i], int(ms[i]), i)
+        assert got[i] == state[2]
+    assert last == state

@@ -110,3 +110,15 @@ def test_kernel(spark):
 
     rule = kernel.detect_events(entries).where("type = 'selinux_denial'").select(allow_rule(F.col("details"))).first()[0]
     assert rule == "allow foo bar:file { read };"
+
+
+def test_control_characters_are_text(spark):
+    df = lines(
+        spark,
+        "\x01\x0101-15 10:30:45.123\x011\x012\x01E\x01DEBUG\x01signal 11",
+        at("Ta\x01g", "hello\x01 world"),
+        at("Plain", "x", time="01-15 10:30:45.124").replace("  1234", "  10057  1234", 1),
+    )
+    got = logs.parse_log(df).orderBy("entry_idx").collect()
+    assert [(r.tag, r.message, r.pid) for r in got] == [("Ta\x01g", "hello\x01 world", 1234), ("Plain", "x", 1234)]
+    assert logs.log_stats(df).first().parsed_lines == 2
