@@ -541,8 +541,3 @@ def hot_frames(view: DataFrame, keys: Sequence[str] = ("report_id",)) -> DataFra
         F.col("raw"),
     )
     return view.groupBy(*keys, func.alias("function")).agg(F.count(F.lit(1)).alias("count"))
-
-
-def shown_frames(fr: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """First ``k`` frames of each thread."""
-    return top_rows(fr, [*keys, "thread_no"], [F.col("frame_no")], k, "ord")

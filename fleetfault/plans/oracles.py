@@ -380,7 +380,7 @@ oracle("section_routes", DOCS, SECTS, """SELECT report_id, CAST(0 AS BIGINT) AS
 oracle("section_log_lines", DOCS, """SELECT report_id, p AS line_no, CAST(length(l[p]) AS BIGINT) AS chars FROM (SELECT report_id, l, unnest(range(1, len(l) + 1)) AS p FROM (
   SELECT report_id, CASE WHEN doc_id % 3 = 0 THEN list_prepend('', string_split(text, chr(10))) ELSE string_split(text, chr(10)) END AS l FROM docs))""")
 oracle("report_meta", DOCS, """SELECT report_id, 'M' || doc_id % 50 AS device_model, CAST(20 + doc_id % 15 AS INT) AS sdk_level, CASE WHEN doc_id % 4 = 0 THEN '5.' || doc_id ELSE 'unknown' END AS kernel_version,
-  'unknown' AS manufacturer, '2024-01-15 10:00:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') AS report_time FROM docs""")
+  'unknown' AS manufacturer, 'unknown' AS android_version, 'unknown' AS build_fingerprint, 'unknown' AS build_date, '2024-01-15 10:00:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') AS report_time FROM docs""")
 
 # Findings -------------------------------------------------------------------------------------------------------
 
@@ -392,7 +392,7 @@ LOGFIND = f"""logfind AS (SELECT m.report_id, m.entry_idx, m.severity, m.categor
 _LF = [*_MERGE, NEAR, SNIPPETS, LOGFIND]
 oracle("log_findings", *_LF, "SELECT * FROM logfind", recursive=True)
 oracle("explained_logs", LOGS, ENTRIES, KINDS, FOUND, """SELECT report_id, summary AS title, count(*) AS n FROM found
-  WHERE NOT (category = 'anr' AND report_id IN ('r0', 'r1')) GROUP BY 1, 2""")
+  WHERE NOT (category = 'anr' AND report_id IN (SELECT 'r' || 2 * n_regionkey FROM nation)) GROUP BY 1, 2""")
 oracle("tag_findings", LOGS, ENTRIES, _tags(20), """SELECT report_id, 'Top Error Tags (E/F level)' AS title,
   'Error/Fatal log distribution: vendor=' || CAST(coalesce(sum(n) FILTER (classification = 'vendor'), 0) AS BIGINT) || ', framework=' || CAST(coalesce(sum(n) FILTER (classification = 'framework'), 0) AS BIGINT)
   || ', app=' || CAST(coalesce(sum(n) FILTER (classification = 'app'), 0) AS BIGINT) || chr(10) || chr(10)
@@ -560,7 +560,8 @@ oracle("hal_cross_reference", *_TRACED, FACTS, FR, TARGETS, CHOSEN, HALS, FAMILI
   'status unknown (not found in lshal)') AS text FROM firsts a LEFT JOIN families f ON replace(f.report_id, 'h', 'r') = a.report_id AND split_part(f.family, '::', 1) = lower(split_part(a.package_name, '@', 1))""", recursive=True)
 oracle("streamed_anomalies", LOGS, KINDS, ENTRIES, FOUND,
        f"SELECT report_id, line_no, type, summary, tag, {_CLASS} AS classification FROM found")
-oracle("streamed_latest", """SELECT CAST(user_id AS VARCHAR) AS id, max(epoch_us(ts) // 1000) AS at, arg_max(event_id || ':' || event_type, ts) AS payload FROM events
+oracle("streamed_latest", """SELECT CAST(user_id AS VARCHAR) AS id, max(epoch_us(ts) // 1000) AS at, first(event_id || ':' || event_type ORDER BY ts DESC, event_id || ':' || event_type DESC) AS payload FROM events
   GROUP BY 1 HAVING max(epoch_us(ts) // 1000) >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 86400000""")
-oracle("result_pages", EV.replace("event_type AS label", "'l' AS label"), _runs("ev", "pos"), f"runs AS ({_RUNS})", """SELECT report_id, 'insights' AS part, (pos + 1) // 100 AS page, CAST(count(*) AS INT) AS rows, arg_min(severity, pos) AS first_severity FROM ev GROUP BY 1, 3
-  UNION ALL SELECT report_id, 'timeline', seq // 100, CAST(count(*) AS INT), arg_min(severity, seq) FROM runs GROUP BY 1, 3""")
+oracle("result_pages", NAMES, POINTS, SCORES, EV.replace("event_type AS label", "'l' AS label"), _runs("ev", "pos"), f"runs AS ({_RUNS})", """SELECT report_id, 'insights' AS part, (pos + 1) // 100 AS page, CAST(count(*) AS INT) AS rows, arg_min(severity, pos) AS first_severity, CAST(NULL AS INT) AS overall FROM ev GROUP BY 1, 3
+  UNION ALL SELECT report_id, 'timeline', seq // 100, CAST(count(*) AS INT), arg_min(severity, seq), NULL FROM runs GROUP BY 1, 3
+  UNION ALL SELECT CAST(report_id AS VARCHAR), 'health', 0, NULL, NULL, overall FROM health""")

@@ -393,7 +393,8 @@ def report_meta(spark, folder):
     marked = _marked(spark, folder)
     meta = sections.report_meta(marked, sections.routes(sections.sections(marked)))
     return meta.select(
-        "report_id", "device_model", "sdk_level", "kernel_version", "manufacturer",
+        "report_id", "device_model", "sdk_level", "kernel_version", "manufacturer", "android_version", "build_fingerprint",
+        F.col("build_date").cast("string").alias("build_date"),
         F.date_format("report_ts", "yyyy-MM-dd HH:mm:ss").alias("report_time"),
     )
 
@@ -458,9 +459,8 @@ def explained_logs(spark, folder):
         category=F.when(F.col("type").isin("anr", "input_dispatching_timeout"), "anr").otherwise("other"),
         title=F.col("summary"), source="logcat",
     )
-    about = b.load(spark, folder, "nation").where("n_nationkey < 2").select(
-        F.expr("'r' || CAST(n_nationkey AS STRING)").alias("report_id")
-    )
+    # Reports with a trace: those named after a region.
+    about = b.load(spark, folder, "nation").select(F.expr("'r' || CAST(2 * n_regionkey AS STRING)").alias("report_id")).distinct()
     return findings.drop_explained(found, about).groupBy("report_id", "title").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -877,7 +877,8 @@ def result_pages(spark, folder):
         events.select("report_id", (F.col("pos") + 1).alias("insight_no"), "severity", "source", "details"),
         timeline.merge_runs(events), page_rows=100,
     )
-    return pages.where("part <> 'health'").select(
+    return pages.select(
         "report_id", "part", "page", F.json_array_length("result").alias("rows"),
         F.get_json_object("result", "$[0].severity").alias("first_severity"),
+        F.get_json_object("result", "$.overall").cast("int").alias("overall"),
     )

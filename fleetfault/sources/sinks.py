@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 def write_tables(tables: dict[str, DataFrame], path: str, report_dates: DataFrame, mode: str = "append") -> None:
     """Each table as parquet under ``path/<name>``, partitioned by ``report_date``.
 
-    Rows spread over files by report and row, so one large report is not one file.
+    Rows of a date are rebalanced into files of about the advisory size before they are
+    written, so small dates are one file and a large report is not one task.
     """
     for name, table in tables.items():
         if "report_id" in table.columns:
             table = table.join(report_dates, "report_id", "left")
-        (table.write.mode(mode).partitionBy("report_date") if "report_date" in table.columns else table.write.mode(mode)).parquet(
-            f"{path}/{name}"
-        )
+        if "report_date" in table.columns:
+            table.hint("rebalance", "report_date").write.mode(mode).partitionBy("report_date").parquet(f"{path}/{name}")
+        else:
+            table.write.mode(mode).parquet(f"{path}/{name}")
 
 
 def report_dates(meta: DataFrame) -> DataFrame:
