@@ -203,8 +203,8 @@ CRASH_LINES = [
     "'    x0  ' || hexa || hexa || '  x1  00000000000000aa'",
     "'    x0  ' || hexa || '00000000  lr  00000000000000bb'",
     "CASE WHEN library IS NOT NULL THEN 'backtrace:' END",
-    "CASE WHEN library IS NOT NULL THEN '      #00 pc 0004793e  ' || library || ' (func' || CAST(s_suppkey AS STRING) || '+158)' END",
-    "CASE WHEN library IS NOT NULL THEN '      #01 pc 0004793f  /system/lib64/libc.so (abort) (BuildId: abc' || hexa || ')' END",
+    "CASE WHEN library IS NOT NULL THEN '      #00 pc 000c01d4  ' || library || ' (func' || CAST(s_suppkey AS STRING) || '+158)' END",
+    "CASE WHEN library IS NOT NULL THEN '      #01 pc 000c01d8  /system/lib64/libc.so (abort) (BuildId: abc' || hexa || ')' END",
     "CASE WHEN library IS NOT NULL THEN '    x9  0000000000000001' END",
     "'memory near pc:'",
     "'    x2  ' || hexa || hexa",

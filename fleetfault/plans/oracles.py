@@ -292,16 +292,16 @@ oracle("crash_dumps", CR, CRASHES, """SELECT report_id, file, s_suppkey + 100 AS
   CASE WHEN signo > 0 THEN '0x' || hexa END AS fault_addr, CASE WHEN s_suppkey % 5 <> 0 THEN 'arm64' END AS abi, 'brand/dev' || s_nationkey AS build_fingerprint,
   '2024-02-03 10:00:00.' || hexa || '+0000' AS ts_text, abort AS abort_message, library AS crashed_in_binary, coalesce(starts_with(library, '/vendor/') OR starts_with(library, '/odm/'), false) AS is_vendor_crash, summary
   FROM crashed""")
-oracle("crash_frames", CR, """SELECT report_id, file, CAST(n AS BIGINT) AS frame_number, CASE n WHEN 0 THEN '0004793e' ELSE '0004793f' END AS pc, CASE n WHEN 0 THEN library ELSE '/system/lib64/libc.so' END AS binary,
+oracle("crash_frames", CR, """SELECT report_id, file, CAST(n AS BIGINT) AS frame_number, CASE n WHEN 0 THEN '000c01d4' ELSE '000c01d8' END AS pc, CASE n WHEN 0 THEN library ELSE '/system/lib64/libc.so' END AS binary,
   CASE n WHEN 0 THEN 'func' || s_suppkey ELSE 'abort' END AS function, CAST(CASE n WHEN 0 THEN 158 END AS BIGINT) AS "offset", CASE n WHEN 1 THEN 'abc' || hexa END AS build_id,
-  CASE n WHEN 0 THEN '#00 pc 0004793e  ' || library || ' (func' || s_suppkey || '+158)' ELSE '#01 pc 0004793f  /system/lib64/libc.so (abort) (BuildId: abc' || hexa || ')' END AS raw
+  CASE n WHEN 0 THEN '#00 pc 000c01d4  ' || library || ' (func' || s_suppkey || '+158)' ELSE '#01 pc 000c01d8  /system/lib64/libc.so (abort) (BuildId: abc' || hexa || ')' END AS raw
   FROM cr, (VALUES (0), (1)) v(n) WHERE library IS NOT NULL AND NOT ends_with(file, '.pb')""")
 oracle("crash_registers", CR, """SELECT report_id, file, r AS register, CASE r WHEN 'x0' THEN hexa || '00000000' WHEN 'x1' THEN '00000000000000aa' WHEN 'lr' THEN '00000000000000bb' ELSE hexa || hexa END AS value
   FROM cr, (VALUES ('x0'), ('x1'), ('lr'), ('x2')) v(r) WHERE NOT ends_with(file, '.pb')""")
 oracle("crash_files", CR, """SELECT report_id, count(*) AS total_files, count(*) FILTER (NOT ends_with(file, '.pb') AND (signo > 0 OR library IS NOT NULL)) AS parsed_files FROM cr GROUP BY 1""")
 oracle("crash_findings", CR, CRASHES, """SELECT report_id, s_suppkey AS file_idx, 'Native Crash: ' || signal_name || CASE WHEN starts_with(library, '/vendor/') OR starts_with(library, '/odm/') THEN ' [Vendor]' ELSE '' END || ' in ' || process_name AS title,
   concat_ws(chr(10), summary, 'Crashed in: ' || library, CASE WHEN signo > 0 THEN 'Fault address: 0x' || hexa END, CASE WHEN s_suppkey % 5 <> 0 THEN 'ABI: arm64' END, 'Abort message: ' || abort) AS description,
-  '#00 pc 0004793e  ' || library || ' (func' || s_suppkey || '+158)' || chr(10) || '#01 pc 0004793f  /system/lib64/libc.so (abort) (BuildId: abc' || hexa || ')' AS stack,
+  '#00 pc 000c01d4  ' || library || ' (func' || s_suppkey || '+158)' || chr(10) || '#01 pc 000c01d8  /system/lib64/libc.so (abort) (BuildId: abc' || hexa || ')' AS stack,
   '02-03 10:00:00.' || substr(hexa, 1, 3) AS ts_text FROM crashed""")
 
 # Snapshots -----------------------------------------------------------------------------------------------

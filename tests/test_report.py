@@ -31,12 +31,12 @@ KERNEL = f"""<6>[  10.000000] Linux version 5.15
 <3>[ 100.000000] last"""
 MEM = "Total RAM: 10,000,000K\n Free RAM: 300,000K\nUsed RAM: 9,000,000K\nTotal PSS by process:\n   512,000K: com.big (pid 5)\n\nend"
 CPU = "95% 12/system_server: 12% user + 6% kernel\n95.5% TOTAL: 60% user + 30% kernel + 25% iowait"
-HALS = "Y | vendor.trimble.hardware.trmbkeypad@1.0::ITrmbKeypad/default | hwbinder | | N/A | N/A |\nY | vendor.qti.color@1.0::IColor/default | hwbinder | | non-responsive |"
+HALS = "Y | vendor.otterco.hardware.ottrbeacon@1.0::IOttrBeacon/default | hwbinder | | N/A | N/A |\nY | vendor.qti.color@1.0::IColor/default | hwbinder | | non-responsive |"
 
 
 def body():
     parts = [
-        ("SYSTEM PROPERTIES", "getprop", "[ro.product.manufacturer]: [Trimble]\n[ro.product.model]: [T70]\n[sys.boot.reason]: [watchdog]"),
+        ("SYSTEM PROPERTIES", "getprop", "[ro.product.manufacturer]: [Otterco]\n[ro.product.model]: [Q12]\n[sys.boot.reason]: [watchdog]"),
         ("SYSTEM LOG", "logcat -v threadtime", LOGS), ("KERNEL LOG", "dmesg", KERNEL),
         ("MEMINFO", "dumpsys meminfo", MEM), ("DUMPSYS CPU", "dumpsys", CPU), ("HARDWARE HALS", "lshal --all", HALS),
     ]
@@ -48,7 +48,7 @@ def tables(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("zips")
     trace = dump(
         [main("Native", ["android.os.BinderProxy.transact(BinderProxy.java:1)",
-                         "vendor.trimble.hardware.trmbkeypad.V1_0.ITrmbKeypad.getService(I.java:1)",
+                         "vendor.otterco.hardware.ottrbeacon.V1_0.IOttrBeacon.getService(I.java:1)",
                          "com.example.app.K.init(K.java:2)"]),
          dict(name="a", tid=5, state="Blocked", wait=6, stack=APP), dict(name="b", tid=6, state="Blocked", wait=5, held=["0xff"])],
     )
@@ -70,10 +70,10 @@ def test_insights(tables):
     titles = [(r.severity, r.source, r.title) for r in rows]
     assert titles == [
         ("critical", "logcat", "Fatal Exception: main"),
-        ("critical", "anr", "ANR: Slow Binder Call to ITrmbKeypad in com.example.app"),
+        ("critical", "anr", "ANR: Slow Binder Call to IOttrBeacon in com.example.app"),
         ("critical", "anr", "Deadlock: 2 threads in circular wait"),
         ("critical", "kernel", "Kernel panic: not syncing: x"),
-        ("critical", "tombstone", "Native Crash: SIGSEGV [Vendor] in com.example.app"),
+        ("critical", "tombstone", "Native Crash: SIGSEGV [Vendor] in org.otter.maps"),
         ("warning", "logcat", "Slow operation: delivery (×2)"),
         ("warning", "cross", "Low available memory"),
         ("warning", "cross", "High CPU usage"),
@@ -90,10 +90,10 @@ def test_insights(tables):
     fatal = by["Fatal Exception: main"]
     assert fatal.description == "A fatal exception occurred (PID 200), causing the application to crash."
     assert fatal.snippet.count("FATAL EXCEPTION") == 4 and fatal.debug_commands[0] == "adb logcat -b crash -d"
-    anr = by["ANR: Slow Binder Call to ITrmbKeypad in com.example.app"]
+    anr = by["ANR: Slow Binder Call to IOttrBeacon in com.example.app"]
     assert anr.description.split("\n") == [
         "ANR in com.example.app: Slow Binder Call (confidence: high)",
-        "Target HAL: ITrmbKeypad (vendor.trimble.hardware.trmbkeypad@1.0) → ITrmbKeypad.getService() called from com.example.app.K.init()",
+        "Target HAL: IOttrBeacon (vendor.otterco.hardware.ottrbeacon@1.0) → IOttrBeacon.getService() called from com.example.app.K.init()",
     ]
     assert anr.stack.startswith("at android.os.BinderProxy") and anr.ts_text == "01-15 10:00:00.000"
     assert by["Deadlock: 2 threads in circular wait"].description.startswith('Deadlock cycle involving: "a" (tid=5), "b" (tid=6).')
@@ -134,10 +134,10 @@ def test_contexts(tables):
     panic = get(4, "log")
     assert [t[:16] for t in panic] == ["<3>[  90.000000]", "<3>[  94.000000]", "<3>[  95.000000]"]
     assert tables["hal_cross_reference"].first().text == (
-        "- ITrmbKeypad (vendor.trimble.hardware.trmbkeypad@1.0) → declared, highest=1.0, 1 version(s) [OEM]"
+        "- IOttrBeacon (vendor.otterco.hardware.ottrbeacon@1.0) → declared, highest=1.0, 1 version(s) [OEM]"
     )
     text = {r.report_id: r.review for r in ctx.review_text(tables["review_parts"], problem="slow").collect()}
-    assert "Model: T70 (Trimble)" in text["r1"] and "## Insights (16 total)" in text["r1"]
+    assert "Model: Q12 (Otterco)" in text["r1"] and "## Insights (16 total)" in text["r1"]
     assert "### insight-2: ANR: Slow Binder Call" in text["r1"] and text["r1"].endswith("slow")
     assert text["r2"].count("\n") < 25
 

@@ -90,8 +90,8 @@ def parsed(spark):
     )
     dumps["subj"] = dump(
         [main(stack=APP), dict(name="android.fg", tid=17, state="Native", stack=[
-            "vendor.trimble.hardware.trmbkeypad.V1_0.ITrmbKeypad.getService(ITrmbKeypad.java:57)",
-            "vendor.trimble.hardware.trmbkeypad.V1_0.ITrmbKeypad.getService(ITrmbKeypad.java:60)",
+            "vendor.otterco.hardware.ottrbeacon.V1_0.IOttrBeacon.getService(IOttrBeacon.java:57)",
+            "vendor.otterco.hardware.ottrbeacon.V1_0.IOttrBeacon.getService(IOttrBeacon.java:60)",
             "com.android.server.Keypad.init(Keypad.java:9)", "android.os.BinderProxy.transact(B.java:1)"])],
         subject="Blocked in handler on foreground thread (android.fg) for 15s", process="system_server",
     )
@@ -140,7 +140,7 @@ def test_targets(parsed):
     got = {r.trace_id: r for r in traces.binder_targets(chosen, parsed.fr).collect()}
     assert (got["binder"].interface_name, got["binder"].package_name, got["binder"].method) == ("A", "com.example.app", "a")
     assert (got["subj"].interface_name, got["subj"].package_name, got["subj"].method, got["subj"].caller_class) == (
-        "ITrmbKeypad", "vendor.trimble.hardware.trmbkeypad@1.0", "getService", "com.android.server.Keypad",
+        "IOttrBeacon", "vendor.otterco.hardware.ottrbeacon@1.0", "getService", "com.android.server.Keypad",
     )
 
 
