@@ -36,6 +36,7 @@ LENGTH = 200
 KMER = 32
 PIECE = 1 << 21  # windows of a text taken at once
 MAX_SPANS = 50_000
+SENT = 200_000  # spans a task remembers to have given; beyond that some are given twice
 _AT = np.uint64((1 << 24) - 1)
 
 
@@ -183,6 +184,21 @@ def _range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
     return out
 
 
+STRETCHES = "span long, from long, to long"
+
+
+def _stretches(spans: pa.Array, places: list[np.ndarray]) -> pa.RecordBatch:
+    """Neighbouring places of each span as one row."""
+    flat = np.concatenate(places) if places else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(places)), [len(x) for x in places])
+    new = np.concatenate([[True], (flat[1:] != flat[:-1] + 1) | (owner[1:] != owner[:-1])]) if len(flat) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(flat)) - 1 if len(flat) else begin
+    return pa.RecordBatch.from_arrays(
+        [spans.take(pa.array(owner[begin], pa.int64())), pa.array(flat[begin]), pa.array(flat[end])], names=["span", "from", "to"]
+    )
+
+
 def _repeated(docs: DataFrame, length: int, kmer: int, max_spans: int) -> DataFrame:
     """``(doc_id, text_hash, first, last)``: windows, by place in the text, that occur elsewhere."""
     spark = docs.sparkSession
@@ -210,6 +226,7 @@ def _repeated(docs: DataFrame, length: int, kmer: int, max_spans: int) -> DataFr
     in_mixed = spark.sparkContext.broadcast(bloom(mixed.select("g")))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # spans whose bytes this task has given already
         for batch in batches:
             for data, borders, row, shift in _parts(batch.column(2), length):
                 runs = Runs(data, borders, length, kmer)
@@ -217,32 +234,30 @@ def _repeated(docs: DataFrame, length: int, kmer: int, max_spans: int) -> DataFr
                 keep = np.flatnonzero(again | odd)
                 if not len(keep):
                     continue
-                content = [data[a:b].tobytes() if o else None for a, b, o in
-                           zip(runs.first[keep].tolist(), (runs.last[keep] + length).tolist(), odd[keep].tolist())]
+                content = []
+                for a, b, o, name in zip(runs.first[keep].tolist(), (runs.last[keep] + length).tolist(), odd[keep].tolist(), runs.span[keep].tolist()):
+                    content.append(data[a:b].tobytes() if o and name not in sent else None)
+                    if o and len(sent) < SENT:
+                        sent.add(name)
                 own = runs.row[keep]
                 who = pa.array(own + row)
                 begin = runs.first[keep] - borders[own] + shift
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(who), batch.column(1).take(who), pa.array(begin),
-                     pa.array(begin + runs.last[keep] - runs.first[keep]), pa.array(runs.anchor[keep] - runs.first[keep]),
+                     pa.array(begin + runs.last[keep] - runs.first[keep]), pa.array(runs.anchor[keep] - runs.first[keep]), pa.array(odd[keep]),
                      pa.array(runs.group[keep].view(np.int64)), pa.array(runs.span[keep].view(np.int64)), pa.array(content, pa.binary())],
-                    names=["doc_id", "text_hash", "first", "last", "anchor", "g", "span", "content"])
+                    names=["doc_id", "text_hash", "first", "last", "anchor", "odd", "g", "span", "content"])
 
     path = scratch_folder(spark)
     docs.select("doc_id", "text_hash", "text").mapInArrow(
-        marked, f"doc_id {kind}, text_hash long, first long, last long, anchor long, g long, span long, content binary"
-    ).write.parquet(path)
+        marked, f"doc_id {kind}, text_hash long, first long, last long, anchor long, odd boolean, g long, span long, content binary"
+    ).write.option("compression", "zstd").parquet(path)
     runs = spark.read.parquet(path)
 
     whole = runs.select("doc_id", "text_hash", "first", "last", "span").join(twice, "span", "left_semi")
-    one = (
-        runs.where("content is not null").groupBy("g", "span")
-        .agg(F.min(F.struct("anchor", "content")).alias("c")).join(mixed, "g")
-        .select("g", "span", "spans", "c.anchor", "c.content")
-    )
-    path = scratch_folder(spark)
-    one.write.parquet(path)
-    one = spark.read.parquet(path)
+    one = runs.where("content is not null").select("g", "span", "anchor", "content")
+    large = mixed.where(f"spans > {max_spans}").select("g")
+    some_large = not large.isEmpty()
 
     def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -255,6 +270,8 @@ def _repeated(docs: DataFrame, length: int, kmer: int, max_spans: int) -> DataFr
             if not held:
                 return
             table = pa.Table.from_batches(held).combine_chunks()
+            g, span = np.asarray(table["g"]), np.asarray(table["span"])
+            table = table.filter(pa.array(np.concatenate([[True], (g[1:] != g[:-1]) | (span[1:] != span[:-1])])))  # other tasks gave it too
             g = np.asarray(table["g"])
             stop = len(g) if batch is None else int(np.searchsorted(g, g[-1]))
             ready, held = table.slice(0, stop), table.slice(stop).to_batches()
@@ -263,14 +280,12 @@ def _repeated(docs: DataFrame, length: int, kmer: int, max_spans: int) -> DataFr
                     np.asarray(ready["g"]), ready["content"].to_pylist(), np.asarray(ready["anchor"]), length
                 )
                 some = [k for k, x in enumerate(found) if len(x)]
-                yield pa.RecordBatch.from_arrays(
-                    [ready["span"].combine_chunks().take(pa.array(some, pa.int64())), pa.array([found[k] for k in some], pa.list_(pa.int64()))],
-                    names=["span", "places"],
-                )
+                yield _stretches(ready["span"].combine_chunks().take(pa.array(some, pa.int64())), [found[k] for k in some])
 
     few = (
-        one.where(f"spans <= {max_spans}").select("g", "span", "anchor", "content")
-        .repartition("g").sortWithinPartitions("g").mapInArrow(sorted_groups, "span long, places array<long>")
+        (one.join(large, "g", "left_anti") if some_large else one)
+        .select("g", "span", "anchor", "content")
+        .repartition("g").sortWithinPartitions("g", "span").mapInArrow(sorted_groups, STRETCHES)
     )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,15 +300,17 @@ def _repeated(docs: DataFrame, length: int, kmer: int, max_spans: int) -> DataFr
                     names=["name", "span", "place"],
                 )
 
-    rows = one.where(f"spans > {max_spans}").select("g", "span", "anchor", "content").mapInArrow(windows, "name long, span long, place long")
-    shared = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    many = rows.join(shared, "name", "left_semi").groupBy("span").agg(F.collect_list("place").alias("places"))
+    if some_large:
+        rows = one.join(large, "g").select("g", "span", "anchor", "content").dropDuplicates(["g", "span"])
+        rows = rows.mapInArrow(windows, "name long, span long, place long")
+        shared = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+        many = rows.join(shared, "name", "left_semi").groupBy("span").agg(F.sort_array(F.collect_set("place")).alias("places"))
+        few = few.unionByName(many.mapInArrow(lambda ps: (_stretches(p.column(0), [np.asarray(x.values) for x in p.column(1)]) for p in ps), STRETCHES))
     single = (
-        runs.where("content is not null").select("doc_id", "text_hash", "first", "span")
-        .join(few.unionByName(many), "span")
-        .select("doc_id", "text_hash", F.explode("places").alias("place"), "first")
-        .select("doc_id", "text_hash", (F.col("first") + F.col("place")).alias("first"), (F.col("first") + F.col("place")).alias("last"))
-    )
+        runs.where("odd").select("doc_id", "text_hash", "first", "span")
+        .join(few, "span")
+        .select("doc_id", "text_hash", (F.col("first") + F.col("from")).alias("first"), (F.col("first") + F.col("to")).alias("last"))
+    )
     return whole.select("doc_id", "text_hash", "first", "last").unionByName(single)
 
 
