@@ -28,6 +28,7 @@ from fleetfault.llm.words import slices, span_hashes, text_bytes, worker_store
 
 BLANK = "▁"
 MAX_TOKENS = 4096
+SLICE_BYTES = 4 << 20  # texts counted at once; equal chunks among them are run once
 KEPT_CHUNKS = 1 << 20  # counts a worker remembers before it starts anew; no influence on results
 KEPT_STATES = 1 << 18
 
@@ -138,7 +139,7 @@ def count_batch(transducer: Transducer, known: dict, column: pa.Array) -> np.nda
     """Tokens of each text of a column."""
     data, borders = text_bytes(column)
     out = np.zeros(len(borders) - 1, np.int64)
-    for low, high in slices(borders):
+    for low, high in slices(borders, SLICE_BYTES):
         part, edges = data[borders[low] : borders[high]], borders[low : high + 1] - borders[low]
         starts, opens = _chunks(part, edges, transducer.cuts_at_newline)
         if not len(starts):

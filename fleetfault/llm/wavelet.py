@@ -23,12 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetfault.llm.words import SLICE, slices, span_hashes, text_bytes, word_spans, worker_store
+from fleetfault.llm.words import slices, span_hashes, text_bytes, word_spans, worker_store
 from fleetfault.session import scratch_folder
 
 END_ID = 2
 SHARD_IDS = 1 << 21  # a shard ends with the text that reaches so many ids
 BLOCK = 1 << 16  # bits of a plane between two entries of the rank directory
+SLICE_BYTES = 4 << 20  # texts encoded at once; equal spans among them are looked up once
 KEPT_SPANS = 1 << 20  # spans a worker remembers before it starts anew; no influence on results
 MAGIC = b"FWM1"
 
@@ -292,7 +293,7 @@ def write_shards(
             absent = np.asarray(key.is_null())
             key = np.asarray(key.fill_null(0))
             data, borders = text_bytes(batch.column(1))
-            for low, high in slices(borders, min(SLICE, 2 * shard_ids)):
+            for low, high in slices(borders, min(SLICE_BYTES, 2 * shard_ids)):
                 part = data[borders[low] : borders[high]]
                 ids, sizes = store["encoder"].encode(part, borders[low : high + 1] - borders[low], end_id)
                 for piece, value in zip(kept, (ids, key[low:high], absent[low:high], sizes)):
