@@ -20,7 +20,7 @@ MAX_LOST_PERCENT = 40  # of the words, in removed lines
 # A line ends like a sentence, or is a heading or list entry of some length.
 SENTENCE_END = r"""[.!?…:;。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
 MIN_OPEN_WORDS = 3
-# Two menu separators, or nothing but the words of a menu.
+# Three menu separators, or nothing but the words of a menu.
 NAVIGATION = (
     r"(?i)[|»›•·>].*[|»›•·>].*[|»›•·>]"
     r"|^[\x20\x09-\x0D]*(home|menu|search|log ?in|sign ?(in|up)|share|next|previous|back|read more|subscribe|about us|contact us"
