@@ -11,9 +11,11 @@ Two texts link when ``100 * |x & y| >= percent * |x | y|`` for their sets of n-g
   verified only when it shares as many prefix n-grams as its two prefixes demand, which for
   partners of like size is a good part of the prefix.
 * Near copies of one text would be candidates all with all.  So pairs with a few pivots of
-  each prefix n-gram are verified first, and link most of a group; after that only pairs
-  from different groups are made, at first per n-gram from those outside its largest group.
-  All such pairs are made, none is capped, so no link between groups is lost.
+  each prefix n-gram are verified first; they link most of a group, and pairs that share half
+  of their n-grams make a neighbourhood.  Inside a neighbourhood, texts outside its largest
+  group are compared with all others in blocks, where pairs are numbers of a matrix, not
+  rows.  Candidate pairs from prefixes are only made between neighbourhoods.
+  None of this is capped, so no link between groups is lost.
 
 N-grams are 58-bit hashes under six bits of rarity; two differ in a pair of texts of a
 thousand n-grams each with a chance of error of 1e-12.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfault.llm.components import components
@@ -40,6 +42,7 @@ COUNTERS = 1 << 22
 LONG_COST = 64  # expected partners from which a prefix is lengthened
 PIVOTS = 2  # per prefix n-gram
 TRIES = 2  # pivots verified per text
+BLOCK = 256  # texts on either side of a block
 _LOW = np.uint64((1 << 58) - 1)
 # Null ids stand behind all others while groups are formed, and are null again afterwards.
 _NO_ID = 1 << 62
@@ -122,11 +125,10 @@ def _ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.unique(rare << np.uint64(58) | scatter(grams) & _LOW)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``(a, b)`` of ``pairs`` that link.  Sets are made anew for the texts in a pair only."""
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``(id, grams)`` of the texts in ``ids``, made anew from the texts and written once."""
     spark = docs.sparkSession
-
-    wanted = spark.sparkContext.broadcast(bloom(pairs.select("a", "b")))
+    wanted = spark.sparkContext.broadcast(bloom(ids.select("id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,28 +139,119 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
                     [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "grams"]
                 )
 
-    # Repeated rows have equal ids and sets.
-    made = docs.mapInArrow(sets, "id long, grams binary")
     path = scratch_folder(spark)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    made.join(ids, "id", "left_semi").write.parquet(path)
-    kept = spark.read.parquet(path).dropDuplicates(["id"])
+    docs.mapInArrow(sets, "id long, grams binary").join(ids, "id", "left_semi").write.parquet(path)
+    return spark.read.parquet(path).dropDuplicates(["id"])  # repeated rows have equal ids and sets
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(a, b, link)`` for the pairs that share at least half of all their n-grams."""
+    kept = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            near, link = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = len(x) + len(y) - both
+                near.append(2 * both >= union)
+                link.append(100 * both >= percent * union)
+            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(link, pa.bool_())], names=["a", "b", "link"])
+            yield whole.filter(pa.array([n or k for n, k in zip(near, link)], pa.bool_()))
 
     with_b = pairs.select("a", "b").join(kept.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = with_b.join(kept.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, link boolean")
+
+
+def block_links(ids: np.ndarray, labels: np.ndarray, outside: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between texts of different labels, one of them ``outside``: a spanning forest of them.
+
+    All intersections at once, as a product of the incidence matrices over the n-grams that
+    more than one of the texts has.
+    """
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    grams, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    shared = times[place] > 1
+    owner, column = np.repeat(np.arange(len(sets)), size)[shared], column[place[shared]]
+    rows, others = np.flatnonzero(outside), np.arange(len(sets))
+    both = np.zeros((len(rows), len(sets)), np.float32)
+    for low in range(0, int((times > 1).sum()), 2048):
+        here = (column >= low) & (column < low + 2048)
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[owner[here], column[here] - low] = 1
+        both += part[rows] @ part.T
+    union = size[rows][:, None] + size[None, :] - both
+    linked = (100 * both >= percent * union) & (labels[rows][:, None] != labels[None, :])
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = find(int(labels[rows[i]])), find(int(labels[others[j]]))
+        if x != y:
+            root[x] = y
+            found.append((int(ids[rows[i]]), int(ids[others[j]])))
+    return found
+
+
+def _within(docs: DataFrame, near: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between groups of one neighbourhood, ``near (id, k)``, in blocks of about ``BLOCK``
+    texts: those outside the largest group against all, block by block."""
+    members = near.join(labels, "id", "left").select("id", "k", F.coalesce("g", "id").alias("g"))
+    parts = members.groupBy("k", "g").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("k").agg(
+        F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("g", F.struct("c", "g")).alias("top"), F.count(F.lit(1)).alias("groups")
+    ).where("groups > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    rows = members.join(sizes, "k").select(
+        "id", "k", "g", (F.col("g") != F.col("top")).alias("outside"), blocks(F.col("m")).alias("all"), blocks(F.col("m") - F.col("most")).alias("few")
+    )
+    rows = materialize(rows)
+    sets = _sets(docs, rows.select("id"), size)
+    own = lambda n: F.pmod(F.xxhash64("id"), n)
+    every = rows.select("*", own(F.col("all")).alias("i"), F.explode(F.expr("sequence(0, few - 1)")).alias("j")).withColumn("outside", F.lit(False))
+    some = rows.where("outside").select("*", F.explode(F.expr("sequence(0, all - 1)")).alias("i"), own(F.col("few")).alias("j")).select(every.columns)
+    dealt = every.unionByName(some).select("id", "k", "g", "outside", "i", "j").join(sets, "id")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            once = {}
+            for _, ident, g, outside, grams in held:  # a text may be on both sides
+                once[ident] = (g, outside or once.get(ident, (0, False))[1], grams)
+            ids = np.array(list(once), np.int64)
+            found = block_links(
+                ids, np.array([x[0] for x in once.values()]), np.array([x[1] for x in once.values()]),
+                [np.frombuffer(x[2], np.uint64) for x in once.values()], percent,
+            )
+            return pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"]
+            )
+
+        for batch in batches:
+            for k, i, j, ident, g, outside, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][0] != (k, i, j):
+                    yield flush()
+                    held = []
+                held.append(((k, i, j), ident, g, outside, grams))
+        if held:
+            yield flush()
+
+    ordered = dealt.select("k", "i", "j", "id", "g", "outside", "grams").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    return ordered.mapInArrow(linked, "a long, b long")
 
 
 def _demand(percent: int) -> str:
@@ -172,6 +265,8 @@ def _links(docs: DataFrame, tokens: DataFrame, size: int, percent: int) -> DataF
     spark = docs.sparkSession
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
 
+    # One shuffle by n-gram serves both the sums and the join.
+    tokens = tokens.repartition("token")
     pivot = [F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", "n", "p") for k in range(PIVOTS)]
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), *[F.min(x).alias(f"pivot{k}") for k, x in enumerate(pivot)])
     path = scratch_folder(spark)
@@ -184,10 +279,13 @@ def _links(docs: DataFrame, tokens: DataFrame, size: int, percent: int) -> DataF
     # Shared n-grams of other pivots are not in c, so a part of the demand is enough to try.
     tried = top_rows(tried.where(f"{2 * PIVOTS} * c >= {_demand(percent)}"), ["id"], [F.col("c").desc(), F.col("id2")], TRIES)
     pairs = materialize(tried.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    first = materialize(_verified(docs, pairs, size, percent))
-    group = materialize(components(first))
+    tried = materialize(_verified(docs, pairs, size, percent))
+    first = tried.where("link").select("a", "b")
+    labels = materialize(components(first)).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    near = materialize(components(tried.select("a", "b"))).select(F.col("node").alias("id"), F.col("component").alias("k"))
+    inside = _within(docs, near, labels, size, percent)
 
-    grouped = buckets.select("token", "id", "n", "p").join(group.withColumnRenamed("node", "id"), "id", "left")
+    grouped = buckets.select("token", "id", "n", "p").join(near.withColumnRenamed("k", "component"), "id", "left")
     path = scratch_folder(spark)
     grouped.select("token", "id", "n", "p", F.coalesce("component", "id").alias("g")).write.parquet(path)
     grouped = spark.read.parquet(path)
@@ -207,7 +305,7 @@ def _links(docs: DataFrame, tokens: DataFrame, size: int, percent: int) -> DataF
         .where("c >= demand")
     )
     rest = materialize(enough.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
-    return first.unionByName(_verified(docs, rest, size, percent))
+    return first.unionByName(inside).unionByName(_verified(docs, rest, size, percent).where("link").select("a", "b"))
 
 
 def groups(
@@ -247,10 +345,14 @@ def groups(
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` less the near copies: of each group the row with the lowest ``doc_id`` stays.
 
-    Rows without words link with nothing and stay; rows with a null id stay unless their
-    group has another.  Of repeated rows (equal ids) one stays.
+    Rows without words link with nothing and stay; rows with a null id all stay.  Of
+    repeated rows (equal ids) one stays.
     """
     found = groups(docs, size, percent)
-    stays = found.where("doc_id is null or doc_id = component_id or component_id is null").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(stays.where("doc_id is not null"), "doc_id", "left_semi")
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    named = rows.where("doc.doc_id is not null").select("doc", F.col("doc.doc_id").cast("long").alias("id"))
+    # The join leaves rows in order of the id, which the window needs.
+    first = F.row_number().over(Window.partitionBy("id").orderBy("id"))
+    once = named.join(stays, F.col("id") == F.col("stays"), "left_semi").withColumn("nth", first).where("nth = 1")
+    return once.select("doc.*").unionByName(rows.where("doc.doc_id is null").select("doc.*"))
