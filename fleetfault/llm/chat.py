@@ -15,6 +15,7 @@ text can close its turn.  The loss mask covers what stands between ``<s>`` and `
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,25 +60,29 @@ def turns_of(formatted: Column) -> Column:
     return F.transform(F.regexp_extract_all(formatted, F.lit(f"({_TURN})"), F.lit(1)), turn)
 
 
-def _reach(nodes: DataFrame) -> list[DataFrame]:
-    """Tables of ``(tree, node, up, score, depth)``: table i jumps 2**i messages up and sums
-    score and number of the messages jumped over.  ``up`` is null where the root was passed;
-    such rows are only in the first table and in the last, which has every message."""
-    tables = []
+def _reach(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of ``(tree, node, up, score, depth)``: table i has the messages with an ancestor
+    2**i messages up, and sums score and number of the messages from there down.  And one table
+    of all messages that end at a root, with sums over their whole path."""
+    tables, ended = [], []
     current = materialize(nodes.select("tree", "node", F.col("parent").alias("up"), "score", F.lit(1).cast("long").alias("depth")))
     # A path longer than the table is a cycle and never ends.
     for _ in range(math.ceil(math.log2(current.count() + 1)) + 1):
-        tables.append(current.where("up is not null"))
-        if tables[-1].isEmpty():
+        active = current.where("up is not null")
+        tables.append(active)
+        ended.append(current.where("up is null").select("tree", "node", "score", "depth"))
+        if active.isEmpty():
             break
-        further = current.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
+        all_ended = reduce(DataFrame.unionByName, ended)
+        reached = active.unionByName(all_ended.withColumn("up", F.lit(None).cast("long"))).select(
+            "tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("depth").alias("d2"))
+        # Only messages that have not reached their root are joined again.
         current = materialize(
-            current.join(further, ["tree", "up"], "left").select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
+            active.join(reached, ["tree", "up"]).select(
+                "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("depth") + F.col("d2")).alias("depth")
             )
-        )
-    return [*tables, current]
+        )
+    return tables, reduce(DataFrame.unionByName, ended)
 
 
 def best_branches(nodes: DataFrame, k: int = 1) -> DataFrame:
@@ -92,8 +97,8 @@ def best_branches(nodes: DataFrame, k: int = 1) -> DataFrame:
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")
     )
     roots = materialize(roots)
-    *tables, total = _reach(roots)
-    leaves = total.where("up is null").join(
+    tables, ended = _reach(roots)
+    leaves = ended.join(
         roots.where("parent is not null").select("tree", F.col("parent").alias("node")), ["tree", "node"], "left_anti"
     )
     scored = leaves.select("tree", F.col("node").alias("leaf"), (F.col("score") / F.col("depth")).alias("branch_score"), "depth")
