@@ -26,7 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfault.llm.words import scatter, slices, span_hashes, text_bytes, word_spans
@@ -102,10 +103,10 @@ def _unpacked(raw: memoryview) -> list[np.ndarray]:
 
 
 def _dealt(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``(bucket, tokens)``: of each batch of texts, the tokens of each bucket.
+    """``(bucket, batch, tokens)``: of each batch of texts, the tokens of each bucket.
 
-    Arrays: words, tokens of each word, then context and text of each token, then id, hash and
-    training flag of the texts of the batch.
+    Arrays: words, tokens of each word, then context and text of each token, then the training
+    flag of the texts of the batch; in bucket 0 also their ids and which are null.
     """
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
     buckets = lexicon.buckets
@@ -113,10 +114,11 @@ def _dealt(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         end = int(own.number(np.array([END]))[0])
+        name = TaskContext.get().partitionId() << 32
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(low, ROWS)
-                held = list(_tokens(batch.column(3)))
+                held = list(_tokens(batch.column(2)))
                 words = np.concatenate([w for _, _, w in held])
                 rows = np.concatenate([r + first for first, r, _ in held])
                 number = own.number(words)
@@ -129,31 +131,36 @@ def _dealt(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 words, bucket = words[order], bucket[order].astype(np.int64)
                 context, rows = context[order].astype(np.uint16), rows[order].astype(np.uint16)
                 edge = np.searchsorted(bucket, np.arange(buckets + 1))
-                side = [np.asarray(batch.column(k)) for k in range(3)]
+                training = np.asarray(batch.column(1)).astype(np.uint8)
+                absent = np.asarray(batch.column(0).is_null()).astype(np.uint8)
+                ids = np.asarray(batch.column(0).fill_null(0))
                 blobs = []
                 for b in range(buckets):
                     w = words[edge[b] : edge[b + 1]]
                     new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
                     size = np.diff(np.append(new, len(w))).astype(np.uint32)
                     part = slice(edge[b], edge[b + 1])
-                    blobs.append(_packed(w[new], size, context[part], rows[part], side[0], side[1], side[2].astype(np.uint8)))
+                    blobs.append(_packed(w[new], size, context[part], rows[part], training, *([] if b else [ids, absent])))
+                name += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(buckets), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "tokens"]
+                    [pa.array(np.arange(buckets), pa.int32()), pa.array(np.full(buckets, name)), pa.array(blobs, pa.binary())],
+                    names=["bucket", "batch", "tokens"],
                 )
 
-    dealt = docs.select("id", "text_hash", "training", "text").mapInArrow(deal, "bucket int, tokens binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = docs.select("doc_id", "training", "text").mapInArrow(deal, "bucket int, batch long, tokens binary")
+    # More partitions than buckets, so that few buckets share one.
+    return dealt.repartition(4 * buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
     held, at = [], None
     for batch in batches:
-        for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for bucket, name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if held and bucket != at:
                 yield at, held
                 held = []
             at = bucket
-            held.append(_unpacked(memoryview(raw.as_buffer())))
+            held.append([*_unpacked(memoryview(raw.as_buffer())), name])
     if held:
         yield at, held
 
@@ -165,7 +172,7 @@ class Bucket:
         self.words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         word = np.repeat(place, np.concatenate([p[1] for p in parts]).astype(np.int64))
         self.key = word.astype(np.int64) << 16 | np.concatenate([p[2] for p in parts]).astype(np.int64)
-        training = np.concatenate([p[6][p[3]] for p in parts]).astype(bool)
+        training = np.concatenate([p[4][p[3]] for p in parts]).astype(bool)
         self.pairs, self.customers = np.unique(self.key[training], return_counts=True)
         self.dish, self.context = self.pairs >> 16, self.pairs & 0xFFFF
         self.count = np.bincount(self.dish, self.customers, len(self.words)).astype(np.int64)
@@ -265,7 +272,8 @@ class Shared:
 
 
 def _second_round(dealt: DataFrame, lexicon: Lexicon, shared: Shared) -> DataFrame:
-    """``(id, text_hash, n_tokens, n_known, base, score)``: each bucket's part of each text."""
+    """``(doc_id, training, n_tokens, n_known, base, score)`` of each text: each bucket gives its
+    part of all texts of a batch as one row, and the parts of a batch meet to be summed."""
     model = dealt.sparkSession.sparkContext.broadcast((lexicon, shared))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,15 +308,30 @@ def _second_round(dealt: DataFrame, lexicon: Lexicon, shared: Shared) -> DataFra
                 n = int(p[1].sum())
                 part = slice(begin, begin + n)
                 begin += n
-                size = len(p[4])
-                sums = [np.bincount(p[3], x, size) for x in (None, known[part], base[part], score[part])]
-                some = np.flatnonzero(sums[0])
+                sums = [np.bincount(p[3], x, len(p[4])) for x in (None, known[part], base[part], score[part])]
+                side = [p[4], *p[5:-1]] if number == 0 else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p[4][some]), pa.array(p[5][some]), *[pa.array(x[some].astype(np.int64)) for x in sums[:2]],
-                     *[pa.array(x[some]) for x in sums[2:]]],
-                    names=["id", "text_hash", "n_tokens", "n_known", "base", "score"])
+                    [pa.array([p[-1]], pa.int64()), pa.array([_packed(*sums, *side)], pa.binary())], names=["batch", "sums"]
+                )
 
-    return dealt.mapInArrow(scored, "id long, text_hash long, n_tokens long, n_known long, base double, score double")
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                arrays = _unpacked(memoryview(raw.as_buffer()))
+                total = held.setdefault(name, [[0, 0, 0, 0], None, 0])
+                total[0] = [a + b for a, b in zip(total[0], arrays)]
+                total[1] = arrays[4:] or total[1]
+                total[2] += 1
+                if total[2] == lexicon.buckets:
+                    (n, known, base, score), (training, ids, absent), _ = held.pop(name)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids, mask=absent.astype(bool)), pa.array(training.astype(bool)), pa.array(n, pa.int64()),
+                         pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
+                        names=["doc_id", "training", "n_tokens", "n_known", "base", "score"])
+
+    parts = dealt.mapInArrow(scored, "batch long, sums binary").repartition("batch").sortWithinPartitions("batch")
+    return parts.mapInArrow(added, "doc_id long, training boolean, n_tokens long, n_known long, base double, score double")
 
 
 def held_out(id_column: Column) -> Column:
@@ -320,16 +343,13 @@ def score(docs: DataFrame, held: Column | None = None, id_column: str = "doc_id"
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for each row of ``docs``.
 
     Learns from the rows that ``held`` (default: ``held_out`` of the id) leaves in.  A null or
-    empty text is its end only.  Words in lower case (A-Z only).  Repeated rows count as often
-    as they are there and get equal scores; null ids are kept; other columns are not read.
+    empty text is its end only.  Words in lower case (A-Z only).  Repeated rows are texts like
+    others; null ids are kept; other columns are not read.
     Without training rows every token is unknown.
     """
     spark = docs.sparkSession
     held = held_out(F.col(id_column)) if held is None else held
-    rows = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(-1)).alias("id"),
-        F.xxhash64(text_column).alias("text_hash"), (~held).alias("training"), held.alias("held_out"), F.col(text_column).alias("text"),
-    )
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), (~held).alias("training"), F.col(text_column).alias("text"))
     path = scratch_folder(spark)
     _word_counts(rows.where("training")).write.parquet(path)
     counts = spark.read.parquet(path)
@@ -340,14 +360,7 @@ def score(docs: DataFrame, held: Column | None = None, id_column: str = "doc_id"
         total, kinds, max(8, math.ceil(total / BUCKET_TOKENS)),
     )
     shared = Shared(lexicon, _first_round(_dealt(rows.where("training"), lexicon), lexicon).collect())  # a row per context
-    parts = _second_round(_dealt(rows, lexicon), lexicon, shared)
-    # Repeated rows have been summed: each gets its part.
-    sums = parts.groupBy("id", "text_hash").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    copies = rows.groupBy("id", "text_hash", "doc_id", "held_out").agg(F.count(F.lit(1)).alias("copies"))
-    same = F.sum("copies").over(Window.partitionBy("id", "text_hash"))
-    return copies.join(sums, ["id", "text_hash"]).withColumn("k", same).select(
-        "doc_id", "held_out", F.expr("n_tokens div k").alias("n_tokens"), F.expr("n_known div k").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / F.col("k")).alias("base_score"), (F.col("score") / F.col("k")).alias("score"),
-        F.explode(F.expr("sequence(1, cast(copies as int))")).alias("copy"),
-    ).drop("copy")
-
+    return _second_round(_dealt(rows, lexicon), lexicon, shared).select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score",
+    )
