@@ -38,7 +38,7 @@ SWEEPS = 3  # of burn-in, in each round
 SAMPLES = 4
 STRENGTH = 1.0  # of all restaurants
 FIRST_DISCOUNTS = (0.8, 0.5)  # of contexts and words, until they are estimated
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
 ROWS = 50_000  # texts in a batch
 END = np.uint64(0x5EED5EED5EED5EED)
 
@@ -309,6 +309,7 @@ def _second_round(dealt: DataFrame, lexicon: Lexicon, shared: Shared) -> DataFra
                 part = slice(begin, begin + n)
                 begin += n
                 sums = [np.bincount(p[3], x, len(p[4])) for x in (None, known[part], base[part], score[part])]
+                sums[:2] = [x.astype(np.uint32) for x in sums[:2]]
                 side = [p[4], *p[5:-1]] if number == 0 else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p[-1]], pa.int64()), pa.array([_packed(*sums, *side)], pa.binary())], names=["batch", "sums"]
@@ -326,7 +327,7 @@ def _second_round(dealt: DataFrame, lexicon: Lexicon, shared: Shared) -> DataFra
                 if total[2] == lexicon.buckets:
                     (n, known, base, score), (training, ids, absent), _ = held.pop(name)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, mask=absent.astype(bool)), pa.array(training.astype(bool)), pa.array(n, pa.int64()),
+                        [pa.array(ids, mask=absent.astype(bool)), pa.array(training.astype(bool)), pa.array(n.astype(np.int64)),
                          pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
                         names=["doc_id", "training", "n_tokens", "n_known", "base", "score"])
 
