@@ -2,21 +2,24 @@
 
 Every word is a customer of the restaurant of its context, the word before it; restaurants
 of all contexts share one parent, the restaurant of words, whose parent is the even spread
-over the vocabulary and one unknown word.  Contexts are the words that make up at least one
-in ``CONTEXTS`` of the training words, so there are at most that many; all rarer words are
-one context.  A table in a context restaurant is a customer of the parent.
+over the vocabulary and one unknown word.  Every word, however rare, is a context of its own.
+A table in a context restaurant is a customer of the parent.
 
 Seating is sampled by Gibbs: all tables of one dish in one restaurant are drawn anew, given
 the other tables and the parent, by the Chinese-restaurant process.  The work is dealt by
-word (a frequent word by word and context), so a dish is whole in one task; what
-restaurants share, their numbers of customers and tables and the parent's seating of
-frequent words, is summed over all tasks between the two rounds.  The first round burns in
-and gives those sums and the discounts; in the second, ``SAMPLES`` seatings are drawn and the
-predictive probability of each token is their mean.
+word, so a dish is whole in one task.  Words of at least one in ``FREQUENT`` of the training
+words are dealt by their context, or by word and context where both are that frequent.  What
+restaurants share is summed over all tasks between the two rounds: the parent's seating of
+frequent words, and the customers and tables of every context.  Each bucket asks for the
+contexts it holds, in slices by hash; a slice adds up what the buckets bring and answers each
+in the same order, so no table of contexts is broadcast and a hot one is a value a bucket.
+The first round burns in (a bucket then takes its own tables of a rare context for all of
+them) and gives those sums and the discounts; in the second, ``SAMPLES`` seatings are drawn
+and the predictive probability of each token is their mean.
 
 Tokens travel as arrays, one row for each batch of texts and bucket of words, and are summed
 inside a batch first.  The model is made of all training texts; nothing is sampled or cut
-but the seatings.  Only the table of contexts (at most ``CONTEXTS`` rows) is broadcast.
+but the seatings.  Only the table of frequent words (at most ``FREQUENT`` rows) is broadcast.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from fleetfault.llm.words import scatter, slices, span_hashes, text_bytes, word_spans
 from fleetfault.session import scratch_folder
 
-CONTEXTS = 1 << 15
+FREQUENT = 1 << 15
 SWEEPS = 3  # of burn-in, in each round
 SAMPLES = 4
 STRENGTH = 1.0  # of all restaurants
@@ -76,6 +79,7 @@ class Lexicon:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.total, self.kinds, self.buckets = total, kinds, buckets
+        self.slices = max(8, math.ceil(buckets / 4))  # of contexts
         self.base_unknown = 1.0 / (kinds + 1)
 
     def number(self, words: np.ndarray) -> np.ndarray:
@@ -86,6 +90,22 @@ class Lexicon:
         return np.where(self.words[at] == words, at + 1, 0)
 
 
+    def coded(self, words: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+        """Words as the numbers of the frequent ones, and the hashes of the others."""
+        return [numbers.astype(np.uint16), words[numbers == 0]]
+
+    def decoded(self, numbers: np.ndarray, others: np.ndarray) -> np.ndarray:
+        words = np.empty(len(numbers), np.uint64)
+        words[numbers == 0] = others
+        words[numbers > 0] = self.words[numbers[numbers > 0].astype(np.int64) - 1]
+        return words
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in the least number of bytes that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays as one value: their lengths and types, then their bytes."""
     head = ";".join(f"{x.dtype.str},{len(x)}" for x in arrays).encode()
@@ -102,18 +122,18 @@ def _unpacked(raw: memoryview) -> list[np.ndarray]:
     return out
 
 
-def _dealt(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``(bucket, batch, tokens)``: of each batch of texts, the tokens of each bucket.
+def _dealt(docs: DataFrame, lexicon: Lexicon, texts: bool) -> DataFrame:
+    """``(bucket, batch, tokens)``: of each batch of texts, the pairs of each bucket.
 
-    Arrays: words, tokens of each word, then context and text of each token, then the training
-    flag of the texts of the batch; in bucket 0 also their ids and which are null.
+    Arrays: words, pairs of each word, then context and training tokens of each pair.  With
+    ``texts`` also tokens of each pair and the text of each token, and the number of texts of the
+    batch; in bucket 0 then also their training flags, ids and which are null.
     """
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
     buckets = lexicon.buckets
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        end = int(own.number(np.array([END]))[0])
         name = TaskContext.get().partitionId() << 32
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS):
@@ -121,33 +141,54 @@ def _dealt(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 held = list(_tokens(batch.column(2)))
                 words = np.concatenate([w for _, _, w in held])
                 rows = np.concatenate([r + first for first, r, _ in held])
+                context = np.empty_like(words)
+                context[1:] = words[:-1]
+                context[np.concatenate([[True], rows[1:] != rows[:-1]])] = END
                 number = own.number(words)
-                context = np.empty_like(number)
-                context[1:] = number[:-1]
-                context[np.concatenate([[True], rows[1:] != rows[:-1]])] = end
-                bucket = np.where(number > 0, scatter(words + context.astype(np.uint64)), words) % np.uint64(buckets)
+                before = np.empty_like(number)
+                before[1:] = number[:-1]
+                starts = context == END
+                before[starts] = own.number(context[starts])
+                both = np.where(before > 0, scatter(words + before.astype(np.uint64)), context)
+                bucket = np.where(number > 0, both, words) % np.uint64(buckets)
+                # Equal pairs side by side; one that is torn apart by a chance tie is two.
                 bits = max(1, (buckets - 1).bit_length())
-                order = np.argsort(bucket << np.uint64(64 - bits) | words >> np.uint64(bits), kind="stable")
-                words, bucket = words[order], bucket[order].astype(np.int64)
-                context, rows = context[order].astype(np.uint16), rows[order].astype(np.uint16)
-                edge = np.searchsorted(bucket, np.arange(buckets + 1))
+                key = bucket << np.uint64(64 - bits) | words >> np.uint64(bits + 20) << np.uint64(20) | context >> np.uint64(44)
+                order = np.argsort(key)
+                words, context, number, before = words[order], context[order], number[order], before[order]
+                bucket, rows = bucket[order].astype(np.int64), rows[order]
                 training = np.asarray(batch.column(1)).astype(np.uint8)
+                edge = np.searchsorted(bucket, np.arange(buckets + 1))
+                other = np.concatenate([[True], (words[1:] != words[:-1]) | (bucket[1:] != bucket[:-1])])
+                pair = np.flatnonzero(other | np.concatenate([[True], context[1:] != context[:-1]]))
+                first = np.flatnonzero(other[pair])
+                size = np.diff(np.append(pair, len(words)))
+                trained = np.add.reduceat(training[rows].astype(np.int64), pair)
+                pairs = np.diff(np.append(first, len(pair)))
+                pair_edge = np.searchsorted(pair, edge)
+                word_edge = np.searchsorted(first, pair_edge)
                 absent = np.asarray(batch.column(0).is_null()).astype(np.uint8)
                 ids = np.asarray(batch.column(0).fill_null(0))
                 blobs = []
                 for b in range(buckets):
-                    w = words[edge[b] : edge[b + 1]]
-                    new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-                    size = np.diff(np.append(new, len(w))).astype(np.uint32)
-                    part = slice(edge[b], edge[b + 1])
-                    blobs.append(_packed(w[new], size, context[part], rows[part], training, *([] if b else [ids, absent])))
+                    w = pair[first[word_edge[b] : word_edge[b + 1]]]
+                    part = slice(pair_edge[b], pair_edge[b + 1])
+                    arrays = [*own.coded(words[w], number[w]), _small(pairs[word_edge[b] : word_edge[b + 1]]),
+                              *own.coded(context[pair[part]], before[pair[part]]), _small(trained[part])]
+                    if texts:
+                        arrays += [_small(size[part]), rows[edge[b] : edge[b + 1]].astype(np.uint16), np.array([len(training)])]
+                        arrays += [] if b else [training, ids, absent]
+                    blobs.append(_packed(*arrays))
                 name += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(buckets), pa.int32()), pa.array(np.full(buckets, name)), pa.array(blobs, pa.binary())],
                     names=["bucket", "batch", "tokens"],
                 )
 
-    dealt = docs.select("doc_id", "training", "text").mapInArrow(deal, "bucket int, batch long, tokens binary")
+    return docs.select("doc_id", "training", "text").mapInArrow(deal, "bucket int, batch long, tokens binary")
+
+
+def _placed(dealt: DataFrame, buckets: int) -> DataFrame:
     # More partitions than buckets, so that few buckets share one.
     return dealt.repartition(4 * buckets, "bucket").sortWithinPartitions("bucket")
 
@@ -166,16 +207,20 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[li
 
 
 class Bucket:
-    """The tokens of one bucket: words, contexts, and training counts of the pairs."""
-
-    def __init__(self, parts: list[list[np.ndarray]]):
-        self.words, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        word = np.repeat(place, np.concatenate([p[1] for p in parts]).astype(np.int64))
-        self.key = word.astype(np.int64) << 16 | np.concatenate([p[2] for p in parts]).astype(np.int64)
-        training = np.concatenate([p[4][p[3]] for p in parts]).astype(bool)
-        self.pairs, self.customers = np.unique(self.key[training], return_counts=True)
-        self.dish, self.context = self.pairs >> 16, self.pairs & 0xFFFF
+    """The pairs of one bucket: words, contexts, and training counts of the pairs."""
+
+    def __init__(self, own: Lexicon, parts: list[list]):
+        joined = lambda k: np.concatenate([p[k] for p in parts]).astype(np.int64)
+        self.words, place = np.unique(np.concatenate([own.decoded(p[0], p[1]) for p in parts]), return_inverse=True)
+        self.contexts, room = np.unique(np.concatenate([own.decoded(p[3], p[4]) for p in parts]), return_inverse=True)
+        key, self.at = np.unique(np.repeat(place, joined(2)) << 32 | room, return_inverse=True)
+        self.word, self.room = key >> 32, key & 0xFFFFFFFF
+        trained = np.bincount(self.at, joined(5), len(key)).astype(np.int64)
+        self.pairs = np.flatnonzero(trained)
+        self.customers = trained[self.pairs]
+        self.dish, self.context = self.word[self.pairs], self.room[self.pairs]
         self.count = np.bincount(self.dish, self.customers, len(self.words)).astype(np.int64)
+        self.slice = (scatter(self.contexts) % np.uint64(own.slices)).astype(np.int64)
 
 
 def seat(rng: np.random.Generator, customers: np.ndarray, new: np.ndarray, discount: float) -> np.ndarray:
@@ -208,63 +253,88 @@ def _parent(rng, below: np.ndarray, discount: float, tables_in_all: float, custo
 
 
 def _first_round(dealt: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``(kind, key, a, b)`` summed over tasks: for context u (kind 0) customers and tables; for
-    frequent word w (1) customers in the parent; and in all (2) customers, tables in the parent
-    of rare words, pairs seen once and twice (3), parent customers seen once and twice (4)."""
+    """``(slice, bucket, sums)``: what each bucket brings to each slice.
+
+    Arrays: contexts with their customers and tables; frequent words with their customers in the
+    parent; and, in one slice, (customers, tables in the parent of rare words, pairs seen once and
+    twice, rare parent customers seen once and twice).
+    """
     model = dealt.sparkSession.sparkContext.broadcast(lexicon)
 
     def burn_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         d1, d0 = FIRST_DISCOUNTS
         for number, parts in _by_bucket(batches):
-            b, rng = Bucket(parts), np.random.default_rng((1, number))
-            contexts = len(own.words) + 1
+            b, rng = Bucket(own, parts), np.random.default_rng((1, number))
+            contexts = len(b.contexts)
             frequent = own.number(b.words)
-            # Frequent words are spread over all buckets, and so is what they bring to the parent.
+            # Frequent words and contexts are spread over all buckets, and so is what they bring to the parent.
             share = np.where(frequent > 0, own.buckets, 1)
-            seats = np.bincount(b.context, b.customers, contexts) * own.buckets
+            spread = np.where(own.number(b.contexts) > 0, own.buckets, 1)
             tables = np.ones(len(b.pairs))
             top = np.zeros(len(b.words))
             for _ in range(SWEEPS):
                 below = np.bincount(b.dish, tables, len(b.words))
                 chance, top = _parent(rng, below * share, d0, max(1.0, top.sum() * own.buckets), below.sum() * own.buckets, own.base_unknown)
-                rooms = np.bincount(b.context, tables, contexts) * own.buckets
+                rooms = np.bincount(b.context, tables, contexts) * spread
                 tables = seat(rng, b.customers, (STRENGTH + d1 * rooms[b.context]) * chance[b.dish], d1)
             below = np.bincount(b.dish, tables, len(b.words))
             rare = frequent == 0
-            used = np.flatnonzero(seats)
             often = np.flatnonzero(~rare & (below > 0))
             ones = lambda x, k: int((x == k).sum())
-            kind = np.concatenate([np.zeros(len(used)), np.ones(len(often)), [2, 3, 4]])
-            key = np.concatenate([used, frequent[often], [0, 0, 0]])
-            a = np.concatenate([seats[used] / own.buckets, below[often], [below.sum(), ones(b.customers, 1), ones(below[rare], 1)]])
-            c = np.concatenate([np.bincount(b.context, tables, contexts)[used], np.zeros(len(often)),
-                                [top[rare].sum(), ones(b.customers, 2), ones(below[rare], 2)]])
+            totals = [below.sum(), top[rare].sum(), ones(b.customers, 1), ones(b.customers, 2), ones(below[rare], 1), ones(below[rare], 2)]
+            seats, tables = np.bincount(b.context, b.customers, contexts), np.bincount(b.context, tables, contexts)
+            for k in range(own.slices):
+                here, word = np.flatnonzero(b.slice == k), often[frequent[often] % own.slices == k]
+                sums = [b.contexts[here], _small(seats[here]), _small(tables[here]), frequent[word].astype(np.uint16), _small(below[word])]
+                sums.append(np.array(totals, np.float64) if number % own.slices == k else np.zeros(6))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([number], pa.int64()), pa.array([_packed(*sums)], pa.binary())], names=["slice", "bucket", "sums"]
+                )
+
+    return dealt.mapInArrow(burn_in, "slice int, bucket long, sums binary")
+
+
+def _exchanged(first: DataFrame, slices: int) -> DataFrame:
+    """``(bucket, batch, tokens)``: the sums over all buckets of the contexts that a bucket brought
+    to a slice, in their order, with batch ``-1 - slice``; in bucket -1 the other sums of the slice."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, parts in _by_bucket(batches):
+            _, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            seats, tables = (np.bincount(place, np.concatenate([p[k] for p in parts])).astype(np.int64) for k in (1, 2))
+            words, at = np.unique(np.concatenate([p[3] for p in parts]), return_inverse=True)
+            below = np.bincount(at, np.concatenate([p[4] for p in parts]), len(words)).astype(np.float64)
+            begin, to, blobs = 0, [-1], [_packed(words, below, sum(p[5] for p in parts))]
+            for p in parts:
+                own = place[begin : begin + len(p[0])]
+                begin += len(p[0])
+                to.append(p[-1])
+                blobs.append(_packed(_small(seats[own]), _small(tables[own])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind.astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(a), pa.array(c)], names=["kind", "key", "a", "b"]
+                [pa.array(to, pa.int32()), pa.array(np.full(len(to), -1 - number)), pa.array(blobs, pa.binary())], names=["bucket", "batch", "tokens"]
             )
 
-    return dealt.mapInArrow(burn_in, "kind int, key long, a double, b double").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return first.repartition(4 * slices, "slice").sortWithinPartitions("slice").mapInArrow(added, "bucket int, batch long, tokens binary")
 
 
 class Shared:
-    """What the restaurants of all tasks add up to."""
+    """What the parts of the parent restaurant in all tasks add up to."""
 
-    def __init__(self, lexicon: Lexicon, rows: list):
-        n = len(lexicon.words) + 1
-        self.customers, self.tables, self.below = np.zeros(n), np.zeros(n), np.zeros(n)
+    def __init__(self, lexicon: Lexicon, sums: list[bytes]):
+        self.below = np.zeros(len(lexicon.words) + 1)
         self.parent_customers = self.parent_tables = 1.0
         self.discounts = list(FIRST_DISCOUNTS)
-        for r in rows:
-            if r["kind"] == 0:
-                self.customers[r["key"]], self.tables[r["key"]] = r["a"], r["b"]
-            elif r["kind"] == 1:
-                self.below[r["key"]] = r["a"]
-            elif r["kind"] == 2:
-                self.parent_customers, rare_tables = r["a"], r["b"]
-            elif r["a"] + r["b"] > 0:  # the usual estimate from things seen once and twice
-                self.discounts[r["kind"] - 3] = min(0.95, max(0.05, r["a"] / (r["a"] + 2 * r["b"])))
-        if rows:
+        totals = np.zeros(6)
+        for words, below, part in (_unpacked(memoryview(raw)) for raw in sums):
+            self.below[words] = below
+            totals = totals + part
+        for k in (0, 1):
+            once, twice = totals[2 + 2 * k : 4 + 2 * k]
+            if once + twice > 0:  # the usual estimate from things seen once and twice
+                self.discounts[k] = float(min(0.95, max(0.05, once / (once + 2 * twice))))
+        if totals[0] > 0:
+            self.parent_customers, rare_tables = totals[:2]
             self.chance, tables = _parent(
                 np.random.default_rng(2), self.below, self.discounts[1], max(1.0, rare_tables), self.parent_customers, lexicon.base_unknown
             )
@@ -280,37 +350,38 @@ def _second_round(dealt: DataFrame, lexicon: Lexicon, shared: Shared) -> DataFra
         own, all_tasks = model.value
         d1, d0 = all_tasks.discounts
         for number, parts in _by_bucket(batches):
-            b, rng = Bucket(parts), np.random.default_rng((2, number))
+            answers = {-1 - p[-1]: p for p in parts if p[-1] < 0}
+            parts = [p for p in parts if p[-1] >= 0]
+            b, rng = Bucket(own, parts), np.random.default_rng((2, number))
+            seats, rooms = np.zeros(len(b.contexts)), np.zeros(len(b.contexts))
+            for k in range(own.slices):
+                seats[b.slice == k], rooms[b.slice == k] = answers[k][:2]
             frequent = own.number(b.words)
-            counts = np.where(frequent > 0, own.counts[np.maximum(frequent, 1) - 1] if len(own.counts) else 0, b.count)
             often = frequent > 0
-            at = np.searchsorted(b.pairs, b.key)
-            at = np.minimum(at, max(0, len(b.pairs) - 1))
-            seen = b.pairs[at] == b.key if len(b.pairs) else np.zeros(len(b.key), bool)
-            word, context = b.key >> 16, b.key & 0xFFFF
-            tables, chance = np.ones(len(b.pairs)), None
-            mean = np.zeros(len(b.key))
+            counts = np.where(often, own.counts[np.maximum(frequent, 1) - 1] if len(own.counts) else 0, b.count)
+            new = STRENGTH + d1 * rooms
+            tables, mean = np.ones(len(b.pairs)), np.zeros(len(b.word))
             for sweep in range(SWEEPS + SAMPLES):
                 below = np.bincount(b.dish, tables, len(b.words))
                 chance, _ = _parent(rng, below, d0, all_tasks.parent_tables, all_tasks.parent_customers, own.base_unknown)
                 if all_tasks.below.any():
                     chance = np.where(often, all_tasks.chance[frequent], chance)
-                new = STRENGTH + d1 * all_tasks.tables
                 tables = seat(rng, b.customers, new[b.context] * chance[b.dish], d1)
                 if sweep >= SWEEPS:
-                    kept = np.where(seen, (b.customers - d1 * tables)[at], 0) if len(b.pairs) else 0
-                    mean += (kept + new[context] * chance[word]) / (STRENGTH + all_tasks.customers[context])
+                    kept = new[b.room] * chance[b.word]
+                    kept[b.pairs] += b.customers - d1 * tables
+                    mean += kept / (STRENGTH + seats[b.room])
             score = np.log10(mean / SAMPLES)
-            base = np.log10((counts + 0.5) / (own.total + 0.5 * (own.kinds + 1)))[word]
-            known = (counts > 0)[word]
+            base = np.log10((counts + 0.5) / (own.total + 0.5 * (own.kinds + 1)))
             begin = 0
             for p in parts:
-                n = int(p[1].sum())
-                part = slice(begin, begin + n)
-                begin += n
-                sums = [np.bincount(p[3], x, len(p[4])) for x in (None, known[part], base[part], score[part])]
+                pair = b.at[begin : begin + len(p[5])]
+                begin += len(p[5])
+                pair = np.repeat(pair, p[6])
+                word, n = b.word[pair], int(p[8][0])
+                sums = [np.bincount(p[7], x, n) for x in (None, (counts > 0)[word], base[word], score[pair])]
                 sums[:2] = [x.astype(np.uint32) for x in sums[:2]]
-                side = [p[4], *p[5:-1]] if number == 0 else []
+                side = p[9:-1] if number == 0 else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p[-1]], pa.int64()), pa.array([_packed(*sums, *side)], pa.binary())], names=["batch", "sums"]
                 )
@@ -355,13 +426,18 @@ def score(docs: DataFrame, held: Column | None = None, id_column: str = "doc_id"
     _word_counts(rows.where("training")).write.parquet(path)
     counts = spark.read.parquet(path)
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = counts.where(F.col("n") * CONTEXTS >= total).collect()  # at most CONTEXTS words can be so frequent
+    often = counts.where(F.col("n") * FREQUENT >= total).collect()  # at most FREQUENT words can be so frequent
     lexicon = Lexicon(
         np.array([r["w"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64),
         total, kinds, max(8, math.ceil(total / BUCKET_TOKENS)),
     )
-    shared = Shared(lexicon, _first_round(_dealt(rows.where("training"), lexicon), lexicon).collect())  # a row per context
-    return _second_round(_dealt(rows, lexicon), lexicon, shared).select(
+    path = scratch_folder(spark)
+    first = _first_round(_placed(_dealt(rows, lexicon, False), lexicon.buckets), lexicon)
+    _exchanged(first, lexicon.slices).write.parquet(path)
+    sums = spark.read.schema("bucket int, batch long, tokens binary").parquet(path)
+    shared = Shared(lexicon, [bytes(r["tokens"]) for r in sums.where("bucket < 0").select("tokens").collect()])  # a row per slice
+    dealt = _placed(_dealt(rows, lexicon, True).unionByName(sums.where("bucket >= 0")), lexicon.buckets)
+    return _second_round(dealt, lexicon, shared).select(
         "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), "score",
     )

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest_llm import table
+from pyspark.sql import functions as F
 
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -237,6 +238,25 @@ def test_language_model(messy, messy_rows, nothing):
     assert hpylm.score(nothing).count() == 0
 
 
+def test_every_word_is_a_context(spark, monkeypatch):
+    """Words below one in 32,768 of the training words still teach what follows them."""
+    monkeypatch.setattr(hpylm, "BUCKET_TOKENS", 10_000)  # 33 buckets
+    rng = random.Random(5)
+    filler = [f"w{k}" for k in range(300)]
+    prose = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    pairs = [f"{prose(1)} a{k} {b} {prose(1)}" for k in range(60) for b in (f"b{k}", "w7") for _ in range(4)]
+    rng.shuffle(pairs)
+    texts = [prose(1000) + " " + " ".join(pairs[k::330]) for k in range(330)]
+    asked = [f"a{k} {b}" for k in range(60) for b in (f"b{k}", f"b{(k + 1) % 60}", "w7", "w8")]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, t) for k, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in hpylm.score(docs, F.col("doc_id") >= 1000).collect()}
+    assert got[0].train_tokens > 8 * 32_768
+    scores = np.array([got[1000 + k].score for k in range(len(asked))]).reshape(60, 4)
+    # Half of what followed is the rare word, half the frequent one; the others never did.
+    assert (scores[:, 0] - scores[:, 1] > 1).all() and (scores[:, 2] - scores[:, 3] > 1).all()
+
+
 def test_seating_follows_the_restaurant():
     """Tables of 12 customers under a fixed concentration, beside direct simulation."""
     rng = np.random.default_rng(5)
