@@ -7,8 +7,9 @@ several languages is labelled word by word.  A text's language is the one with t
 probable words.
 
 Features are hashed into ``BUCKETS`` weights per language.  The model is fitted on the
-driver from at most ``SAMPLE_TEXTS`` labelled texts of at most ``SAMPLE_CHARS`` characters
-(the documented bound of the sample), cut into runs of words that are strung together
+driver from ``SAMPLE_TEXTS`` labelled texts and, of a language with less than ``SAMPLE_LEAST``
+among them, so many of its own, each to at most ``SAMPLE_CHARS`` characters (the documented
+bound of the sample), cut into runs of words that are strung together
 across languages, so that the field sees switches.  Prediction runs in tasks, on whole
 texts: a slice of a batch at a time, all its texts word by word in step.
 """
@@ -24,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetfault.llm.words import scatter, slices, span_hashes, text_bytes, word_spans
+from fleetfault.operators.ordering import top_rows
 
 SAMPLE_TEXTS = 600
+SAMPLE_LEAST = 24  # of each language that has them
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
 AFFIXES = (1, 2, 3, 4)  # bytes at either end
@@ -237,17 +240,25 @@ class Field:
 
 
 def fit(training: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id") -> Field:
-    """Fit on the bounded sample: the ``SAMPLE_TEXTS`` training rows with the lowest hash of their id.
+    """Fit on the bounded sample: the ``SAMPLE_TEXTS`` training rows with the lowest hash of their
+    id, and the ``SAMPLE_LEAST`` lowest of each language, so that every language is learnt.
 
-    Rows with a null text or language, or a text above ``SAMPLE_CHARS``, are not sampled.
+    Rows with a null text or language are not sampled.  A text above ``SAMPLE_CHARS`` is sampled,
+    by its beginning, only where its language has too few others.
     Without any such row the field has no labels and every prediction is ``und``.
     """
-    rows = training.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.xxhash64(F.lit(7), id_column).alias("h"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    text, lang = F.col(text_column), F.col(lang_column)
+    rows = training.where(text.isNotNull() & lang.isNotNull()).select(
+        F.substring(text, 1, SAMPLE_CHARS).alias("text"), lang.alias("lang"), (F.length(text) > SAMPLE_CHARS).alias("long"),
+        F.xxhash64(F.lit(7), id_column).alias("h"), F.xxhash64(text).alias("t"),
+    )
     # The hashes first: the texts of each task's best would be many times the sample.
-    lowest = [r.h for r in rows.select("h").orderBy("h").limit(SAMPLE_TEXTS).collect()]
-    sample = rows.where(F.col("h") <= (max(lowest) if lowest else 0)).select("h", "text", "lang").limit(2 * SAMPLE_TEXTS).collect()
-    sample = sorted(sample, key=lambda r: (r.h, r.lang, r.text))[:SAMPLE_TEXTS]
+    names = rows.select("lang", "h", "t", "long")
+    chosen = names.where(~F.col("long")).orderBy("h", "t").limit(SAMPLE_TEXTS).collect()
+    chosen += top_rows(names.distinct(), ["lang"], [F.col("long"), F.col("h"), F.col("t")], SAMPLE_LEAST).select(names.columns).collect()
+    found = training.sparkSession.createDataFrame([r[:3] for r in sorted(set(chosen))], names.select("lang", "h", "t").schema)
+    sample = rows.join(F.broadcast(found), ["lang", "h", "t"], "left_semi").dropDuplicates(["lang", "h", "t"]).select("h", "text", "lang").collect()
+    sample = sorted(sample, key=lambda r: (r.h, r.lang, r.text))
     return Field(sorted({r.lang for r in sample})).fit([r.text for r in sample], [r.lang for r in sample])
 
 

@@ -199,6 +199,19 @@ def test_language_on_held_out_rows(spark):
     assert language.identify(docs, language.fit(docs.limit(0))).where("lang_pred != 'und'").count() == 0
 
 
+def test_rare_languages_are_learnt(spark):
+    """A language in one of 700 rows, and one found in long texts only."""
+    rng = random.Random(4)
+    alphabets = {"en": ["the", "and", "thing"], "de": ["der", "und", "schon"], "fi": ["yksi", "kuusi", "talo"], "pl": ["jest", "czy", "dobrze"]}
+    say = lambda lang, n: " ".join(rng.choice(alphabets[lang]) for _ in range(n))
+    rows = [(k, say(lang, 12), lang) for k in range(2100) for lang in ["fi" if k % 700 == 5 else rng.choice(["en", "de"])]]
+    rows += [(3000 + k, say("pl", 6000), "pl") for k in range(3)]
+    field = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert field.labels == ["de", "en", "fi", "pl"]
+    best, _ = field.predict(pa.array([say(lang, 12) for lang in field.labels]))
+    assert best.tolist() == [0, 1, 2, 3]
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 
