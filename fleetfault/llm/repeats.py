@@ -21,6 +21,7 @@ Texts are read three times and shuffled once; spans travel, single positions do
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,6 +200,31 @@ def _stretches(spans: pa.Array, places: list[np.ndarray]) -> pa.RecordBatch:
     )
 
 
+def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of the spans of each group, from sorted rows; about 20,000 spans, or a group, are held."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        # A group may go on in the next batch.
+        if batch is not None:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < 20_000:
+                continue
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        g, span = np.asarray(table["g"]), np.asarray(table["span"])
+        table = table.filter(pa.array(np.concatenate([[True], (g[1:] != g[:-1]) | (span[1:] != span[:-1])])))  # other tasks gave it too
+        g = np.asarray(table["g"])
+        stop = len(g) if batch is None else int(np.searchsorted(g, g[-1]))
+        ready, held = table.slice(0, stop), table.slice(stop).to_batches()
+        if ready.num_rows:
+            found = induced(
+                np.asarray(ready["g"]), ready["content"].to_pylist(), np.asarray(ready["anchor"]), length
+            )
+            some = [k for k, x in enumerate(found) if len(x)]
+            yield _stretches(ready["span"].combine_chunks().take(pa.array(some, pa.int64())), [found[k] for k in some])
+
+
 def _repeated(docs: DataFrame, length: int, kmer: int, max_spans: int) -> DataFrame:
     """``(doc_id, text_hash, first, last)``: windows, by place in the text, that occur elsewhere."""
     spark = docs.sparkSession
@@ -259,33 +285,10 @@ def _repeated(docs: DataFrame, length: int, kmer: int, max_spans: int) -> DataFr
     large = mixed.where(f"spans > {max_spans}").select("g")
     some_large = not large.isEmpty()
 
-    def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in [*batches, None]:
-            # A group may go on in the next batch.
-            if batch is not None:
-                held.append(batch)
-                if sum(x.num_rows for x in held) < 20_000:
-                    continue
-            if not held:
-                return
-            table = pa.Table.from_batches(held).combine_chunks()
-            g, span = np.asarray(table["g"]), np.asarray(table["span"])
-            table = table.filter(pa.array(np.concatenate([[True], (g[1:] != g[:-1]) | (span[1:] != span[:-1])])))  # other tasks gave it too
-            g = np.asarray(table["g"])
-            stop = len(g) if batch is None else int(np.searchsorted(g, g[-1]))
-            ready, held = table.slice(0, stop), table.slice(stop).to_batches()
-            if ready.num_rows:
-                found = induced(
-                    np.asarray(ready["g"]), ready["content"].to_pylist(), np.asarray(ready["anchor"]), length
-                )
-                some = [k for k, x in enumerate(found) if len(x)]
-                yield _stretches(ready["span"].combine_chunks().take(pa.array(some, pa.int64())), [found[k] for k in some])
-
     few = (
         (one.join(large, "g", "left_anti") if some_large else one)
         .select("g", "span", "anchor", "content")
-        .repartition("g").sortWithinPartitions("g", "span").mapInArrow(sorted_groups, STRETCHES)
+        .repartition("g").sortWithinPartitions("g", "span").mapInArrow(lambda batches: _sorted_groups(batches, length), STRETCHES)
     )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,5 +62,26 @@ def test_text_in_pieces():
     assert isinstance(runs.span, np.ndarray)
 
 
+def test_groups_stream():
+    """The groups of the first batches are worked on before the last batch is read."""
+    import pyarrow as pa
+
+    read = []
+
+    def batches():
+        for k in range(6):
+            read.append(k)
+            n = 15_000
+            columns = [[k] * n, list(range(n)), [0] * n, [b"abcdefgh"] * n]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["g", "span", "anchor", "content"]
+            )
+
+    got = repeats._sorted_groups(batches(), 4)
+    first = next(got)
+    assert first.num_rows and len(read) < 6
+    assert first.num_rows + sum(x.num_rows for x in got) == 90_000
+
+
 def test_empty_table(nothing):
     assert repeats.without_repeats(nothing).count() == 0
