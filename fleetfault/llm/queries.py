@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleetfault.llm import chat, decontam, hpylm, jaccard, language, mixing, quality, repeats, token_counts, wavelet, whitening
+from fleetfault.llm import chat, decontam, hpylm, jaccard, language, mixing, piecewise, quality, repeats, token_counts, wavelet, whitening
 from fleetfault.llm.tables import read
 
 
@@ -80,6 +80,10 @@ def op10_language_id(spark, sf_dir):
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_piecewise_hashes(spark, sf_dir):
+    return piecewise.compare_with_next(read(spark, sf_dir, "documents"))
+
+
 def op13_whiten_embeddings(spark, sf_dir):
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_piecewise_hashes": op11_piecewise_hashes,
     "op13_whiten_embeddings": op13_whiten_embeddings,
 }
 
