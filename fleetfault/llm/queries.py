@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fleetfault.llm import chat, decontam, hpylm, jaccard, language, mixing, piecewise, quality, repeats, token_counts, wavelet, whitening
+from fleetfault.llm import chat, decontam, hpylm, jaccard, language, mixing, piecewise, quality, repair, repeats, token_counts, wavelet, whitening
 from fleetfault.llm.tables import read
 
 
@@ -84,6 +84,11 @@ def op11_piecewise_hashes(spark, sf_dir):
     return piecewise.compare_with_next(read(spark, sf_dir, "documents"))
 
 
+def op12_repair_conversations(spark, sf_dir):
+    talks = read(spark, sf_dir, "conversations")
+    return repair.summaries(repair.damage(talks), talks)
+
+
 def op13_whiten_embeddings(spark, sf_dir):
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
     "op11_piecewise_hashes": op11_piecewise_hashes,
+    "op12_repair_conversations": op12_repair_conversations,
     "op13_whiten_embeddings": op13_whiten_embeddings,
 }
 
