@@ -866,7 +866,7 @@ def streamed_latest(spark, folder):
     )
     place = scratch_folder(spark)
     arrivals.keep_latest(rows, f"{place}/out", f"{place}/state", ttl_ms=86_400_000).awaitTermination()
-    return arrivals.newest(spark, f"{place}/out").select("id", "at", "payload")
+    return arrivals.newest(spark, f"{place}/out", ttl_ms=86_400_000)
 
 
 @query

@@ -22,18 +22,46 @@ def test_classified_lines_match_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+RESULTS = "id string, at long, payload string"
+
+
+def keep(spark, folder, rows, **options):
+    """Land one file, let the stream take it and stop; the next call restarts it."""
+    spark.createDataFrame(rows, RESULTS).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    stream = spark.readStream.schema(RESULTS).parquet(str(folder / "in"))
+    query = arrivals.keep_latest(stream, str(folder / "out"), str(folder / "cp"), **options)
+    assert query.awaitTermination(120)
+    return {(r.id, r.at, r.payload) for r in arrivals.newest(spark, str(folder / "out"), **options).collect()}
+
+
+def changes(spark, folder):
+    return [(r.batch, r.id, r.at, r.gone) for r in spark.read.parquet(str(folder / "out" / "changes")).orderBy("batch", "id").collect()]
+
+
 def test_latest_results(spark, tmp_path):
-    schema = "id string, at long, payload string"
-    waves = [[("a", 1_000, "old"), ("b", 2_000, "only")], [("a", 5_000, "new"), ("a", 4_000, "mid")], [("c", 3_700_000, "late")]]
-    seen = []
-    for wave in waves:
-        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        arrivals.keep_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-        version = spark.read.parquet(str(tmp_path / "out")).inputFiles()
-        assert len({f.rsplit("/", 2)[1] for f in version}) <= 2
-        seen.append({(r.id, r.payload) for r in arrivals.newest(spark, str(tmp_path / "out")).collect()})
-    assert seen == [{("a", "old"), ("b", "only")}, {("a", "new"), ("b", "only")}, {("c", "late")}]
+    assert keep(spark, tmp_path, [("a", 1_000, "old"), ("b", 2_000, "only")]) == {("a", 1_000, "old"), ("b", 2_000, "only")}
+    assert keep(spark, tmp_path, [("a", 5_000, "new"), ("a", 4_000, "mid")]) == {("a", 5_000, "new"), ("b", 2_000, "only")}
+    late = [("c", 3_700_000, "late"), (None, 3_700_000, None), ("d", None, "no time")]
+    assert keep(spark, tmp_path, late) == {("c", 3_700_000, "late"), (None, 3_700_000, None)}
+    # Only touched ids are written, and those that ran out, once each.
+    written = changes(spark, tmp_path)
+    assert [w[1:] for w in written if not w[3]].count(("b", 2_000, False)) == 1
+    assert sorted(w[1:3] for w in written if w[3]) == [("a", 5_000), ("b", 2_000)]
+    # A row beyond the time to live is late; one inside it, of a new id, is not; an older row of a known id changes nothing.
+    assert keep(spark, tmp_path, [("e", 99_999, "late"), ("f", 100_000, "in time"), ("c", 3_000_000, "older")]) == {
+        ("c", 3_700_000, "late"), (None, 3_700_000, None), ("f", 100_000, "in time"),
+    }
+
+
+def test_merged_changes(spark, tmp_path):
+    keep(spark, tmp_path, [("a", 10, "x"), ("b", 20, "y")], ttl_ms=100)
+    before = keep(spark, tmp_path, [("a", 30, "z")], ttl_ms=100)
+    arrivals.compact(spark, str(tmp_path / "out"), ttl_ms=100)
+    arrivals.compact(spark, str(tmp_path / "out"), ttl_ms=100)
+    assert not [p for p in (tmp_path / "out" / "changes").iterdir() if p.name.startswith("batch=")]
+    assert before == {("a", 30, "z"), ("b", 20, "y")}
+    assert keep(spark, tmp_path, [("b", 125, "new")], ttl_ms=100) == {("a", 30, "z"), ("b", 125, "new")}
+    assert keep(spark, tmp_path, [("c", 131, "end")], ttl_ms=100) == {("b", 125, "new"), ("c", 131, "end")}
 
 
 def test_batch_latest(spark):
@@ -46,12 +74,9 @@ def test_batch_latest(spark):
 
 
 def test_ties_of_one_moment(spark, tmp_path):
-    rows = [("a", 5, "x"), ("a", 5, "z"), ("a", 5, "y")]
-    for row in rows:
-        spark.createDataFrame([row], "id string, at long, payload string").write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id string, at long, payload string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    arrivals.keep_latest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert [r.payload for r in arrivals.newest(spark, str(tmp_path / "out")).collect()] == ["z"]
+    for payload in ("x", "z", "y"):
+        found = keep(spark, tmp_path, [("a", 5, payload), ("a", 5, None)])
+    assert found == {("a", 5, "z")}
 
 
 def test_stream_queries_on_part_files(spark, tmp_path):
