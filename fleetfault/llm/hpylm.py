@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,10 @@ class Lexicon:
         self.slices = max(8, math.ceil(buckets / 4))  # of contexts
         self.base_unknown = 1.0 / (kinds + 1)
 
+    def plain(self) -> tuple:
+        """What it is made of: workers that lack this package rebuild it."""
+        return self.words, self.counts, self.total, self.kinds, self.buckets
+
     def number(self, words: np.ndarray) -> np.ndarray:
         """1 + place among the frequent words, 0 for all others."""
         if not len(self.words):
@@ -107,15 +112,17 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one value: their lengths and types, then their bytes."""
+    """Arrays as one compressed value: their lengths and types, then their bytes."""
     head = ";".join(f"{x.dtype.str},{len(x)}" for x in arrays).encode()
-    return len(head).to_bytes(4, "little") + head + b"".join(x.tobytes() for x in arrays)
+    whole = len(head).to_bytes(4, "little") + head + b"".join(x.tobytes() for x in arrays)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
 
 
-def _unpacked(raw: memoryview) -> list[np.ndarray]:
+def _unpacked(packed: memoryview) -> list[np.ndarray]:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
     at = 4 + int.from_bytes(raw[:4], "little")
     out = []
-    for part in bytes(raw[4:at]).decode().split(";"):
+    for part in raw[4:at].decode().split(";"):
         kind, length = part.split(",")
         out.append(np.frombuffer(raw, kind, int(length), at))
         at += out[-1].nbytes
@@ -129,11 +136,11 @@ def _dealt(docs: DataFrame, lexicon: Lexicon, texts: bool) -> DataFrame:
     ``texts`` also tokens of each pair and the text of each token, and the number of texts of the
     batch; in bucket 0 then also their training flags, ids and which are null.
     """
-    model = docs.sparkSession.sparkContext.broadcast(lexicon)
+    model = docs.sparkSession.sparkContext.broadcast(lexicon.plain())
     buckets = lexicon.buckets
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own = Lexicon(*model.value)
         name = TaskContext.get().partitionId() << 32
         for whole in batches:
             for low in range(0, whole.num_rows, ROWS):
@@ -169,8 +176,11 @@ def _dealt(docs: DataFrame, lexicon: Lexicon, texts: bool) -> DataFrame:
                 word_edge = np.searchsorted(first, pair_edge)
                 absent = np.asarray(batch.column(0).is_null()).astype(np.uint8)
                 ids = np.asarray(batch.column(0).fill_null(0))
-                blobs = []
+                blobs, to = [], []
                 for b in range(buckets):
+                    if b and edge[b] == edge[b + 1]:
+                        continue  # bucket 0 gets the texts' ids in any case
+                    to.append(b)
                     w = pair[first[word_edge[b] : word_edge[b + 1]]]
                     part = slice(pair_edge[b], pair_edge[b + 1])
                     arrays = [*own.coded(words[w], number[w]), _small(pairs[word_edge[b] : word_edge[b + 1]]),
@@ -181,7 +191,7 @@ def _dealt(docs: DataFrame, lexicon: Lexicon, texts: bool) -> DataFrame:
                     blobs.append(_packed(*arrays))
                 name += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(buckets), pa.int32()), pa.array(np.full(buckets, name)), pa.array(blobs, pa.binary())],
+                    [pa.array(to, pa.int32()), pa.array(np.full(len(to), name)), pa.array(blobs, pa.binary())],
                     names=["bucket", "batch", "tokens"],
                 )
 
@@ -259,10 +269,10 @@ def _first_round(dealt: DataFrame, lexicon: Lexicon) -> DataFrame:
     parent; and, in one slice, (customers, tables in the parent of rare words, pairs seen once and
     twice, rare parent customers seen once and twice).
     """
-    model = dealt.sparkSession.sparkContext.broadcast(lexicon)
+    model = dealt.sparkSession.sparkContext.broadcast(lexicon.plain())
 
     def burn_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own = Lexicon(*model.value)
         d1, d0 = FIRST_DISCOUNTS
         for number, parts in _by_bucket(batches):
             b, rng = Bucket(own, parts), np.random.default_rng((1, number))
@@ -344,10 +354,10 @@ class Shared:
 def _second_round(dealt: DataFrame, lexicon: Lexicon, shared: Shared) -> DataFrame:
     """``(doc_id, training, n_tokens, n_known, base, score)`` of each text: each bucket gives its
     part of all texts of a batch as one row, and the parts of a batch meet to be summed."""
-    model = dealt.sparkSession.sparkContext.broadcast((lexicon, shared))
+    model = dealt.sparkSession.sparkContext.broadcast((lexicon.plain(), vars(shared)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, all_tasks = model.value
+        own, all_tasks = Lexicon(*model.value[0]), SimpleNamespace(**model.value[1])
         d1, d0 = all_tasks.discounts
         for number, parts in _by_bucket(batches):
             answers = {-1 - p[-1]: p for p in parts if p[-1] < 0}
@@ -378,29 +388,38 @@ def _second_round(dealt: DataFrame, lexicon: Lexicon, shared: Shared) -> DataFra
                 pair = b.at[begin : begin + len(p[5])]
                 begin += len(p[5])
                 pair = np.repeat(pair, p[6])
-                word, n = b.word[pair], int(p[8][0])
-                sums = [np.bincount(p[7], x, n) for x in (None, (counts > 0)[word], base[word], score[pair])]
-                sums[:2] = [x.astype(np.uint32) for x in sums[:2]]
+                word, (rows, row) = b.word[pair], np.unique(p[7], return_inverse=True)
+                sums = [np.bincount(row, x, len(rows)) for x in (None, (counts > 0)[word], base[word], score[pair])]
+                # Of the texts that have tokens here; parts of scores are rounded to seven digits.
+                sums = [rows, _small(sums[0].astype(np.int64)), _small(sums[1].astype(np.int64)), sums[2], sums[3].astype(np.float32)]
                 side = p[9:-1] if number == 0 else []
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p[-1]], pa.int64()), pa.array([_packed(*sums, *side)], pa.binary())], names=["batch", "sums"]
                 )
 
+    def summed(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        training, ids, absent = next(p[5:] for p in parts if len(p) > 5)
+        total = np.zeros((4, len(ids)))
+        for rows, *sums in (p[:5] for p in parts):
+            for line, x in zip(total, sums):
+                line[rows] += x
+        counts = total[:2].astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=absent.astype(bool)), pa.array(training.astype(bool)), pa.array(counts[0]), pa.array(counts[1]),
+             pa.array(total[2]), pa.array(total[3])],
+            names=["doc_id", "training", "n_tokens", "n_known", "base", "score"])
+
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held, at = [], None
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                arrays = _unpacked(memoryview(raw.as_buffer()))
-                total = held.setdefault(name, [[0, 0, 0, 0], None, 0])
-                total[0] = [a + b for a, b in zip(total[0], arrays)]
-                total[1] = arrays[4:] or total[1]
-                total[2] += 1
-                if total[2] == lexicon.buckets:
-                    (n, known, base, score), (training, ids, absent), _ = held.pop(name)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, mask=absent.astype(bool)), pa.array(training.astype(bool)), pa.array(n.astype(np.int64)),
-                         pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
-                        names=["doc_id", "training", "n_tokens", "n_known", "base", "score"])
+                if held and name != at:
+                    yield summed(held)
+                    held = []
+                at = name
+                held.append(_unpacked(memoryview(raw.as_buffer())))
+        if held:
+            yield summed(held)
 
     parts = dealt.mapInArrow(scored, "batch long, sums binary").repartition("batch").sortWithinPartitions("batch")
     return parts.mapInArrow(added, "doc_id long, training boolean, n_tokens long, n_known long, base double, score double")

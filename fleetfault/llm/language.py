@@ -107,10 +107,11 @@ def emissions(weights: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: n
     return out
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Probabilities of the labels of every word; ``scores`` holds the chains one after another.
 
-    Chains advance in step, longest first, so that step t works on one block of rows.
+    The probabilities of the labels of all neighbours are added to ``pairs``, if there: forward message, move,
+    emission and backward message of the second word.  Chains advance in step, longest first, so that step t works on one block of rows.
     """
     order = np.argsort(-lengths, kind="stable")
     alive = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(lengths.max(initial=0)), "right")
@@ -134,6 +135,9 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
         value[: len(later)] = later @ move.T
         value /= value.sum(1, keepdims=True)
         later = value * emit[rows]
+        if pairs is not None and t > 0:
+            both = ahead[offset[t - 1] : offset[t - 1] + n, :, None] * move * later[:, None, :]
+            pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
         found = ahead[rows] * value
         ahead[rows] = found / found.sum(1, keepdims=True)
     out = np.empty_like(ahead)
@@ -185,29 +189,30 @@ class Field:
                 self._step(words, lengths, label, buckets, edges, weight_norm, move_norm)
         return self
 
-    def _step(self, words, lengths, label, buckets, edges, weight_norm, move_norm) -> None:
+    def gradient(self, words, lengths, label, buckets, edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the log-likelihood of the labels of ``words`` in chains of ``lengths``: the buckets touched,
+        the slope of their weights, and that of the transitions."""
         size = edges[words + 1] - edges[words]
         owner = np.repeat(np.arange(len(words)), size)
         own = buckets[np.repeat(edges[words] - (np.cumsum(size) - size), size) + np.arange(len(owner))]
         scores = np.zeros((len(words), len(self.labels)), np.float64)
         np.add.at(scores, owner, self.weights[own])
-        belief = forward_backward(scores, lengths, self.transitions.astype(np.float64))
+        expected = np.zeros(self.transitions.shape)
+        belief = forward_backward(scores, lengths, self.transitions.astype(np.float64), expected)
         want = np.zeros_like(belief)
         want[np.arange(len(words)), label[words]] = 1
-        slope = (want - belief)[owner]
         touched, back = np.unique(own, return_inverse=True)
         total = np.zeros((len(touched), len(self.labels)))
-        np.add.at(total, back, slope)
+        np.add.at(total, back, (want - belief)[owner])
+        first = np.setdiff1d(np.arange(len(words) - 1), np.cumsum(lengths) - 1)
+        seen = np.zeros(self.transitions.shape)
+        np.add.at(seen, (label[words[first]], label[words[first + 1]]), 1)
+        return touched, total, seen - expected
+
+    def _step(self, words, lengths, label, buckets, edges, weight_norm, move_norm) -> None:
+        touched, total, slope = self.gradient(words, lengths, label, buckets, edges)
         weight_norm[touched] += total**2
         self.weights[touched] += 0.2 * total / np.sqrt(weight_norm[touched])
-        # Expected transitions: the pair belief of neighbours, from their beliefs and the move weights.
-        ends = np.cumsum(lengths)
-        first = np.setdiff1d(np.arange(len(words) - 1), ends - 1)
-        pair = belief[first][:, :, None] * np.exp(self.transitions) * belief[first + 1][:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
-        seen = np.zeros_like(self.transitions, np.float64)
-        np.add.at(seen, (label[words[first]], label[words[first + 1]]), 1)
-        slope = seen - pair.sum(0)
         move_norm += slope**2
         self.transitions += (0.1 * slope / np.sqrt(move_norm)).astype(np.float32)
 

@@ -36,12 +36,16 @@ BUCKET_ROWS = 1 << 11
 LEVELS_PER_CUT = 6
 
 
+def _size(text_column: str):
+    return F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """``(doc_id, source, size)`` of each row; a null text has size 0."""
     return docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(source_column).alias("source"),
-        F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _size(text_column).alias("size"),
     )
 
 
@@ -198,16 +202,20 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     """``docs`` as mixed: every row as often as the mix takes it, with all its columns.
 
     Whole texts only: the one text of a source that the draw cuts is rounded to the nearest
-    whole copy.  Rows that share an id share the mean of their copies, rounded up.
+    whole copy.  Rows that share id, source and size share the mean of their copies, rounded
+    to the nearest; rows that share the id alone have nothing to do with each other.
     """
+    drawn = draw(sized(docs), seed).where("size > 0")
+    taken = F.expr("floor(aggregate(copies, 0L, (a, c) -> a + c.words) / size + 0.5)")
     counts = (
-        draw(sized(docs), seed)
-        .where("size > 0")
-        .select("doc_id", F.expr("cast(floor(aggregate(copies, 0L, (a, c) -> a + c.words) / size + 0.5) as int)").alias("n"))
+        drawn.groupBy(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.col("size").alias("mixed_size"))
+        .agg(F.floor(F.avg(taken) + 0.5).cast("int").alias("n"))
         .where("n > 0")
-        .groupBy(F.col("doc_id").alias("mixed_id"))
-        .agg(F.ceil(F.avg("n")).cast("int").alias("n"))
     )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    joined = rows.join(counts, F.col("doc.doc_id").eqNullSafe(F.col("mixed_id")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _size("text").alias("own_size"))
+    joined = rows.join(
+        counts,
+        F.col("doc.doc_id").eqNullSafe(F.col("mixed_id")) & F.col("doc.source").eqNullSafe(F.col("mixed_source"))
+        & (F.col("own_size") == F.col("mixed_size")),
+    )
     return joined.select("doc", F.explode(F.expr("sequence(1, n)"))).select("doc.*")

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from conftest_llm import table
 
 from fleetfault.llm import mixing
 from pyspark.sql import functions as F
@@ -81,3 +82,16 @@ def test_mixed_documents_and_empty_table(messy, nothing):
         words = sum(c["words"] for c in r.copies)
         assert copies[key] == (int(words / r["size"] + 0.5) if r["size"] else 0)
     assert mixing.draw(mixing.sized(nothing)).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_one_id_in_two_sources(spark):
+    """The copies of a row are its own, whatever other rows have its id."""
+    rows = [(1, "w " * 50, None, "s", None), (1, "w " * 40, None, "t", None)]
+    rows += [(k, "w " * 50, None, "t", None) for k in range(2, 200)]
+    found = mixing.mixed_documents(table(spark, rows)).groupBy("doc_id", "source").count().collect()
+    sizes = {(r.doc_id, r.source): r["count"] for r in found}
+    drawn = mixing.draw(mixing.sized(table(spark, rows))).collect()
+    for r in drawn:
+        whole = sum(c.words for c in r.copies) / r.size
+        assert abs(sizes.get((r.doc_id, r.source), 0) - whole) <= 0.5
+    assert sizes[(1, "s")] == 3
