@@ -328,3 +328,35 @@ def document_archives(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = documents(spark, folder).select("doc_id", "report_id", "content")
     return rows.mapInPandas(pack, "path string, content binary")
+
+
+# A landed archive holds a dump and the report as they are (not packed), so its size is known: LANDED_BYTES.
+# Every fiftieth file is no archive, and every sixth archive has no report.
+LANDED_LIMIT = 4096
+LANDED_DUMP = "'----- pid ' || CAST(doc_id AS STRING) || ' at x -----' || chr(10)"
+LANDED_NAMES = ("'FS/data/anr/anr_' || CAST(doc_id AS STRING)", "'bugreport-' || CAST(doc_id AS STRING) || '.txt'")
+
+
+def landed_archives(spark: SparkSession, folder: str, place: str) -> None:
+    """One zip file per document below ``place``, written by the tasks that hold it."""
+    import io
+    import zipfile
+
+    from fleetfault.sources.members import put
+
+    def land(batches):
+        for pdf in batches:
+            for row in pdf.itertuples():
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+                    z.writestr(row.dump_name, row.dump)
+                    if row.doc_id % 6 != 5:
+                        z.writestr(row.main_name, row.content)
+                put(f"{place}/{row.report_id}.zip", out.getvalue() if row.doc_id % 50 != 49 else b"broken")
+            yield pdf[["doc_id"]]
+
+    rows = documents(spark, folder).select(
+        "doc_id", "report_id", "content", F.expr(LANDED_DUMP).alias("dump"),
+        F.expr(LANDED_NAMES[0]).alias("dump_name"), F.expr(LANDED_NAMES[1]).alias("main_name"),
+    )
+    rows.mapInPandas(land, "doc_id long").write.format("noop").mode("overwrite").save()

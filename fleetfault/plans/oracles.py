@@ -366,6 +366,14 @@ UNION ALL SELECT report_id, 'FS/data/tombstones/tombstone_' || doc_id, 6, false,
 oracle("archive_rejects", DOCS, "SELECT report_id FROM docs WHERE doc_id % 50 = 49 OR doc_id % 6 = 5")
 oracle("archive_lines", DOCS, """SELECT report_id, line_no, CAST(length(l[line_no + 1]) AS BIGINT) AS chars FROM (SELECT report_id, string_split(content, chr(10)) AS l, unnest(range(len(string_split(content, chr(10))))) AS line_no
   FROM docs WHERE doc_id % 50 <> 49 AND doc_id % 6 <> 5)""")
+_NAMES = [x.replace("STRING", "VARCHAR") for x in (b.LANDED_DUMP, *b.LANDED_NAMES)]
+LANDED = f"""members AS (SELECT report_id, doc_id, 0 AS k, {_NAMES[1]} AS member, {_NAMES[0]} AS whole FROM docs
+    UNION ALL SELECT report_id, doc_id, 1, {_NAMES[2]}, content FROM docs WHERE doc_id % 6 <> 5),
+  files AS (SELECT report_id, doc_id, CASE WHEN doc_id % 50 = 49 THEN 6 ELSE 22 + sum(76 + 2 * strlen(member) + strlen(whole)) END AS bytes FROM members GROUP BY 1, 2)"""
+oracle("landed_members", DOCS, LANDED, f"""SELECT m.report_id, CAST(k AS INT) AS member_idx, member, CAST(strlen(whole) AS BIGINT) AS length, k = 1 AS is_main, k = 0 AS is_trace, md5(whole) AS digest
+  FROM members m JOIN files f ON f.doc_id = m.doc_id WHERE bytes <= {b.LANDED_LIMIT} AND m.doc_id % 50 <> 49""")
+oracle("landed_rejects", DOCS, LANDED, f"""SELECT report_id, CASE WHEN doc_id % 50 = 49 THEN 'broken' WHEN bytes > {b.LANDED_LIMIT} THEN 'oversize' ELSE 'no report' END AS kind
+  FROM files WHERE doc_id % 50 = 49 OR bytes > {b.LANDED_LIMIT} OR doc_id % 6 = 5""")
 SECTS = """spots AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 6 ELSE 5 END AS s, CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS k FROM docs),
   sects AS (SELECT report_id, doc_id, 1 AS o, 'SYSTEM PROPERTIES' AS name, 'getprop' AS command, 2 AS start_line, 4 AS end_line FROM spots
     UNION ALL SELECT report_id, doc_id, 2, 'EVENT LOG', 'logcat -b events', 5, 5 FROM spots WHERE doc_id % 3 = 0

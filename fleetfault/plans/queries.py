@@ -14,8 +14,8 @@ from fleetfault.operators import (
     views,
 )
 from fleetfault.plans import bindings as b
-from fleetfault.session import materialize, prepare, scratch_folder
-from fleetfault.sources import archives, sections, sinks
+from fleetfault.session import materialize, prepare, scratch_folder, written
+from fleetfault.sources import archives, members, sections, sinks
 from fleetfault.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -367,6 +367,29 @@ def archive_lines(spark, folder):
     return archives.main_lines(blocks).select("report_id", "line_no", F.length("raw").cast("long").alias("chars"))
 
 
+def _landed(spark: SparkSession, folder: str) -> DataFrame:
+    place = scratch_folder(spark)
+    b.landed_archives(spark, folder, place)
+    return written(members.read_reports(spark, place, max_bytes=b.LANDED_LIMIT, block_bytes=1024))
+
+
+@query
+def landed_members(spark, folder):
+    """Members of archive files opened by their directories, each put together again from its blocks."""
+    keys = ["report_id", "member_idx", "member", "length", "is_main", "is_trace"]
+    blocks = _landed(spark, folder).where("error is null")
+    whole = ordering.ordered_text(blocks, keys, "block_no", "text", "whole")
+    return whole.select(*keys, F.md5("whole").alias("digest"))
+
+
+@query
+def landed_rejects(spark, folder):
+    """Files that are no archive, archives above the size limit, which are not opened, and those without a report."""
+    found = archives.rejects(_landed(spark, folder))
+    kind = F.when(F.col("error").startswith("larger than"), "oversize").when(F.col("error").startswith("no main"), "no report")
+    return found.select("report_id", kind.otherwise("broken").alias("kind"))
+
+
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
     return sections.mark_sections(archives.text_lines(b.documents(spark, folder), ["report_id"], "content"))
 

@@ -9,7 +9,7 @@ from fleetfault.functions.kernel_rules import KERNEL_RULES
 from fleetfault.functions.log_rules import LOG_RULES
 from fleetfault.operators import context as ctx
 from fleetfault.operators import crashes, findings, health, kernel, logs, snapshots, timeline, traces
-from fleetfault.session import materialize, prepare
+from fleetfault.session import materialize, prepare, written
 from fleetfault.sources import archives, sections
 
 LOG_TYPES = [r[0] for r in LOG_RULES]
@@ -19,11 +19,12 @@ KERNEL_TYPES = [r[0] for r in KERNEL_RULES]
 def typed_tables(blocks: DataFrame) -> dict[str, DataFrame]:
     """Extraction: one DataFrame per record type.
 
-    ``blocks`` is what ``expand_archives`` gives; write it to a table first at scale,
-    so that archives are opened once.  Tables that later steps read several times are
-    written once here.
+    ``blocks`` is what ``members.read_reports`` or ``archives.expand_archives`` gives.  It is written
+    first, so that archives are opened once, whatever reads their lines later.  Tables that later
+    steps read several times are written once here.
     """
     prepare(blocks.sparkSession)
+    blocks = written(blocks)
     t: dict[str, DataFrame] = {
         "members": materialize(archives.members(blocks)), "rejects": materialize(archives.rejects(blocks))
     }

@@ -77,3 +77,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the checkpoint folder and read it from there: later readers take only
+    the columns and row groups they need.  For tables whose placement does not matter."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

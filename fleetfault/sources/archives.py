@@ -23,10 +23,10 @@ BLOCKS = (
 def read_archives(spark: SparkSession, path: str, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
     """Zip files of at most ``max_bytes``; the size test reaches the scan.  ``oversize_archives``
     lists the others."""
-    return _zip_files(spark, path).where(F.col("length") <= max_bytes)
+    return zip_files(spark, path).where(F.col("length") <= max_bytes)
 
 
-def _zip_files(spark: SparkSession, path: str) -> DataFrame:
+def zip_files(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true")
     return reader.load(path)
 
@@ -39,12 +39,12 @@ def report_of_path(path: Column) -> Column:
 def oversize_archives(spark: SparkSession, path: str, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
     """``(report_id, length, error)`` of the archives that ``read_archives`` leaves out.  Their
     content is not read."""
-    return oversize_rows(_zip_files(spark, path), max_bytes)
+    return oversize_rows(zip_files(spark, path), max_bytes)
 
 
-def oversize_rows(archives: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
+def oversize_rows(archives: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES, *more: str) -> DataFrame:
     return archives.where(F.col("length") > max_bytes).select(
-        report_of_path(F.col("path")).alias("report_id"), "length", F.lit(f"larger than {max_bytes} bytes").alias("error")
+        report_of_path(F.col("path")).alias("report_id"), "length", F.lit(f"larger than {max_bytes} bytes").alias("error"), *more
     )
 
 
@@ -70,6 +70,15 @@ def _blocks(stream, size: int) -> Iterator[bytes]:
     yield rest
 
 
+def member_blocks(stream, told: dict, size: int) -> Iterator[dict]:
+    """Rows of ``BLOCKS`` of one open member; ``told`` are the columns that all its blocks share."""
+    line, as_text = 0, told["is_main"] or told["is_trace"] or told["is_crash"]
+    for no, block in enumerate(_blocks(stream, size)):
+        text = block.decode("utf-8", "replace") if as_text else None
+        yield dict(told, block_no=no, first_line=line, text=text, content=None if as_text else block)
+        line += block.count(b"\n") + 1
+
+
 def _open(report: str, content: bytes, size: int) -> Iterator[dict]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         for idx, info in enumerate(i for i in archive.infolist() if not i.is_dir()):
@@ -79,12 +88,7 @@ def _open(report: str, content: bytes, size: int) -> Iterator[dict]:
                 is_main=main, is_trace=trace, is_crash=crash, error=None,
             )
             with archive.open(info) as stream:
-                line = 0
-                for no, block in enumerate(_blocks(stream, size)):
-                    as_text = main or trace or crash
-                    text = block.decode("utf-8", "replace") if as_text else None
-                    yield dict(told, block_no=no, first_line=line, text=text, content=None if as_text else block)
-                    line += block.count(b"\n") + 1
+                yield from member_blocks(stream, told, size)
 
 
 def expand_archives(archives: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -4,7 +4,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from fleetfault.operators import crashes, kernel, logs, snapshots
-from fleetfault.sources import archives, sections
+from fleetfault.sources import archives, members, sections
 
 TEXT = """== dumpstate: 2024-01-15 10:30:00
 preamble
@@ -161,3 +161,37 @@ lshal failed: exit code 136""")
     versions = spark.createDataFrame([("1.0",), ("1",), ("1.0.1",), ("0",)], "v string")
     keys = {r.v: r.k for r in versions.select("v", snapshots.version_key(F.col("v")).alias("k")).collect()}
     assert keys["1.0"] == keys["1"] == [1] and keys["1.0.1"] == [1, 0, 1] and keys["0"] == []
+
+
+def test_archives_by_member(spark, tmp_path):
+    """Members of one archive are read in many tasks; blocks are those of whole archives; faults are rows."""
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("FS/", b"")
+        for k in range(40):
+            z.writestr(f"FS/data/anr/anr_{k}", f"line {k}\n" * (k + 1))
+        z.writestr("bugreport-a.txt", "".join(f"row {k}\n" for k in range(3000)))
+        z.writestr("picture.bin", bytes(range(256)) * 20)
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("bugreport-b.txt", "good line\n" * 50)
+        z.writestr("FS/data/anr/anr_1", "to be broken\n" * 50)
+    raw = bytearray((tmp_path / "bad.zip").read_bytes())
+    at = raw.find(b"anr_1") + 8
+    raw[at : at + 4] = b"\xff\xff\xff\xff"
+    (tmp_path / "bad.zip").write_bytes(raw)
+    (tmp_path / "none.zip").write_bytes(b"no archive")
+    (tmp_path / "huge.zip").write_bytes(b"x" * 100_000)
+    path = f"file:{tmp_path}"
+    table = members.member_table(members.archive_files(spark, path), max_bytes=50_000)
+    found = table.collect()
+    assert {r.report_id: r.error is None for r in found if r.member_idx in (None, 0)} == {"big": True, "bad": True, "none": False, "huge": False}
+    assert [r.member_idx for r in sorted(found, key=lambda r: r.member_idx or 0) if r.report_id == "big"] == list(range(42))
+    blocks = members.read_members(table, block_bytes=4096)
+    tasks = blocks.where("report_id = 'big'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+    want = archives.expand_archives(archives.read_archives(spark, path, 50_000).where("path like '%big.zip'"), block_bytes=4096)
+    assert sorted(map(str, blocks.where("report_id = 'big'").collect())) == sorted(map(str, want.collect()))
+    assert blocks.where("report_id = 'bad' and member = 'bugreport-b.txt'").count() == 1
+    assert {r.report_id for r in archives.rejects(blocks).collect()} == {"bad", "none", "huge"}
+    assert members.member_table(members.archive_files(spark, path).where("false")).count() == 0
