@@ -27,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfault.llm.components import components
 from fleetfault.llm.sketch import SCHEMA, bloom, maybe_in, merged, pieces
 from fleetfault.llm.words import scatter, slices, span_hashes, text_bytes, window_hashes, word_spans
 from fleetfault.operators.ordering import top_rows
-from fleetfault.session import materialize, scratch_folder
+from fleetfault.session import written
 
 SHINGLE = 5
 PERCENT = 80
@@ -44,8 +44,6 @@ PIVOTS = 2  # per prefix n-gram
 TRIES = 2  # pivots verified per text
 BLOCK = 256  # texts on either side of a block
 _LOW = np.uint64((1 << 58) - 1)
-# Null ids stand behind all others while groups are formed, and are null again afterwards.
-_NO_ID = 1 << 62
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -87,7 +85,7 @@ def _rarity(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, size: int, percent: int, rarity: np.ndarray) -> DataFrame:
-    """``(id, n, s1, s2, p, prefix)``: set size, identity of the set, and prefix of each text."""
+    """``(id, doc_id, n, s1, s2, p, prefix)``: set size, identity of the set, and prefix of each text."""
     table = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +109,11 @@ def _profiles(docs: DataFrame, size: int, percent: int, rarity: np.ndarray) -> D
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sizes), lists],
-                names=["id", "n", "s1", "s2", "p", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sizes), lists],
+                names=["id", "doc_id", "n", "s1", "s2", "p", "prefix"],
             )
 
-    return docs.mapInArrow(profiled, "id long, n long, s1 long, s2 long, p long, prefix array<long>")
+    return docs.mapInArrow(profiled, "id long, doc_id long, n long, s1 long, s2 long, p long, prefix array<long>")
 
 
 def _ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -139,9 +137,8 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                     [batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "grams"]
                 )
 
-    path = scratch_folder(spark)
-    docs.mapInArrow(sets, "id long, grams binary").join(ids, "id", "left_semi").write.parquet(path)
-    return spark.read.parquet(path).dropDuplicates(["id"])  # repeated rows have equal ids and sets
+    # Equal keys have equal sets.
+    return written(docs.select("id", "text").mapInArrow(sets, "id long, grams binary").join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -218,7 +215,7 @@ def _within(docs: DataFrame, near: DataFrame, labels: DataFrame, size: int, perc
     rows = members.join(sizes, "k").select(
         "id", "k", "g", (F.col("g") != F.col("top")).alias("outside"), blocks(F.col("m")).alias("all"), blocks(F.col("m") - F.col("most")).alias("few")
     )
-    rows = materialize(rows)
+    rows = written(rows)
     sets = _sets(docs, rows.select("id"), size)
     own = lambda n: F.pmod(F.xxhash64("id"), n)
     every = rows.select("*", own(F.col("all")).alias("i"), F.explode(F.expr("sequence(0, few - 1)")).alias("j")).withColumn("outside", F.lit(False))
@@ -262,33 +259,28 @@ def _demand(percent: int) -> str:
 
 def _links(docs: DataFrame, tokens: DataFrame, size: int, percent: int) -> DataFrame:
     """Links that connect the representatives as all their links would."""
-    spark = docs.sparkSession
     fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
 
     # One shuffle by n-gram serves both the sums and the join.
     tokens = tokens.repartition("token")
     pivot = [F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id", "n", "p") for k in range(PIVOTS)]
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), *[F.min(x).alias(f"pivot{k}") for k, x in enumerate(pivot)])
-    path = scratch_folder(spark)
-    tokens.join(shared.where("df > 1"), "token").write.parquet(path)
-    buckets = spark.read.parquet(path)
+    buckets = written(tokens.join(shared.where("df > 1"), "token"))
 
     tried = buckets.select("id", "n", "p", F.explode(F.array(*[f"pivot{k}" for k in range(PIVOTS)])).alias("v")).select(
         "id", "n", "p", F.col("v.id").alias("id2"), F.col("v.n").alias("n2"), F.col("v.p").alias("p2"))
     tried = tried.where(f"id != id2 and {fits}").groupBy("id", "n", "p", "id2", "n2", "p2").agg(F.count(F.lit(1)).alias("c"))
     # Shared n-grams of other pivots are not in c, so a part of the demand is enough to try.
     tried = top_rows(tried.where(f"{2 * PIVOTS} * c >= {_demand(percent)}"), ["id"], [F.col("c").desc(), F.col("id2")], TRIES)
-    pairs = materialize(tried.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    tried = materialize(_verified(docs, pairs, size, percent))
+    pairs = written(tried.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    tried = written(_verified(docs, pairs, size, percent))
     first = tried.where("link").select("a", "b")
-    labels = materialize(components(first)).select(F.col("node").alias("id"), F.col("component").alias("g"))
-    near = materialize(components(tried.select("a", "b"))).select(F.col("node").alias("id"), F.col("component").alias("k"))
+    labels = components(first).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    near = components(tried.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("k"))
     inside = _within(docs, near, labels, size, percent)
 
     grouped = buckets.select("token", "id", "n", "p").join(near.withColumnRenamed("k", "component"), "id", "left")
-    path = scratch_folder(spark)
-    grouped.select("token", "id", "n", "p", F.coalesce("component", "id").alias("g")).write.parquet(path)
-    grouped = spark.read.parquet(path)
+    grouped = written(grouped.select("token", "id", "n", "p", F.coalesce("component", "id").alias("g")))
     largest = (
         grouped.groupBy("token", "g").agg(F.count(F.lit(1)).alias("c"))
         .groupBy("token").agg(F.max_by("g", F.struct("c", "g")).alias("top"), F.count(F.lit(1)).alias("groups"))
@@ -304,10 +296,47 @@ def _links(docs: DataFrame, tokens: DataFrame, size: int, percent: int) -> DataF
         .agg(F.count(F.lit(1)).alias("c"), F.first(F.expr(_demand(percent))).alias("demand"))
         .where("c >= demand")
     )
-    rest = materialize(enough.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+    rest = written(enough.select("a", "b").join(pairs, ["a", "b"], "left_anti"))
     return first.unionByName(inside).unionByName(_verified(docs, rest, size, percent).where("link").select("a", "b"))
 
 
+def _grouped(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """``(key, doc_id, n, class_id, component_id, stays)`` for each row; ``stays`` is the key of the row
+    with the lowest id of its group, null without words or without any id.
+
+    Inside, a row is its key, a hash of id and text: rows that share an id and not the text are two.
+    """
+    plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    source = plain.select(row_key(F.col("doc_id"), "text").alias("id"), "text", "doc_id")
+    rarity = _rarity(source, size)
+    profile = written(_profiles(source, size, percent, rarity))
+
+    lowest = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "id"))).alias("low")
+    classes = written(profile.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("node"), lowest))
+    chosen = profile.join(classes.select(F.col("node").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    tokens = chosen.select("id", "n", "p", F.explode("prefix").alias("token"))
+    linked = components(_links(source, tokens, size, percent))
+
+    known = classes.join(linked, "node", "left").select("n", "s1", "s2", "low", F.coalesce("component", "node").alias("component"))
+    known = written(known)
+    lows = known.groupBy("component").agg(F.min("low").alias("first"))
+    known = known.join(lows, "component").select(
+        "n", "s1", "s2", F.lit(True).alias("has_words"), F.col("low.doc_id").alias("class_id"),
+        F.col("first.doc_id").alias("component_id"), F.col("first.id").alias("stays"),
+    )
+    alone = F.col("has_words").isNull()
+    return profile.select("id", "doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"], "left").select(
+        F.col("id").alias("key"), "doc_id", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("stays")).alias("stays"),
+    )
+
+
+def row_key(ident: Column, text_column: str) -> Column:
+    """A 64-bit name of an id and its text."""
+    return F.xxhash64(ident.isNull(), ident, text_column)
+
+
 def groups(
     docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -315,44 +344,24 @@ def groups(
 
     ``class_id``: lowest id with an equal set; ``component_id``: lowest id that links reach.
     Texts without words (null, empty, blank) have no n-grams and link with nothing.  Rows that
-    share an id should share the text.  A null id counts behind all others and is null in
-    the result where a group has no other.  Other columns are not read.
+    share an id are rows of their own: each has its links by its text.  A null id counts behind all
+    others and is null in the result where a group has no other.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    named = F.coalesce("id", F.lit(_NO_ID) + F.expr("abs(xxhash64(text) div 4)"))
-    source = plain.select(named.alias("id"), "text")
-    rarity = _rarity(source, size)
-    path = scratch_folder(spark)
-    _profiles(source, size, percent, rarity).write.parquet(path)
-    profile = spark.read.parquet(path)
-
-    classes = materialize(profile.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("class_id")))
-    chosen = profile.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    tokens = chosen.select("id", "n", "p", F.explode("prefix").alias("token"))
-    linked = materialize(components(_links(source, tokens, size, percent)))
-
-    known = classes.join(linked.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select(
-        "n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component"))
-    real = lambda name: F.when(F.col(name) < _NO_ID, F.col(name))
-    return profile.select("id", "n", "s1", "s2").join(known, ["n", "s1", "s2"], "left").select(
-        real("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(F.col("class_id").isNull(), real("id")).otherwise(real("class_id")).alias("class_id"),
-        F.when(F.col("class_id").isNull(), real("id")).otherwise(real("component")).alias("component_id"),
-    )
+    found = _grouped(docs, size, percent, id_column, text_column)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` less the near copies: of each group the row with the lowest ``doc_id`` stays.
 
     Rows without words link with nothing and stay; rows with a null id all stay.  Of
-    repeated rows (equal ids) one stays.
+    repeated rows (equal ids and texts) one stays; other rows that share an id are judged by their text.
     """
-    found = groups(docs, size, percent)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    named = rows.where("doc.doc_id is not null").select("doc", F.col("doc.doc_id").cast("long").alias("id"))
-    # The join leaves rows in order of the id, which the window needs.
-    first = F.row_number().over(Window.partitionBy("id").orderBy("id"))
-    once = named.join(stays, F.col("id") == F.col("stays"), "left_semi").withColumn("nth", first).where("nth = 1")
+    found = _grouped(docs, size, percent, "doc_id", "text")
+    stays = found.where("doc_id is not null and key = stays").select(F.col("key").alias("stays")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(F.col("doc_id").cast("long"), "text").alias("key"))
+    named = rows.where("doc.doc_id is not null")
+    # The join leaves rows in order of the key, which the window needs.
+    first = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    once = named.join(stays, F.col("key") == F.col("stays"), "left_semi").withColumn("nth", first).where("nth = 1")
     return once.select("doc.*").unionByName(rows.where("doc.doc_id is null").select("doc.*"))

@@ -80,3 +80,31 @@ def test_components(spark):
             lowest[a] = lowest[b] = min(lowest[a], lowest[b])
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == lowest
+
+
+@pytest.mark.parametrize("chunk", [50, 150])
+def test_components_beyond_a_chunk(spark, monkeypatch, chunk):
+    """More edges than a task may hold: forests and stars of many tasks give the same components."""
+    import fleetfault.llm.components as module
+
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(90)] + [(7, 7), (2000, 2000)]
+    lowest = {x: x for e in edges for x in e}
+    for _ in range(500):
+        for a, b in edges:
+            lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    got = {r.node: r.component for r in module.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == lowest
+    assert module.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id(spark, words):
+    rng = random.Random(10)
+    prose = lambda: " ".join(rng.choice(words) for _ in range(80))
+    a, b = prose(), prose()
+    rows = [(1, a, "en", "x", 1), (1, b, "en", "x", 1), (2, b + " more", "en", "x", 1), (3, a + " more", "en", "x", 1), (4, b, "en", "x", 1), (1, b, "en", "x", 1)]
+    got = sorted((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in jaccard.groups(table(spark, rows)).collect())
+    assert got == [(1, 76, 1, 1)] * 3 + [(2, 77, 2, 1), (3, 77, 3, 1), (4, 76, 1, 1)]
+    kept = jaccard.one_of_each(table(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, a), (1, b)])
