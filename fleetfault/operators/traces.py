@@ -219,9 +219,8 @@ def dropped_waits(th: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def deadlocks(th: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``cycle_id, cycle_rank, cycle_pos, tid`` and the awaited lock, for cycles of two or more."""
     edges = _waits(th, keys)
-    cycles = graph.cycle_nodes(edges, keys)
     order = lock_nodes(th, keys).select(*keys, F.col("tid").alias("node"), "rank")
-    placed = graph.cycle_order(edges.where("node <> to"), cycles, order, keys)
+    placed = graph.ordered_cycles(edges, order, keys)
     first = th.join(first_by_tid(th, keys).select(*keys, "tid", "thread_no"), [*keys, "tid", "thread_no"])
     return placed.withColumnRenamed("node", "tid").join(
         first.select(*keys, "tid", "name", "wait_addr", "wait_class"), [*keys, "tid"]
@@ -231,9 +230,7 @@ def deadlocks(th: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def blocking_chains(th: DataFrame, starts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """``start_tid, hop, tid, name``: whom each start waits for, transitively."""
     edges = _waits(th, keys)
-    walked = graph.chains(
-        edges, starts.select(*keys, F.col("tid").alias("node")), graph.cycle_nodes(edges, keys), keys
-    )
+    walked = graph.walks(edges, starts.select(*keys, F.col("tid").alias("node")), keys)
     names = first_by_tid(th, keys).select(*keys, "tid", "name", "thread_no")
     return walked.select(*keys, F.col("start").alias("start_tid"), "hop", F.col("node").alias("tid")).join(
         names, [*keys, "tid"]

@@ -168,3 +168,27 @@ def test_sweep_equals_walk(seed):
             state = (sigs[i], int(ms[i]), i)
         assert got[i] == state[2]
     assert last == state
+
+
+@pytest.mark.parametrize("limit", [0, 6, 1 << 16])
+def test_wait_graphs_in_tasks_and_by_doubling(spark, limit):
+    """Graphs on either side of the limit give the same cycles and walks."""
+    rng = random.Random(21)
+    edges, order = [], []
+    for k in range(12):
+        n = rng.randrange(2, 14)
+        ranks = rng.sample(range(100), n)
+        for v in range(n):
+            order.append((f"g{k}", v, ranks[v]))
+            if rng.random() < 0.85:
+                edges.append((f"g{k}", v, rng.randrange(n)))
+    frame = lambda rows, last: spark.createDataFrame(rows, f"k string, node long, {last} long")
+    e, o = frame(edges, "to"), frame(order, "rank")
+    starts = o.where("rank % 3 = 0").select("k", "node")
+    cycles = graph.cycle_nodes(e, ["k"])
+    columns = ["k", "node", "cycle_id", "cycle_size", "cycle_pos", "cycle_rank"]
+    want = graph.cycle_order(e.where("node <> to"), cycles, o, ["k"]).select(columns).collect()
+    assert sorted(graph.ordered_cycles(e, o, ["k"], limit).select(columns).collect()) == sorted(want) and want
+    want = graph.chains(e, starts, cycles, ["k"]).collect()
+    assert sorted(graph.walks(e, starts, ["k"], limit).collect()) == sorted(want) and want
+    assert graph.ordered_cycles(e.where("false"), o, ["k"], limit).count() == 0
