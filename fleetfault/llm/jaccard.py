@@ -42,6 +42,7 @@ COUNTERS = 1 << 22
 LONG_COST = 64  # expected partners from which a prefix is lengthened
 PIVOTS = 2  # per prefix n-gram
 TRIES = 2  # pivots verified per text
+BATCH_BYTES = 4 << 20  # handed to a Python worker at once
 BLOCK = 256  # texts on either side of a block
 _LOW = np.uint64((1 << 58) - 1)
 
@@ -306,6 +307,24 @@ def _grouped(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
 
     Inside, a row is its key, a hash of id and text: rows that share an id and not the text are two.
     """
+    # Sets of long texts are large: batches of few bytes.  All of this runs before the function returns.
+    spark, limit = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(BATCH_BYTES))
+    try:
+        profile, known = _known(docs, size, percent, id_column, text_column)
+    finally:
+        spark.conf.set(limit, before)
+    alone = F.col("has_words").isNull()
+    return profile.select("id", "doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"], "left").select(
+        F.col("id").alias("key"), "doc_id", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("stays")).alias("stays"),
+    )
+
+
+def _known(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """The written profiles of the rows, and of each set of n-grams its lowest ids."""
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     source = plain.select(row_key(F.col("doc_id"), "text").alias("id"), "text", "doc_id")
     rarity = _rarity(source, size)
@@ -320,16 +339,10 @@ def _grouped(docs: DataFrame, size: int, percent: int, id_column: str, text_colu
     known = classes.join(linked, "node", "left").select("n", "s1", "s2", "low", F.coalesce("component", "node").alias("component"))
     known = written(known)
     lows = known.groupBy("component").agg(F.min("low").alias("first"))
-    known = known.join(lows, "component").select(
+    return profile, known.join(lows, "component").select(
         "n", "s1", "s2", F.lit(True).alias("has_words"), F.col("low.doc_id").alias("class_id"),
         F.col("first.doc_id").alias("component_id"), F.col("first.id").alias("stays"),
     )
-    alone = F.col("has_words").isNull()
-    return profile.select("id", "doc_id", "n", "s1", "s2").join(known, ["n", "s1", "s2"], "left").select(
-        F.col("id").alias("key"), "doc_id", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, F.col("id")).otherwise(F.col("stays")).alias("stays"),
-    )
 
 
 def row_key(ident: Column, text_column: str) -> Column:
