@@ -61,7 +61,8 @@ LOG = {
     ),
     "shape": "CASE WHEN event_id % 11 = 5 THEN 'tail' WHEN event_id % 31 = 7 THEN 'stray' ELSE 'entry' END",
 }
-LOG_TAIL = "chr(9) || 'at com.app.Frame' || CAST(v AS STRING)"
+# A quarter of the continuation lines makes an anomaly of an entry that is none by its own line.
+LOG_TAIL = "chr(9) || CASE WHEN v % 4 = 1 THEN 'Input dispatching timed out com.app/.T' ELSE 'at com.app.Frame' END || CAST(v AS STRING)"
 LOG_STRAY = "'stray line ' || CAST(v AS STRING)"
 LOG_ENTRY = "ts_text || '  ' || CAST(pid AS STRING) || '  ' || CAST(tid AS STRING) || ' ' || level || ' ' || tag || ': ' || message"
 LOG_RAW = f"CASE shape WHEN 'tail' THEN {LOG_TAIL} WHEN 'stray' THEN {LOG_STRAY} ELSE {LOG_ENTRY} END"

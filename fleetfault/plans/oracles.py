@@ -46,10 +46,18 @@ def oracle(name: str, *parts: str, recursive: bool = False) -> None:
 # Application log ------------------------------------------------------------------------
 
 LOGS = f"logs AS (SELECT *, strftime(ts, '%m-%d %H:%M:%S.%g') AS ts_text, {cols(b.LOG)}, {sql(b.LOG_RAW)} AS raw FROM events)"
-ENTRIES = (
-    "entries AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY line_no) AS entry_idx, "
-    "epoch_ms(strptime('2000-' || ts_text, '%Y-%m-%d %H:%M:%S.%g')) AS ms FROM logs WHERE shape = 'entry')"
-)
+# An entry is its line and the continuation lines below it; the first of those that tells of a timeout decides
+# where no rule before that one holds (kinds 0 to 8).
+_MS = "epoch_ms(strptime('2000-' || ts_text, '%Y-%m-%d %H:%M:%S.%g')) AS ms"
+ENTRIES = f"""owned AS (SELECT *, sum(CASE WHEN shape = 'entry' THEN 1 ELSE 0 END) OVER (PARTITION BY report_id ORDER BY line_no) AS g FROM logs),
+  tails AS (SELECT report_id AS r, g AS of, string_agg(chr(10) || raw, '' ORDER BY line_no) AS tail, arg_min(v, line_no) FILTER (v % 4 = 1) AS tv
+    FROM owned WHERE shape = 'tail' AND g > 0 GROUP BY 1, 2),
+  entries AS (SELECT o.* REPLACE (message || coalesce(tail, '') AS message, raw || coalesce(tail, '') AS raw,
+      CASE WHEN kind > 8 AND tv IS NOT NULL THEN 8 ELSE kind END AS kind), kind AS own_kind, tv,
+    row_number() OVER (PARTITION BY report_id ORDER BY line_no) AS entry_idx, {_MS}
+    FROM owned o LEFT JOIN tails t ON t.r = o.report_id AND t.of = o.g WHERE shape = 'entry')"""
+LINE_ENTRIES = f"""entries AS (SELECT *, kind AS own_kind, NULL AS tv, row_number() OVER (PARTITION BY report_id ORDER BY line_no) AS entry_idx, {_MS}
+  FROM logs WHERE shape = 'entry')"""
 oracle("log_entries", LOGS, ENTRIES,
        "SELECT report_id, entry_idx, line_no, ts_text, ms, pid, tid, level, tag, message FROM entries")
 
@@ -73,7 +81,7 @@ SUMMARY = f"""CASE kind WHEN 0 THEN 'ANR in ' || {_APP} WHEN 1 THEN 'Fatal Excep
  WHEN 2 THEN 'Native crash detected' WHEN 3 THEN 'OOM kill: ' || {_APP} || ' (adj=' || v || ')'
  WHEN 4 THEN 'Watchdog: blocked in handler on ui thread' WHEN 5 THEN 'Binder transaction timeout'
  WHEN 6 THEN 'Slow operation: delivery' WHEN 7 THEN 'StrictMode violation (policy=' || v || ', violation=' || event_id % 5 || ')'
- WHEN 8 THEN 'Input dispatching timeout: com.app/.U' || user_id % 9 WHEN 9 THEN 'HAL service died: vendor.u' || user_id % 9 END"""
+ WHEN 8 THEN 'Input dispatching timeout: com.app/' || CASE own_kind WHEN 8 THEN '.U' || user_id % 9 ELSE '.T' || tv END WHEN 9 THEN 'HAL service died: vendor.u' || user_id % 9 END"""
 FOUND = f"""found AS (SELECT e.*, k.type, k.severity, k.category, k.template, k.commands, {SUMMARY} AS summary,
   CASE WHEN kind < 2 THEN {_APP} END AS process_name FROM entries e JOIN kinds k ON k.k = e.kind)"""
 oracle("log_anomalies", LOGS, ENTRIES, KINDS, FOUND,
@@ -566,7 +574,7 @@ oracle("hal_cross_reference", *_TRACED, FACTS, FR, TARGETS, CHOSEN, HALS, FAMILI
   firsts AS (SELECT * FROM aims QUALIFY row_number() OVER (PARTITION BY report_id, package_name ORDER BY t, o) = 1)""",
   """SELECT a.report_id, '- ' || a.interface_name || ' (' || a.package_name || ') → ' || coalesce(f.highest_status || ', highest=' || f.highest_version || ', ' || f.version_count || ' version(s)' || CASE WHEN f.is_oem THEN ' [OEM]' ELSE '' END,
   'status unknown (not found in lshal)') AS text FROM firsts a LEFT JOIN families f ON replace(f.report_id, 'h', 'r') = a.report_id AND split_part(f.family, '::', 1) = lower(split_part(a.package_name, '@', 1))""", recursive=True)
-oracle("streamed_anomalies", LOGS, KINDS, ENTRIES, FOUND,
+oracle("streamed_anomalies", LOGS, KINDS, LINE_ENTRIES, FOUND,
        f"SELECT report_id, line_no, type, summary, tag, {_CLASS} AS classification FROM found")
 oracle("streamed_latest", """SELECT CAST(user_id AS VARCHAR) AS id, max(epoch_us(ts) // 1000) AS at, first(event_id || ':' || event_type ORDER BY ts DESC, event_id || ':' || event_type DESC) AS payload FROM events
   GROUP BY 1 HAVING max(epoch_us(ts) // 1000) >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 86400000""")

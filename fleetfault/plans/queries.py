@@ -39,8 +39,8 @@ def query(build: Query) -> Query:
 # Application log ---------------------------------------------------------------------
 
 
-def _entries(spark: SparkSession, folder: str, stitch: bool = False) -> DataFrame:
-    return logs.parse_log(b.log_lines(spark, folder), stitch=stitch)
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    return logs.parse_log(b.log_lines(spark, folder))
 
 
 def _merged(entries: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def log_entries(spark, folder):
 
 @query
 def log_stitched(spark, folder):
-    return _entries(spark, folder, True).select("report_id", "entry_idx", "message", "raw")
+    return _entries(spark, folder).select("report_id", "entry_idx", "message", "raw")
 
 
 @query
