@@ -249,12 +249,14 @@ CHAINS = """chain AS (SELECT w.report_id, w.trace_id, w.t, w.tid AS start_tid, w
 oracle("lock_chains", TH, WAITS, PRIMARY, CHAINS, """SELECT c.report_id, c.trace_id, c.start_tid, CAST(c.hop AS BIGINT) AS hop, c.cur AS tid, th.name
   FROM chain c JOIN th ON th.t = c.t AND th.tid = c.cur""", recursive=True)
 _JAVA = "NOT f.is_native AND NOT starts_with(f.class_name, 'android.os.')"
-oracle("suspected_targets", *_TRACED, FACTS, FR, f"""SELECT s.report_id, s.trace_id, s.role, s.interface_name,
+SUSPECT_ROWS = f"""SELECT s.report_id, s.trace_id, s.role, s.interface_name,
   CASE s.interface_name WHEN 'IGnss' THEN 'android.hardware.gnss@1.0' ELSE 'vendor.acme.hardware.pad@1.0' END AS package_name,
   CASE s.interface_name WHEN 'IGnss' THEN 'start' ELSE 'getService' END AS method, th.name AS thread_name,
   coalesce((SELECT arg_min(f.class_name, f.ord) FROM fr f WHERE f.t = s.t AND f.i = s.si AND {_JAVA} AND (s.interface_name = 'IGnss' OR f.idx <> 8)), '') AS caller_class,
   coalesce((SELECT arg_min(f.method_name, f.ord) FROM fr f WHERE f.t = s.t AND f.i = s.si AND {_JAVA} AND (s.interface_name = 'IGnss' OR f.idx <> 8)), '') AS caller_method
-  FROM suspects s JOIN th ON th.t = s.t AND th.i = s.si""", recursive=True)
+  FROM suspects s JOIN th ON th.t = s.t AND th.i = s.si"""
+oracle("suspected_targets", *_TRACED, FACTS, FR, SUSPECT_ROWS, recursive=True)
+oracle("all_suspects", TH, PRIMARY, "reasoned AS (SELECT *, 'unknown' AS reason FROM prim)", SUSPECTS, FACTS, FR, SUSPECT_ROWS)
 TARGETS = rf"""slow AS (SELECT DISTINCT report_id, trace_id, t, i, tid FROM reasoned WHERE reason = 'slow_binder_call'),
   marks AS (SELECT s.*, (SELECT min(ord) FROM fr f WHERE f.t = s.t AND f.i = s.i AND f.idx = 8) AS pad, (SELECT min(ord) FROM fr f WHERE f.t = s.t AND f.i = s.i AND f.idx = 2) AS trans,
     (SELECT min(ord) FROM fr f WHERE f.t = s.t AND f.i = s.i AND f.idx = 10) AS gnss FROM slow s),
@@ -272,6 +274,9 @@ TARGETS = rf"""slow AS (SELECT DISTINCT report_id, trace_id, t, i, tid FROM reas
     coalesce(CASE WHEN pad IS NOT NULL THEN pad_by.m WHEN trans_by IS NOT NULL THEN trans_by.m ELSE any_by.m END, '') AS caller_method FROM called)"""
 oracle("binder_targets", *_TRACED, FACTS, FR, TARGETS, """SELECT report_id, trace_id, tid, interface_name, package_name, method, caller_class, caller_method
   FROM targets""", recursive=True)
+_EVERY = TARGETS.replace("slow AS (SELECT DISTINCT report_id, trace_id, t, i, tid FROM reasoned WHERE reason = 'slow_binder_call')", "slow AS (SELECT report_id, trace_id, t, i, tid FROM th)")
+oracle("stack_targets", TH, FACTS, FR, _EVERY, """SELECT report_id, trace_id, tid, interface_name, package_name, method, caller_class, caller_method
+  FROM targets""")
 
 LABEL_ROWS = values(list(LABELS.items()), "labels_of", "reason, label")
 CHOSEN = "chosen AS (SELECT * FROM sure WHERE role = 'blocked' OR t % 2 = 1)"
@@ -393,7 +398,7 @@ oracle("report_sections", DOCS, SECTS, """SELECT report_id, section_idx, name, c
   name = 'DUMPSYS HIGH' AND doc_id % 5 = 0 AS shows_memory, false AS shows_cpu FROM sections""")
 oracle("section_routes", DOCS, SECTS, """SELECT report_id, CAST(0 AS BIGINT) AS properties, max(CASE WHEN o = 4 THEN section_idx END) AS kernel, max(CASE WHEN o = 5 AND doc_id % 5 = 0 THEN section_idx END) AS memory,
   CAST(NULL AS BIGINT) AS cpu, CAST(NULL AS BIGINT) AS hals FROM sections GROUP BY 1""")
-oracle("section_log_lines", DOCS, """SELECT report_id, p AS line_no, CAST(length(l[p]) AS BIGINT) AS chars FROM (SELECT report_id, l, unnest(range(1, len(l) + 1)) AS p FROM (
+oracle("section_log_lines", DOCS, """SELECT report_id, p AS line_no, CAST(length(l[p]) AS BIGINT) AS chars, md5(l[p]) AS digest FROM (SELECT report_id, l, unnest(range(1, len(l) + 1)) AS p FROM (
   SELECT report_id, CASE WHEN doc_id % 3 = 0 THEN list_prepend('', string_split(text, chr(10))) ELSE string_split(text, chr(10)) END AS l FROM docs))""")
 oracle("report_meta", DOCS, """SELECT report_id, 'M' || doc_id % 50 AS device_model, CAST(20 + doc_id % 15 AS INT) AS sdk_level, CASE WHEN doc_id % 4 = 0 THEN '5.' || doc_id ELSE 'unknown' END AS kernel_version,
   'unknown' AS manufacturer, 'unknown' AS android_version, 'unknown' AS build_fingerprint, 'unknown' AS build_date, '2024-01-15 10:00:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') AS report_time FROM docs""")

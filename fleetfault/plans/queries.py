@@ -236,6 +236,25 @@ def binder_targets(spark, folder):
     return t["targets"].join(named, [*TRACE, "thread_no"]).drop("thread_no")
 
 
+@query
+def stack_targets(spark, folder):
+    """What each thread of each dump would call, by all strategies, whatever the thread is blocked by."""
+    t = _dumps(spark, folder)
+    frames = materialize(t["frames"])
+    named = materialize(t["threads"].select(*TRACE, "thread_no", "tid"))
+    return traces.binder_targets(named, frames).join(named, [*TRACE, "thread_no"]).drop("thread_no")
+
+
+@query
+def all_suspects(spark, folder):
+    """Threads stuck in binder calls beside every primary thread, as if none of these could explain itself."""
+    t = _dumps(spark, folder)
+    threads, frames = materialize(t["threads"]), materialize(t["frames"])
+    asking = traces.primary_threads(t["heads"], threads).withColumn("reason", F.lit("unknown"))
+    found = traces.suspected_targets(asking, threads, frames, materialize(traces.stack_evidence(frames)))
+    return found.select(*TRACE, "role", "interface_name", "package_name", "method", "thread_name", "caller_class", "caller_method")
+
+
 @query
 def hot_frames(spark, folder):
     return traces.hot_frames(traces.frame_view(_dumps(spark, folder)["frames"]))
@@ -407,7 +426,7 @@ def section_routes(spark, folder):
 @query
 def section_log_lines(spark, folder):
     return sections.log_lines(_marked(spark, folder)).select(
-        "report_id", "line_no", F.length("raw").cast("long").alias("chars")
+        "report_id", "line_no", F.length("raw").cast("long").alias("chars"), F.md5("raw").alias("digest")
     )
 
 
