@@ -524,7 +524,7 @@ _stages = [f"""lines AS (SELECT source AS report_id, doc_id AS insight_no, p, l[
 for _i in range(4):
     _stages.append(f"""cut{_i} AS (SELECT *, rest - coalesce(sum(s{_i}) OVER (PARTITION BY report_id ORDER BY insight_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > {BUDGET} AS c{_i} FROM left{_i}),
   left{_i + 1} AS (SELECT * EXCLUDE (rest), rest - sum(CASE WHEN c{_i} THEN s{_i} ELSE 0 END) OVER (PARTITION BY report_id) AS rest FROM cut{_i})""")
-oracle("budget_cut", *_stages, f"""SELECT r.report_id, r.insight_no, r.kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM rows0 r JOIN left4 c USING (report_id, insight_no)
+oracle("budget_cut", *_stages, f"""SELECT r.report_id, r.insight_no, r.kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, md5(string_agg(text, chr(10) ORDER BY ord)) AS digest FROM rows0 r JOIN left4 c USING (report_id, insight_no)
   WHERE NOT ({' OR '.join(f"(c{i} AND kind = '{k}' AND ord > {n})" for i, (k, n) in enumerate(_CUTS))}) GROUP BY 1, 2, 3""")
 oracle("family_match", HALS, FAMILIES, """wanted AS (SELECT 'h' || CAST(s_suppkey % 20 AS VARCHAR) AS report_id, CASE s_nationkey % 4 WHEN 0 THEN 'Vendor.Acme.Pad@1.0' WHEN 1 THEN 'vendor.qti.color@1.2::x' WHEN 2 THEN 'android.hardware.gnss' ELSE 'com.none@2.' || s_suppkey END AS package_name,
     'I' || s_suppkey AS interface_name FROM supplier)""", """SELECT w.report_id, w.interface_name, '- ' || w.interface_name || ' (' || package_name || ') → ' || coalesce(highest_status || ', highest=' || highest_version || ', ' || version_count || ' version(s)' || CASE WHEN is_oem THEN ' [OEM]' ELSE '' END, 'status unknown (not found in lshal)') AS text
@@ -558,11 +558,11 @@ BODIES = f"""bodies AS (SELECT t, i, coalesce(string_agg('    ' || raw, chr(10)
       || CASE WHEN th.i % 4 = 1 THEN '  holds locks: 0x0' || th.tid || '(com.app.Lock)' ELSE '' END || chr(10) || coalesce(b.body, '') AS full_text,
     {_WHO} || chr(10) || coalesce(b.top, '') AS short_text FROM th LEFT JOIN bodies b ON b.t = th.t AND b.i = th.i)"""
 oracle("trace_context", *_TRACED, FACTS, FR, CHAINS, CHOSEN, BODIES, """pieces AS (
-    SELECT c.report_id, c.t, 'stack' AS kind, f.raw AS text FROM chosen c JOIN fr f ON f.t = c.t AND f.i = c.i
-    UNION ALL SELECT c.report_id, c.t, 'chain', x.full_text FROM chosen c JOIN chain n ON n.t = c.t AND n.start_tid = c.tid JOIN texts x ON x.t = n.t AND x.tid = n.cur
-    UNION ALL SELECT report_id, t, 'thread', short_text FROM (SELECT c.report_id, c.t, x.short_text, row_number() OVER (PARTITION BY c.t ORDER BY x.i) AS k FROM chosen c
+    SELECT c.report_id, c.t, 'stack' AS kind, f.raw AS text, f.ord AS ord FROM chosen c JOIN fr f ON f.t = c.t AND f.i = c.i
+    UNION ALL SELECT c.report_id, c.t, 'chain', x.full_text, n.hop FROM chosen c JOIN chain n ON n.t = c.t AND n.start_tid = c.tid JOIN texts x ON x.t = n.t AND x.tid = n.cur
+    UNION ALL SELECT report_id, t, 'thread', short_text, k FROM (SELECT c.report_id, c.t, x.short_text, row_number() OVER (PARTITION BY c.t ORDER BY x.i) AS k FROM chosen c
       JOIN texts x ON x.t = c.t AND x.tid <> c.tid AND x.state IN ('Blocked', 'Native')) WHERE k <= 10)""",
-  "SELECT report_id, t AS insight_no, kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM pieces GROUP BY 1, 2, 3", recursive=True)
+  "SELECT report_id, t AS insight_no, kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, md5(string_agg(text, chr(10) ORDER BY ord)) AS digest FROM pieces GROUP BY 1, 2, 3", recursive=True)
 _THREAD = "CASE WHEN c.t % 2 = 0 THEN 'android.fg' ELSE 'main' END"
 oracle("trace_summaries", *_TRACED, FACTS, FR, TARGETS, CHAINS, CHOSEN, f"""SELECT c.report_id, c.t AS trace_idx,
   'Process: ' || c.process_name || ' (PID ' || c.pid || ')' || coalesce(chr(10) || '  Subject: ' || c.subject, '') || chr(10) || '  Blocked Thread: "' || {_THREAD} || '" — ' || c.reason || ' (' || c.confidence || ')'

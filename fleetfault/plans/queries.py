@@ -743,16 +743,22 @@ def trace_choice(spark, folder):
     return context.choose_trace(titled, materialize(heads))
 
 
+def _digested(rows: DataFrame) -> DataFrame:
+    """Lines, characters and a digest of the texts in order, for each kind of context of a finding."""
+    keys = ["report_id", "insight_no", "kind"]
+    rows = materialize(rows.select(*keys, "ord", "text"))
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    whole = ordering.ordered_text(rows, keys, "ord", "text", "whole").select(*keys, F.md5("whole").alias("digest"))
+    return sums.join(whole, keys)
+
+
 @query
 def trace_context(spark, folder):
     t = _traced(spark, folder)
     primary = t["blocks"].groupBy(*TRACE).agg(F.min_by(F.struct("thread_no", "tid"), "role").alias("p")).select(*TRACE, "p.*")
     chosen = t["heads"].select("report_id", F.col("trace_idx").alias("insight_no"), "trace_id")
-    return context.trace_context(
-        chosen, primary, t["threads"], t["frames"], traces.held_locks(t["owned"]), t["chains"]
-    ).groupBy("report_id", "insight_no", "kind").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")
-    )
+    rows = context.trace_context(chosen, primary, t["threads"], t["frames"], traces.held_locks(t["owned"]), t["chains"])
+    return _digested(rows)
 
 
 def _context_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -771,9 +777,7 @@ def budget_cut(spark, folder):
         materialize(_context_parts(spark, folder)), budget=BUDGET,
         cuts=[("temporal", 3), ("thread", 2), ("log", 1), ("chain", 1)],
     )
-    return kept.groupBy("report_id", "insight_no", "kind").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")
-    )
+    return _digested(kept)
 
 
 @query
