@@ -583,6 +583,10 @@ oracle("streamed_anomalies", LOGS, KINDS, LINE_ENTRIES, FOUND,
        f"SELECT report_id, line_no, type, summary, tag, {_CLASS} AS classification FROM found")
 oracle("streamed_latest", """SELECT CAST(user_id AS VARCHAR) AS id, max(epoch_us(ts) // 1000) AS at, first(event_id || ':' || event_type ORDER BY ts DESC, event_id || ':' || event_type DESC) AS payload FROM events
   GROUP BY 1 HAVING max(epoch_us(ts) // 1000) >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 86400000""")
-oracle("result_pages", NAMES, POINTS, SCORES, EV.replace("event_type AS label", "'l' AS label"), _runs("ev", "pos"), f"runs AS ({_RUNS})", """SELECT report_id, 'insights' AS part, (pos + 1) // 100 AS page, CAST(count(*) AS INT) AS rows, arg_min(severity, pos) AS first_severity, CAST(NULL AS INT) AS overall FROM ev GROUP BY 1, 3
+_PAGED = [NAMES, POINTS, SCORES, EV.replace("event_type AS label", "'l' AS label"), _runs("ev", "pos"), f"runs AS ({_RUNS})"]
+PAGE_ROWS = """SELECT report_id, 'insights' AS part, (pos + 1) // 100 AS page, CAST(count(*) AS INT) AS rows, arg_min(severity, pos) AS first_severity, CAST(NULL AS INT) AS overall FROM ev GROUP BY 1, 3
   UNION ALL SELECT report_id, 'timeline', seq // 100, CAST(count(*) AS INT), arg_min(severity, seq), NULL FROM runs GROUP BY 1, 3
-  UNION ALL SELECT CAST(report_id AS VARCHAR), 'health', 0, NULL, NULL, overall FROM health""")
+  UNION ALL SELECT CAST(report_id AS VARCHAR), 'health', 0, NULL, NULL, overall FROM health"""
+oracle("result_pages", *_PAGED, PAGE_ROWS)
+_DAY = "ascii(right(CAST(report_id AS VARCHAR), 1)) % 5"
+oracle("written_results", *_PAGED, f"SELECT *, CAST(DATE '2024-01-01' + CAST({_DAY} AS INT) AS VARCHAR) AS report_date FROM ({PAGE_ROWS.replace('// 100', f'// CASE WHEN {_DAY} = 2 THEN 40 ELSE 100 END')})")

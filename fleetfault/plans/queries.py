@@ -915,16 +915,35 @@ def streamed_latest(spark, folder):
     return arrivals.newest(spark, f"{place}/out", ttl_ms=86_400_000)
 
 
-@query
-def result_pages(spark, folder):
-    events = _event_timeline(spark, folder)
-    pages = sinks.result_pages(
-        _user_health(spark, folder).withColumn("report_id", F.col("report_id").cast("string")),
+def _pages(spark: SparkSession, folder: str, page_rows: int, only: str = "true") -> DataFrame:
+    events = _event_timeline(spark, folder).where(only)
+    return sinks.result_pages(
+        _user_health(spark, folder).withColumn("report_id", F.col("report_id").cast("string")).where(only),
         events.select("report_id", (F.col("pos") + 1).alias("insight_no"), "severity", "source", "details"),
-        timeline.merge_runs(events), page_rows=100,
+        timeline.merge_runs(events), page_rows=page_rows,
     )
+
+
+def _page_facts(pages: DataFrame, *more: str) -> DataFrame:
     return pages.select(
         "report_id", "part", "page", F.json_array_length("result").alias("rows"),
         F.get_json_object("result", "$[0].severity").alias("first_severity"),
-        F.get_json_object("result", "$.overall").cast("int").alias("overall"),
+        F.get_json_object("result", "$.overall").cast("int").alias("overall"), *more,
     )
+
+
+@query
+def result_pages(spark, folder):
+    return _page_facts(_pages(spark, folder, 100))
+
+
+@query
+def written_results(spark, folder):
+    """Results written by date and read again, after one day's reports were analysed anew with smaller pages."""
+    day = "ascii(right(report_id, 1)) % 5"
+    place = f"{scratch_folder(spark)}/results"
+    for page_rows, only, mode in ((100, "true", "append"), (40, f"{day} = 2", "replace")):
+        pages = _pages(spark, folder, page_rows, only)
+        dates = pages.select("report_id").distinct().withColumn("report_date", F.expr(f"date_add(DATE '2024-01-01', CAST({day} AS INT))"))
+        sinks.write_tables({"results": pages}, place, dates, mode)
+    return _page_facts(spark.read.parquet(f"{place}/results"), F.col("report_date").cast("string").alias("report_date"))

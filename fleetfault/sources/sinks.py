@@ -10,13 +10,16 @@ def write_tables(tables: dict[str, DataFrame], path: str, report_dates: DataFram
     """Each table as parquet under ``path/<name>``, partitioned by ``report_date``.
 
     Rows of a date are rebalanced into files of about the advisory size before they are
-    written, so small dates are one file and a large report is not one task.
+    written, so small dates are one file and a large report is not one task.  Mode ``replace`` replaces
+    the dates that the tables hold and leaves all others: a day that is analysed again has no old rows.
     """
+    kept = {"partitionOverwriteMode": "dynamic"} if mode == "replace" else {}
+    mode = "overwrite" if mode == "replace" else mode
     for name, table in tables.items():
         if "report_id" in table.columns:
             table = table.join(report_dates, "report_id", "left")
         if "report_date" in table.columns:
-            table.hint("rebalance", "report_date").write.mode(mode).partitionBy("report_date").parquet(f"{path}/{name}")
+            table.hint("rebalance", "report_date").write.mode(mode).options(**kept).partitionBy("report_date").parquet(f"{path}/{name}")
         else:
             table.write.mode(mode).parquet(f"{path}/{name}")
 
