@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetfault.llm import chat, decontam, hpylm, jaccard, language, mixing, piecewise, quality, repair, repeats, token_counts, wavelet, whitening
+from fleetfault.llm.oracles import ORACLES  # noqa: F401
 from fleetfault.llm.tables import read
 
 
@@ -108,6 +109,3 @@ QUERIES = {
     "op12_repair_conversations": op12_repair_conversations,
     "op13_whiten_embeddings": op13_whiten_embeddings,
 }
-
-# The others have no SQL: their tests compare them with brute force.
-ORACLES: dict[str, str] = {}
