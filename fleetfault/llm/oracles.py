@@ -75,4 +75,21 @@ FROM (SELECT DISTINCT conv_id FROM conversations) i
 LEFT JOIN sums s ON s.conv = coalesce(i.conv_id, 0) AND s.nameless = (i.conv_id IS NULL)
 LEFT JOIN back b ON b.conv = s.conv AND b.nameless = s.nameless AND b.pos = 1"""
 
-ORACLES: dict[str, str] = {"op3_format_chats": FORMATTED, "op12_repair_conversations": REPAIRED}
+# All pairs that share a shingle, and what links reach.
+JOINED = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM words WHERE len(w) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(sh, chr(10) ORDER BY sh)) AS name FROM shingles GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT DISTINCT x AS doc_id, x AS other FROM ways UNION SELECT r.doc_id, w.y FROM reached r JOIN ways w ON w.x = r.other),
+lowest AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(l.component_id, w.doc_id) AS component_id,
+  coalesce((SELECT min(o.doc_id) FROM sets o WHERE o.name = s.name), w.doc_id) AS class_id
+FROM words w LEFT JOIN sets s ON s.doc_id = w.doc_id LEFT JOIN lowest l ON l.doc_id = w.doc_id"""
+
+ORACLES: dict[str, str] = {
+    "op3_format_chats": FORMATTED,
+    "op5_ngram_jaccard": JOINED,
+    "op12_repair_conversations": REPAIRED,
+}
