@@ -363,7 +363,7 @@ FROM (SELECT report_id, is_oem, highest_status, count(*) AS n, string_agg(short_
 
 BOOT = """boot AS (SELECT r AS report_id, r = 'r1' AS boot_completed,
   CASE WHEN r = 'r0' THEN 'cold,powerkey' ELSE (SELECT arg_min('watchdog' || u, entry_idx) FROM kentries k WHERE k.report_id = r AND kind = 16) END AS boot_reason,
-  greatest((SELECT count(*) FROM entries e WHERE e.report_id = r AND kind = 11) - 1, 0) AS restarts,
+  greatest((SELECT count(*) FROM entries e WHERE e.report_id = r AND own_kind = 11) - 1, 0) AS restarts,
   (SELECT arg_max(CAST(boot_text AS DOUBLE), entry_idx) FROM kentries k WHERE k.report_id = r) AS uptime_s FROM (VALUES ('r0'), ('r1'), ('r2'), ('r3')) v(r))"""
 oracle("boot_status", LOGS, ENTRIES, KLOGS, KENTRIES, BOOT, "SELECT * FROM boot")
 oracle("boot_findings", LOGS, ENTRIES, KLOGS, KENTRIES, BOOT, """SELECT report_id, 'warning' AS severity, 'Boot not completed' AS title, 'sys.boot_completed was not set. The device may not have finished booting successfully.' AS description FROM boot WHERE NOT boot_completed AND uptime_s IS NOT NULL
