@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fleetfault.llm.components import components
 from fleetfault.llm.sketch import SCHEMA, bloom, maybe_in, merged, pieces
-from fleetfault.llm.words import scatter, slices, span_hashes, text_bytes, window_hashes, word_spans
+from fleetfault.llm.words import release_stores, scatter, slices, span_hashes, text_bytes, window_hashes, word_spans
 from fleetfault.operators.ordering import top_rows
 from fleetfault.session import written
 
@@ -75,6 +75,7 @@ def _rarity(docs: DataFrame, size: int) -> np.ndarray:
     """Six-bit class of each counter: 0 up to twice the mean, then one more for each doubling."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_stores()  # in a pipeline, a tokenizer's may be there
         counts = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for grams in shingle_sets(batch.column(0), size):

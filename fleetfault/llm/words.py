@@ -34,6 +34,14 @@ def worker_store(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def release_stores() -> None:
+    """Forget what earlier stages left in this worker, for a stage that needs its memory; it is learnt again when wanted."""
+    holder = sys.modules.get("_fleetfault_worker")
+    for name, store in vars(holder).items() if holder else ():
+        if isinstance(store, dict) and not name.startswith("__") and name != "powers":
+            store.clear()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column, and the border of each text (length rows + 1)."""
     if isinstance(column, pa.ChunkedArray):
