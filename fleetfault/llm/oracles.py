@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fleetfault.llm import quality as q
+
 # The template of a conversation, its digests, and the text under its loss mask.
 FORMATTED = r"""WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -88,8 +90,32 @@ SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(l.comp
   coalesce((SELECT min(o.doc_id) FROM sets o WHERE o.name = s.name), w.doc_id) AS class_id
 FROM words w LEFT JOIN sets s ON s.doc_id = w.doc_id LEFT JOIN lowest l ON l.doc_id = w.doc_id"""
 
+
+
+def _found(text: str, pattern: str) -> str:
+    return "len(regexp_extract_all({}, '{}'))".format(text, pattern.replace("'", "''"))
+
+
+# Windows of three words found again, lines found again, and the words in lines that fail.
+JUDGED = rf"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT r, doc_id, text, regexp_extract_all(text, '{q.WORD}') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{q.WORD}')) AS filled FROM texts),
+windows AS (SELECT r, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS said FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS k FROM split)),
+again AS (SELECT r, k FROM windows QUALIFY count(*) OVER (PARTITION BY r, said) > 1),
+covered AS (SELECT r, count(DISTINCT k + d) AS n FROM again, range(3) t(d) GROUP BY r),
+lines AS (SELECT r, line, {_found("line", q.WORD)} AS n, {_found("line", q.MENU_SEPARATOR)} - {_found("line", q.OPENING_MARK)} AS loose,
+  {_found("line", q.BOILERPLATE)} AS phrases FROM (SELECT r, unnest(filled) AS line FROM split)),
+lost AS (SELECT r, sum(n) AS n FROM lines WHERE (n < {q.MIN_OPEN_WORDS} AND NOT regexp_matches(line, '{q.SENTENCE_END.replace("'", "''")}'))
+  OR (loose >= {q.MIN_SEPARATORS} AND n <= {q.MENU_WORDS} * loose) OR regexp_matches(line, '{q.MENU_LINE}') OR (phrases > 0 AND n <= {q.PHRASE_WORDS} * phrases) GROUP BY r),
+counted AS (SELECT s.*, len(w) AS n_words, coalesce(c.n, 0) AS n_repeat_words, CAST(coalesce(l.n, 0) AS BIGINT) AS n_lost_words
+  FROM split s LEFT JOIN covered c ON c.r = s.r LEFT JOIN lost l ON l.r = s.r),
+based AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, length(array_to_string(w, '')) AS word_chars, {_found("text", q.SYMBOL)} AS n_symbols,
+  CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * n_lost_words <= {q.MAX_LOST_PERCENT} * n_words AS kept, n_lost_words FROM based"""
+
 ORACLES: dict[str, str] = {
     "op3_format_chats": FORMATTED,
     "op5_ngram_jaccard": JOINED,
+    "op9_quality_rules": JUDGED,
     "op12_repair_conversations": REPAIRED,
 }

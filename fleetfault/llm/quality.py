@@ -20,15 +20,21 @@ MAX_LOST_PERCENT = 40  # of the words, in removed lines
 # A line ends like a sentence, or is a heading or list entry of some length.
 SENTENCE_END = r"""[.!?…:;。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
 MIN_OPEN_WORDS = 3
-# Three menu separators, or nothing but the words of a menu.
-NAVIGATION = (
-    r"(?i)[|»›•·>].*[|»›•·>].*[|»›•·>]"
-    r"|^[\x20\x09-\x0D]*(home|menu|search|log ?in|sign ?(in|up)|share|next|previous|back|read more|subscribe|about us|contact us"
+# A menu: three separators or more that pair with no opening mark, and few words to each of them ...
+MENU_SEPARATOR = r"[|»›•·>]"
+OPENING_MARK = r"[«‹<]"  # quotation marks and tags open with these: what they pair with separates nothing
+MIN_SEPARATORS = 3
+MENU_WORDS = 5  # to a separator, separators that stand alone included
+# ... or nothing but the words of a menu.
+MENU_LINE = (
+    r"(?i)^[\x20\x09-\x0D]*(home|menu|search|log ?in|sign ?(in|up)|share|next|previous|back|read more|subscribe|about us|contact us"
     r"|register|back to top|skip to content)[\x20\x09-\x0D:.!»>]*$"
 )
+# Phrases of page furniture fail a line of which they are a good part.
+PHRASE_WORDS = 12  # to a phrase
 BOILERPLATE = (
-    r"(?i)\b(cookie policy|use(s)? (of )?cookies|accept cookies|privacy policy|terms of (use|service)|all rights reserved|enable javascript"
-    r"|lorem ipsum|powered by|click here|page not found|copyright ©|share this|follow us)\b"
+    r"(?i)(^|[^\p{L}\p{N}_])(cookie policy|use(s)? (of )?cookies|accept cookies|privacy policy|terms of (use|service)|all rights reserved"
+    r"|enable javascript|lorem ipsum|powered by|click here|page not found|copyright ©|share this|follow us)([^\p{L}\p{N}_]|$)"
 )
 
 
@@ -42,9 +48,17 @@ def words_of(text: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with at least one word is removed."""
-    few = F.regexp_count(line, F.lit(WORD)) < MIN_OPEN_WORDS
-    return (few & ~line.rlike(SENTENCE_END)) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)
+    """Whether a line with at least one word is removed.
+
+    Separators and phrases are held against the words of the line, so a paragraph that quotes in
+    guillemets or mentions a privacy policy stays.
+    """
+    words = F.regexp_count(line, F.lit(WORD))
+    few = (words < MIN_OPEN_WORDS) & ~line.rlike(SENTENCE_END)
+    loose = F.regexp_count(line, F.lit(MENU_SEPARATOR)) - F.regexp_count(line, F.lit(OPENING_MARK))
+    menu = (loose >= MIN_SEPARATORS) & (words <= MENU_WORDS * loose)
+    furniture = line.rlike(BOILERPLATE) & (words <= PHRASE_WORDS * F.regexp_count(line, F.lit(BOILERPLATE)))
+    return few | menu | line.rlike(MENU_LINE) | furniture
 
 
 def _repeated_words() -> tuple[str, Column, Column, Column]:

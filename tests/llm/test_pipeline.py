@@ -1,10 +1,12 @@
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from conftest_llm import table
 from pyspark.sql import functions as F
 
@@ -97,8 +99,6 @@ def test_transducer_equals_library():
 
 
 def test_quality_measures(messy, messy_rows, nothing):
-    import re
-
     word = r"[^\x20\x09-\x0D]+"
     want = Counter()
     for key, text, *_ in messy_rows:
@@ -123,6 +123,49 @@ def test_line_rules(spark, words):
     assert got == {1: (prose, len(prose)), 2: (prose, len(prose))}
 
 
+def brute_lost(text):
+    """Words in lines that fail, found word by word."""
+    lost = 0
+    for line in (text or "").split("\n"):
+        words = [x for x in re.split("[\x20\x09-\x0D]+", line) if x]
+        loose = sum(c in "|»›•·>" for c in line) - sum(c in "«‹<" for c in line)
+        ended = line.rstrip(" \t\n\v\f\r").rstrip("\"'”’»)]")[-1:]
+        bad = len(words) < 3 and ended not in list(".!?…:;。！？")
+        bad |= loose >= 3 and len(words) <= 5 * loose
+        bad |= re.search(quality.MENU_LINE, line) is not None
+        phrases = len(regex.findall(quality.BOILERPLATE, line))
+        lost += len(words) if words and (bad or 0 < len(words) <= 12 * phrases) else 0
+    return lost
+
+
+def test_quality_verdicts(spark, messy, messy_rows, words):
+    rng = random.Random(8)
+    ends = [" | ", " » ", " «", "» ", " <b>", " • ", " privacy policy ", " ", " ", " ", " ", ".\n", "\n", "!»\n", ".)\n", "All rights reserved.\n"]
+    rows = [(k, "".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randrange(40, 200))), "en", "a", 1) for k in range(100, 260)]
+    for frame, given in ((messy, messy_rows), (table(spark, rows), rows)):
+        got = Counter((r.doc_id, r.n_lost_words, r.base_failed, r.kept) for r in quality.quality(frame).collect())
+        want = Counter()
+        for (key, failed), times in Counter((r.doc_id, r.base_failed) for r in quality.quality(frame).collect()).items():
+            for text in [x[1] for x in given if x[0] == key][:times]:
+                n, lost = len(re.findall(quality.WORD, text or "")), brute_lost(text)
+                want[key, lost, failed, not failed and 100 * lost <= 40 * n] += 1
+        assert got == want
+    assert {k[3] for k in got} == {True, False}
+
+
+def test_clean_paragraphs_stay(spark):
+    """One paragraph that quotes in guillemets, lists or names a policy is no menu and no page furniture."""
+    said = "Le maire a dit « nous verrons » aux voisins, puis « rien ne presse » à la presse, et enfin « bonne nuit » à tous ceux qui restaient encore là."
+    told = "Readers who care should look at the privacy policy of each service they use, since these texts say which data leave the device and who may read them later on."
+    listed = "• a first point that runs over quite a few words, • a second point of about the same length, • and a third point that ends the list."
+    other = " ".join(f"word{k}" for k in range(60)) + "."
+    rows = [(k, f"{text} {other}", "fr", "a", 1) for k, text in enumerate((said, told, listed))]
+    assert all(r.kept and r.n_lost_words == 0 for r in quality.quality(table(spark, rows)).collect())
+    footer = "Accueil » Produits » Télé » Radio\nUse of cookies: privacy policy. All rights reserved."
+    (row,) = quality.quality(table(spark, [(1, f"{said} {other}\n{footer}", "fr", "a", 1)])).collect()
+    assert row.kept and row.n_lost_words == 15
+
+
 # Benchmark
 
 
@@ -234,8 +277,6 @@ def test_forward_backward_equals_enumeration():
 
 def test_language_model(messy, messy_rows, nothing):
     import math
-    import re
-
     held = lambda key: zlib.crc32(("" if key is None else str(key)).encode()) % 5 == 1
     fold = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s)
     tokens = [(r[0], [*re.findall(r"[^\x20\x09-\x0D]+", fold(r[1] or "")), None]) for r in messy_rows]
@@ -288,8 +329,6 @@ def test_seating_follows_the_restaurant():
 
 
 def test_word_hashes_tell_words_apart(messy_rows):
-    import re
-
     data, borders = text_bytes(pa.array([r[1] for r in messy_rows]))
     rows, starts, ends = word_spans(data, borders)
     want = [(k, w.encode()) for k, r in enumerate(messy_rows) for w in re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")]
