@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetfault.llm.words import slices, span_hashes, text_bytes, word_spans, worker_store
+from fleetfault.llm.words import resting, slices, span_hashes, text_bytes, word_spans, worker_store
 from fleetfault.session import scratch_folder
 
 END_ID = 2
@@ -311,7 +311,7 @@ def write_shards(
         docs.select(F.col(id_column).cast("long").alias("key"), F.col(text_column).alias("text"))
         .repartitionByRange(F.col("key").asc_nulls_first())
         .sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
-        .mapInArrow(coded, "part int, shard int, n_ids long, n_texts long, file binary")
+        .mapInArrow(lambda batches: resting(coded(batches)), "part int, shard int, n_ids long, n_texts long, file binary")
         .write.parquet(path)
     )
     return read_shards(spark, path)
@@ -351,7 +351,7 @@ def text_digests(files: DataFrame) -> DataFrame:
         .select("part", "shard", (F.col("part_start") + F.col("s")).alias("shard_start"))
     )
     texts = files.select("part", "shard", "file").mapInArrow(
-        opened, "doc_id long, inside long, n_tokens long, ids_crc32 long, part int, shard int"
+        lambda batches: resting(opened(batches)), "doc_id long, inside long, n_tokens long, ids_crc32 long, part int, shard int"
     )
     return texts.join(shards, ["part", "shard"]).select(
         "doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "part", "shard"

@@ -11,7 +11,9 @@ text itself is bounded by ``SLICE`` bytes (or the longest single word).
 
 from __future__ import annotations
 
+import ctypes
 import sys
+import threading
 import types
 from collections.abc import Iterator
 
@@ -42,6 +44,27 @@ def release_stores() -> None:
             store.clear()
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc do so by themselves
+    if trim is not None:
+        trim(0)
+
+
+def resting(batches: Iterator[pa.RecordBatch], wait: float = 0.5) -> Iterator[pa.RecordBatch]:
+    """What a task makes.  If no other task of this kind comes to its Python worker within ``wait`` seconds, the
+    worker gives freed memory back to the system, which the stages that follow can use; nothing learnt is forgotten."""
+    store = worker_store("rest")
+    if "timer" in store:
+        store.pop("timer").cancel()
+    try:
+        yield from batches
+    finally:
+        store["timer"] = threading.Timer(wait, _give_back)
+        store["timer"].daemon = True
+        store["timer"].start()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column, and the border of each text (length rows + 1)."""
     if isinstance(column, pa.ChunkedArray):

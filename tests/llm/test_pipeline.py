@@ -61,6 +61,25 @@ def test_shards_of_messy_table(messy, messy_rows, nothing):
     assert wavelet.text_digests(wavelet.write_shards(nothing, WORD_FILE)).count() == 0
 
 
+def test_resting_task_gives_memory_back(monkeypatch):
+    import time
+
+    from fleetfault.llm import words as module
+
+    calls = []
+    monkeypatch.setattr(module, "_give_back", lambda: calls.append(1))
+    assert list(module.resting(iter([1, 2]), wait=0.2)) == [1, 2]
+    assert list(module.resting(iter([3]), wait=0.2)) == [3]  # the next task comes first: one rest, not two
+    time.sleep(0.6)
+    assert calls == [1]
+    with pytest.raises(ZeroDivisionError):
+        list(module.resting((1 // k for k in (1, 0)), wait=0.05))
+    time.sleep(0.4)
+    assert calls == [1, 1]
+    monkeypatch.undo()
+    module._give_back()
+
+
 def test_encoder_equals_library():
     rng = random.Random(2)
     parts = ["a", "b.", " ", "A.", "'s", ",x", "\n", "é", "漢", "<|endoftext|>", "<|ENDOFTEXT|>", "e", "́", "th", "\t", "😀", "|",
