@@ -21,9 +21,11 @@ WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+LIBRARY = tokenizers.Tokenizer.from_file(WORD_FILE)
+
+
 def coded(text):
-    tokenizer = tokenizers.Tokenizer.from_file(WORD_FILE)
-    return tokenizer.encode(text or "", add_special_tokens=False).ids + [wavelet.END_ID]
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids + [wavelet.END_ID]
 
 
 # Token shards
