@@ -14,11 +14,13 @@ import fleetfault
 
 # A report may hold a third of all rows.  Rows grouped by (report, chunk) must spread by
 # both, though a join may have placed them by report alone; and a join skewed by one
-# report is split even where that costs one more shuffle.
+# report is split even where that costs one more shuffle.  Texts and archives go to Python workers
+# in batches of few bytes: a worker holds a batch several times over, and a task has two workers.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.requireAllClusterKeysForDistribution": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

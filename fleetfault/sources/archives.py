@@ -99,7 +99,6 @@ def expand_archives(archives: DataFrame, block_bytes: int = BLOCK_BYTES) -> Data
     bounded by one archive plus one block.  A broken archive gives one ``error`` row.
     """
     names = [c.split()[0] for c in BLOCKS.split(", ")]
-    batch_bytes = 4 * BLOCK_BYTES
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
@@ -115,7 +114,7 @@ def expand_archives(archives: DataFrame, block_bytes: int = BLOCK_BYTES) -> Data
         for row in rows(batches):
             held.append(row)
             size += len(row["text"] or "") + len(row["content"] or b"")
-            if size >= batch_bytes or len(held) >= 4096:
+            if size >= BLOCK_BYTES or len(held) >= 1024:
                 yield pd.DataFrame(held, columns=names)
                 held, size = [], 0
         if held:

@@ -195,3 +195,16 @@ def test_archives_by_member(spark, tmp_path):
     assert blocks.where("report_id = 'bad' and member = 'bugreport-b.txt'").count() == 1
     assert {r.report_id for r in archives.rejects(blocks).collect()} == {"bad", "none", "huge"}
     assert members.member_table(members.archive_files(spark, path).where("false")).count() == 0
+
+
+def test_python_workers_get_few_bytes_at_once(spark):
+    """A batch of archives or texts is bounded by its bytes, not only by its rows."""
+    big = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("content"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    assert 0 < max(r.n for r in big.mapInArrow(sizes, "n long").collect()) <= 8 << 20
