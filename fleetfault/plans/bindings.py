@@ -334,14 +334,17 @@ def document_archives(spark: SparkSession, folder: str) -> DataFrame:
 # A landed archive holds a dump and the report as they are (not packed), so its size is known: LANDED_BYTES.
 # Every fiftieth file is no archive, and every sixth archive has no report.
 LANDED_LIMIT = 4096
+LANDED_FOLDERS = 256
 LANDED_DUMP = "'----- pid ' || CAST(doc_id AS STRING) || ' at x -----' || chr(10)"
 LANDED_NAMES = ("'FS/data/anr/anr_' || CAST(doc_id AS STRING)", "'bugreport-' || CAST(doc_id AS STRING) || '.txt'")
 
 
 def landed_archives(spark: SparkSession, folder: str, place: str) -> None:
-    """One zip file per document below ``place``, written by the tasks that hold it."""
+    """One zip file per document in the folders of ``place``, which Spark lists in parallel; written by the tasks
+    that hold it."""
     import io
     import zipfile
+    import zlib
 
     from fleetfault.sources.members import put
 
@@ -353,7 +356,8 @@ def landed_archives(spark: SparkSession, folder: str, place: str) -> None:
                     z.writestr(row.dump_name, row.dump)
                     if row.doc_id % 6 != 5:
                         z.writestr(row.main_name, row.content)
-                put(f"{place}/{row.report_id}.zip", out.getvalue() if row.doc_id % 50 != 49 else b"broken")
+                at = f"{place}/{zlib.crc32(str(row.report_id).encode()) % LANDED_FOLDERS:03d}"
+                put(f"{at}/{row.report_id}.zip", out.getvalue() if row.doc_id % 50 != 49 else b"broken")
             yield pdf[["doc_id"]]
 
     rows = documents(spark, folder).select(

@@ -9,6 +9,7 @@ lines.  Files are reached through Arrow's file systems by the path that Spark's
 
 from __future__ import annotations
 
+import itertools
 import re
 import zipfile
 import zlib
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetfault.session import written
@@ -27,6 +28,10 @@ MEMBERS = (
     "is_trace boolean, is_crash boolean, error string"
 )
 SPLIT_BYTES = 64 * 1024 * 1024
+RUN_BYTES = 4 * 1024 * 1024  # packed members of an archive that one task reads in a row,
+RUN_MEMBERS = 4  # and how many of them
+BATCH_ROWS = 1024
+LISTED = "64k"  # what a file weighs when only its name and length are read: some 2,000 a task
 _BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError, KeyError, pa.ArrowInvalid)
 
 
@@ -35,6 +40,19 @@ def _schema(columns: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in columns.split(", "))])
 
 
+def _batches(rows: Iterator[dict], columns: str) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``BLOCK_BYTES`` of text and content."""
+    schema, held, size = _schema(columns), [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row.get("text") or "") + len(row.get("content") or b"")
+        if size >= BLOCK_BYTES or len(held) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
 def opened(path: str) -> pa.NativeFile:
     """A file that can be read from any place.  ``file:/x`` and ``file:///x`` are the same."""
     path = re.sub(r"^file:/+", "file:///", path)
@@ -52,8 +70,14 @@ def put(path: str, content: bytes) -> None:
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length)`` of all zip files below ``path``; no content is read."""
-    return zip_files(spark, path).select("path", "length")
+    """``(path, length)`` of all zip files below ``path``, written once; no content is read."""
+    weight = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(weight)
+    spark.conf.set(weight, LISTED)
+    try:
+        return written(zip_files(spark, path).select("path", "length"))
+    finally:
+        spark.conf.set(weight, before)
 
 
 def member_table(files: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
@@ -63,22 +87,24 @@ def member_table(files: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFr
     row with an ``error``.
     """
 
+    def directory(path: str) -> list[dict]:
+        told = {"report_id": path.rsplit("/", 1)[-1].removesuffix(".zip"), "path": path}
+        rows = []
+        try:
+            with opened(path) as file, zipfile.ZipFile(file) as archive:
+                for idx, info in enumerate(i for i in archive.infolist() if not i.is_dir()):
+                    main, trace, crash = member_class(info.filename)
+                    rows.append(told | dict(
+                        member_idx=idx, member=info.filename, length=info.file_size, packed=info.compress_size,
+                        is_main=main, is_trace=trace, is_crash=crash,
+                    ))
+        except _BROKEN as problem:
+            rows = [told | {"error": str(problem) or type(problem).__name__}]
+        return rows
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                told = {"report_id": path.rsplit("/", 1)[-1].removesuffix(".zip"), "path": path}
-                rows = []
-                try:
-                    with opened(path) as file, zipfile.ZipFile(file) as archive:
-                        for idx, info in enumerate(i for i in archive.infolist() if not i.is_dir()):
-                            main, trace, crash = member_class(info.filename)
-                            rows.append(told | dict(
-                                member_idx=idx, member=info.filename, length=info.file_size, packed=info.compress_size,
-                                is_main=main, is_trace=trace, is_crash=crash,
-                            ))
-                except _BROKEN as problem:
-                    rows = [told | {"error": str(problem) or type(problem).__name__}]
-                yield pa.RecordBatch.from_pylist(rows, _schema(MEMBERS))
+        paths = (path for batch in batches for path in batch.column(0).to_pylist())
+        return _batches((row for path in paths for row in directory(path)), MEMBERS)
 
     # A directory costs a seek, whatever the archive's size: deal archives out evenly.
     small = files.where(F.col("length") <= max_bytes).select("path").repartition(F.xxhash64("path"))
@@ -87,33 +113,56 @@ def member_table(files: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFr
 
 
 def read_members(members: DataFrame, block_bytes: int = BLOCK_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """``archives.BLOCKS`` of the members, each opened once; error rows stay as they are.
+    """``archives.BLOCKS`` of the members, each read once; error rows stay as they are.
 
-    Members are dealt out at random, in as many tasks as their packed sizes fill ``split_bytes`` (one pass
-    over the small table of members tells), so the members of one archive are read in many tasks.
-    A member whose bytes turn out broken gives one error row in place of its blocks.
+    Runs of up to ``RUN_MEMBERS`` members of an archive, of about ``RUN_BYTES``, are dealt out at random, in as many tasks as the packed
+    sizes fill ``split_bytes`` (one pass over the small table of members tells): a large archive is read in
+    many tasks, and a small one is opened once.  A member whose bytes turn out broken gives one error row
+    in place of the blocks that follow.
     """
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _schema(BLOCKS)
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["error"] is not None:
-                    yield pa.RecordBatch.from_pylist([{"report_id": row["report_id"], "error": row["error"]}], schema)
-                    continue
+    def broken(row: dict, problem: Exception) -> dict:
+        return {"report_id": row["report_id"], "error": str(problem) or type(problem).__name__}
+
+    def blocks_of(path: str, rows: Iterator[dict]) -> Iterator[dict]:
+        try:
+            file = opened(path)
+        except _BROKEN as problem:
+            yield from (broken(row, problem) for row in rows)
+            return
+        with file:
+            try:
+                archive = zipfile.ZipFile(file)
+                infos = [i for i in archive.infolist() if not i.is_dir()]
+            except _BROKEN as problem:
+                yield from (broken(row, problem) for row in rows)
+                return
+            for row in rows:
                 told = {name: row[name] for name in ("report_id", "member_idx", "member", "length", "is_main", "is_trace", "is_crash")}
                 try:
-                    with opened(row["path"]) as file, zipfile.ZipFile(file) as archive:
-                        infos = [i for i in archive.infolist() if not i.is_dir()]
-                        with archive.open(infos[row["member_idx"]]) as stream:
-                            for block in member_blocks(stream, told, block_bytes):
-                                yield pa.RecordBatch.from_pylist([block], schema)
+                    with archive.open(infos[row["member_idx"]]) as stream:
+                        yield from member_blocks(stream, told, block_bytes)
                 except _BROKEN as problem:
-                    yield pa.RecordBatch.from_pylist([{"report_id": row["report_id"], "error": str(problem) or type(problem).__name__}], schema)
+                    yield broken(row, problem)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for (path, failed), own in itertools.groupby(rows, lambda row: (row["path"], row["error"] is not None)):
+            if failed:
+                yield from ({"report_id": row["report_id"], "error": row["error"]} for row in own)
+            else:
+                yield from blocks_of(path, own)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(rows_of(batches), BLOCKS)
 
     total = members.agg(F.sum("packed")).first()[0] or 0
     tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // split_bytes))
-    return members.repartition(tasks, F.xxhash64("path", "member_idx")).mapInArrow(read, BLOCKS)
+    before = F.sum("packed").over(Window.partitionBy("path").orderBy("member_idx").rowsBetween(Window.unboundedPreceding, -1))
+    runs = members.withColumn("_run", F.floor(F.coalesce(before, F.lit(0)) / RUN_BYTES))
+    place = F.xxhash64("path", "_run", F.floor(F.col("member_idx") / RUN_MEMBERS))
+    dealt = runs.repartition(tasks, place).sortWithinPartitions("path", "member_idx")
+    return dealt.drop("_run").mapInArrow(read, BLOCKS)
 
 
 def read_reports(

@@ -197,6 +197,20 @@ def test_archives_by_member(spark, tmp_path):
     assert members.member_table(members.archive_files(spark, path).where("false")).count() == 0
 
 
+def test_small_archives_are_opened_once(spark, tmp_path):
+    """All members of a small archive are read by one task; few tasks list many files; folders are searched."""
+    for k in range(300):
+        (tmp_path / f"f{k % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"f{k % 7}" / f"a{k}.zip").write_bytes(zipped(**{"bugreport-x.txt": "a\nb", "FS/data/anr/anr_1": "c", "o": "d"}))
+    files = members.archive_files(spark, f"file:{tmp_path}")
+    assert files.count() == 300 and files.rdd.getNumPartitions() <= 8
+    assert spark.conf.get("spark.sql.files.openCostInBytes").rstrip("b") == str(4 << 20)
+    blocks = members.read_members(members.member_table(files))
+    placed = blocks.select("report_id", F.spark_partition_id().alias("task"))
+    read = placed.groupBy("report_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("task").alias("tasks")).collect()
+    assert len(read) == 300 and {(r.n, r.tasks) for r in read} == {(3, 1)}
+
+
 def test_python_workers_get_few_bytes_at_once(spark):
     """A batch of archives or texts is bounded by its bytes, not only by its rows."""
     big = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("content"))
