@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetfault.functions import reasons
@@ -366,43 +366,42 @@ def _library_hits() -> list[Column]:
     ]
 
 
-def _first_hits(fr: DataFrame, hits: list[Column], keys: Sequence[str]) -> DataFrame:
-    """Per thread the best hit: lowest strategy, then earliest frame."""
-    found = fr.select(*keys, "thread_no", F.explode(F.array(*hits)).alias("h")).where("h is not null")
-    best = found.groupBy(*keys, "thread_no").agg(F.min("h").alias("h"))
-    return best.select(*keys, "thread_no", "h.*")
-
-
 def _with_java(fr: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Frames with whether their thread has a Java frame outside ``android.os``."""
-    java = fr.where("not is_native and class_name <> '' and not startswith(class_name, 'android.os.')")
-    has = java.select(*keys, "thread_no").distinct().withColumn("_has_java", F.lit(True))
-    return fr.join(has, [*keys, "thread_no"], "left").fillna(False, ["_has_java"])
+    java = F.expr("not is_native and class_name <> '' and not startswith(class_name, 'android.os.')")
+    has = F.max(java).over(Window.partitionBy(*keys, "thread_no"))
+    return fr.withColumn("_has_java", F.coalesce(has, F.lit(False)))
 
 
-def _callers(hits: DataFrame, fr: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds the frame that made the call: later for proxies, anywhere in the stack for libraries."""
-    cls = F.col("class_name")
+def _caller_fits(hit: Column) -> Column:
+    """Whether a frame made the call of a hit: later for proxies, anywhere in the stack for libraries."""
+    cls, skip = F.col("class_name"), hit["skip"]
     plain = ~cls.startswith("android.os.")
     later = plain & ~cls.startswith("android.hidl.") & ~cls.contains("$Stub$Proxy") & ~cls.contains("HwBinder") & (
-        F.col("f_no") > F.col("frame_no")
-    ) & ~F.exists("skip", lambda s: (cls == s) | cls.startswith(F.concat(s, F.lit("$"))))
+        F.col("f_no") > hit["frame_no"]
+    ) & ~F.exists(skip, lambda s: (cls == s) | cls.startswith(F.concat(s, F.lit("$"))))
     anywhere = (cls != "") & plain & F.when(
-        F.col("strategy") == 4,
-        ~cls.startswith("android.hidl.") & (F.col("f_no") != F.col("frame_no")) & ~F.array_contains("skip", cls),
+        hit["strategy"] == 4,
+        ~cls.startswith("android.hidl.") & (F.col("f_no") != hit["frame_no"]) & ~F.array_contains(skip, cls),
     ).otherwise(True)
-    own = F.col("f_no") == F.col("frame_no")
-    fits = F.when(F.col("strategy") <= 2, later).when(F.col("strategy") <= 4, anywhere).otherwise(own)
-    java = fr.where("not is_native").select(
-        *keys, "thread_no", F.col("frame_no").alias("f_no"), "class_name", "method_name"
-    )
-    found = (
-        hits.join(java, [*keys, "thread_no"])
-        .where(fits)
-        .groupBy(*keys, "thread_no")
-        .agg(F.min_by(F.struct("class_name", "method_name"), "f_no").alias("_caller"))
-    )
-    return hits.join(found, [*keys, "thread_no"], "left")
+    return F.when(hit["strategy"] <= 2, later).when(hit["strategy"] <= 4, anywhere).otherwise(F.col("f_no") == hit["frame_no"])
+
+
+def _calls(fr: DataFrame, groups: Sequence[Sequence[Column]], keys: Sequence[str]) -> DataFrame:
+    """Per thread with a hit, for the k-th group of strategies, ``h<k>``: the best hit (lowest strategy, then
+    earliest frame) with ``_caller``, the frame that made the call.
+
+    All groups share one aggregate and one join: a task sorts the frames twice, however many there are.
+    """
+    thread, at = [*keys, "thread_no"], range(len(groups))
+    best = [F.array_min(F.array(*group)).alias(f"h{k}") for k, group in enumerate(groups)]
+    hits = fr.select(*thread, *best).where(" or ".join(f"h{k} is not null" for k in at))
+    hits = hits.groupBy(*thread).agg(*[F.min(f"h{k}").alias(f"h{k}") for k in at])
+    java = fr.where("not is_native").select(*thread, F.col("frame_no").alias("f_no"), "class_name", "method_name")
+    made = [F.min_by(F.struct("class_name", "method_name"), F.when(_caller_fits(F.col(f"h{k}")), F.col("f_no"))).alias(f"c{k}") for k in at]
+    found = hits.join(java, thread, "left").groupBy(*thread).agg(*[F.first(f"h{k}").alias(f"h{k}") for k in at], *made)
+    whole = [F.when(F.col(f"h{k}").isNotNull(), F.struct(f"h{k}.*", F.col(f"c{k}").alias("_caller"))).alias(f"h{k}") for k in at]
+    return found.select(*thread, *whole)
 
 
 def binder_targets(chosen: DataFrame, fr: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -425,14 +424,10 @@ def binder_targets(chosen: DataFrame, fr: DataFrame, keys: Sequence[str] = KEYS)
              _last_part(cls), _without_last(cls), F.col("method_name")),
     ]
     # A transact frame without a caller yields to the next strategies, as does an unnamed library.
-    direct = _callers(_first_hits(mine, hits[:1], keys), mine, keys)
-    transact = _callers(_first_hits(mine, hits[1:2], keys), mine, keys).where("_caller is not null")
-    library = _callers(_first_hits(mine, hits[2:5], keys), mine, keys).where("interface_name <> 'Unknown'")
-    fallback = _callers(_first_hits(mine, hits[5:], keys), mine, keys)
-    every = direct.unionByName(transact).unionByName(library).unionByName(fallback)
-    best = every.groupBy(*keys, "thread_no").agg(
-        F.min_by(F.struct("strategy", "interface_name", "package_name", "method", "_caller"), "strategy").alias("b")
-    )
+    calls = _calls(mine, [hits[:1], hits[1:2], hits[2:5], hits[5:]], keys)
+    best = calls.select(*keys, "thread_no", F.coalesce(
+        F.col("h0"), F.when(F.col("h1._caller").isNotNull(), F.col("h1")), F.when(F.col("h2.interface_name") != "Unknown", F.col("h2")), F.col("h3")
+    ).alias("b"))
     caller, is_transact = F.col("b._caller"), F.col("b.strategy") == 2
     proxy = F.nullif(F.regexp_extract(caller["class_name"], r"\.(I\w+)\$Stub\$Proxy\z", 1), F.lit(""))
     rows = chosen.select(*keys, "thread_no").distinct().join(best, [*keys, "thread_no"], "left")
@@ -463,7 +458,7 @@ def suspected_targets(
         .select(*keys, "thread_no", F.col("name").alias("thread_name"), F.col("state").alias("thread_state"))
     )
     mine = _with_java(fr.join(stuck, [*keys, "thread_no"], "left_semi"), keys)
-    targets = _callers(_first_hits(mine, _library_hits(), keys), mine, keys).where("interface_name <> 'Unknown'")
+    targets = _calls(mine, [_library_hits()], keys).select(*keys, "thread_no", "h0.*").where("interface_name <> 'Unknown'")
     told = stuck.join(targets, [*keys, "thread_no"]).select(
         *keys, "thread_no", "thread_name", "thread_state", "interface_name", "package_name", "method",
         F.coalesce("_caller.class_name", F.lit("")).alias("caller_class"),

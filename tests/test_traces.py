@@ -144,6 +144,25 @@ def test_targets(parsed):
     )
 
 
+def test_all_strategies_share_their_joins(spark):
+    """A task sorts the frames for each join, so the strategies must not join them one by one."""
+    rows = [
+        ("r", "t", 1, 1, "", "", True, "native: #00 pc 01 /lib64/libbinder.so"),
+        ("r", "t", 1, 2, "android.os.BinderProxy", "transact", False, "at android.os.BinderProxy.transact(BinderProxy.java:5)"),
+        ("r", "t", 1, 3, "com.x.IThing$Stub$Proxy", "ask", False, "at com.x.IThing$Stub$Proxy.ask(IThing.java:7)"),
+        ("r", "t", 1, 4, "com.x.App", "run", False, "at com.x.App.run(App.java:9)"),
+        ("r", "t", 2, 5, "com.y.Calc", "loop", False, "at com.y.Calc.loop(Calc.java:9)"),
+    ]
+    fr = spark.createDataFrame(rows, "report_id string, trace_id string, thread_no long, frame_no long, class_name string, "
+                                     "method_name string, is_native boolean, raw string")
+    chosen = spark.createDataFrame([("r", "t", k) for k in (1, 2, 3)], "report_id string, trace_id string, thread_no long")
+    found = traces.binder_targets(chosen, fr)
+    assert 0 < found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
+    got = {r.thread_no: (r.interface_name, r.method, r.caller_class, r.caller_method) for r in found.collect()}
+    assert got[2] == ("Calc", "loop", "com.y.Calc", "loop") and got[3] == ("Unknown", "", "", "")
+    assert got[1][2:] == ("com.x.App", "run")
+
+
 def test_frame_view(spark):
     raws = [
         "#01 pc 000b /system/lib64/libui.so (android::A::b(int, long)+26) (BuildId: ab)",
