@@ -151,7 +151,9 @@ def _dumps(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def _reasoned(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    t["threads"], t["frames"] = materialize(t["threads"]), materialize(t["frames"])
+    # Many readers: the lines are made and split into threads once.
+    t["heads"], t["owned"] = written(t["heads"]), written(t["owned"])
+    t["threads"], t["frames"] = materialize(traces.threads(t["owned"])), materialize(traces.frames(t["owned"]))
     t["cycles"] = materialize(traces.deadlocks(t["threads"]))
     t["pool"] = traces.binder_pool(t["threads"], t["frames"])
     t["evidence"] = materialize(traces.stack_evidence(t["frames"]))

@@ -177,3 +177,15 @@ def test_frame_view(spark):
     assert rows[0].func_name == "A::b" and rows[1].show_class == "com.android.server.Gnss" and rows[1].show_method == "start"
     assert [r.is_framework for r in rows] == [False, False, True, True, False]
     assert traces.hot_frames(traces.frame_view(df)).where(F.col("function") == "android.os.Looper.loop").count() == 1
+
+
+def test_lines_of_dumps_are_made_once(spark, tmp_path):
+    """What many steps read comes from written tables, not from the source again."""
+    from fleetfault.plans import queries
+
+    rows = [(k, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")[k % 5]) for k in range(120)]
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    t = queries._reasoned(queries._dumps(spark, str(tmp_path)))
+    assert t["heads"].count() == 3 and t["threads"].count() == 120
+    for name in ("heads", "owned"):
+        assert t[name].inputFiles() and not any("customer.parquet" in f for f in t[name].inputFiles())
