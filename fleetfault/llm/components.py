@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetfault.llm.words import resting
 from fleetfault.session import written
 
 CHUNK = 1 << 20  # edges that a task holds
@@ -71,18 +72,22 @@ def components(edges: DataFrame) -> DataFrame:
     very many neighbours is summed before the shuffle and its join is split.
     """
     schema = "a long, b long"
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return resting(_forest(batches))
+
     # Loops stay in: they name the nodes without other edges.
-    current = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, schema))
+    current = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(forest, schema))
     left = current.count()
     while left > CHUNK:
         tasks = -(-left // CHUNK)
-        merged = written(current.repartition(tasks, F.greatest("a", "b")).mapInArrow(_forest, schema))
+        merged = written(current.repartition(tasks, F.greatest("a", "b")).mapInArrow(forest, schema))
         before, left = left, merged.count()
         current = merged
         if left > 0.7 * before:
             break
     if left <= CHUNK:
-        return written(current.coalesce(1).mapInArrow(_forest, schema)).select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return written(current.coalesce(1).mapInArrow(forest, schema)).select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     nodes = written(current.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     current = written(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetfault.llm.sketch import bloom, maybe_in
-from fleetfault.llm.words import slices, span_hashes, text_bytes, window_hashes, word_spans
+from fleetfault.llm.words import resting, slices, span_hashes, text_bytes, window_hashes, word_spans
 from fleetfault.session import scratch_folder
 
 SEED = 5
@@ -114,7 +114,7 @@ def contaminated(
     path = scratch_folder(spark)
     source = benchmark.select(F.col(item_column).alias("item_id"), F.xxhash64(item_text).alias("item_hash"), F.col(item_text).alias("text"))
     source.mapInArrow(
-        split, f"item_id {kind}, item_hash long, n_words long, least int, item binary, grams array<long>"
+        lambda batches: resting(split(batches)), f"item_id {kind}, item_hash long, n_words long, least int, item binary, grams array<long>"
     ).where("n_words > 0").write.parquet(path)
     items = spark.read.parquet(path).dropDuplicates(["item_id", "item_hash"])
     seeds = items.select("item_id", "item_hash", "n_words", F.explode("grams").alias("gram"))
@@ -154,7 +154,7 @@ def contaminated(
     kind = docs.schema[id_column].dataType.simpleString()
     path = scratch_folder(spark)
     plain = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
-    plain.mapInArrow(touched, f"doc_id {kind}, text_hash long, words binary, grams array<long>").write.parquet(path)
+    plain.mapInArrow(lambda batches: resting(touched(batches)), f"doc_id {kind}, text_hash long, words binary, grams array<long>").write.parquet(path)
     # A row for each different text, whatever its ids: copies are tiled once.
     hit = spark.read.parquet(path)
     once = hit.select("text_hash", "words", "grams").dropDuplicates(["text_hash"])
@@ -192,7 +192,7 @@ def contaminated(
 
     kind = benchmark.schema[item_column].dataType.simpleString()
     found = both.select("text_hash", "item_id", "n_words", "words", "item", "least").mapInArrow(
-        tiled,
+        lambda batches: resting(tiled(batches)),
         f"text_hash long, item_id {kind}, n_words long, n_covered long, tiles array<struct<at: long, item_at: long, length: long>>",
     )
     named = hit.select("doc_id", "text_hash").distinct()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fleetfault.llm.components import components
 from fleetfault.llm.sketch import SCHEMA, bloom, maybe_in, merged, pieces
-from fleetfault.llm.words import release_stores, scatter, slices, span_hashes, text_bytes, window_hashes, word_spans
+from fleetfault.llm.words import release_stores, resting, scatter, slices, span_hashes, text_bytes, window_hashes, word_spans
 from fleetfault.operators.ordering import top_rows
 from fleetfault.session import written
 
@@ -82,7 +82,7 @@ def _rarity(docs: DataFrame, size: int) -> np.ndarray:
                 np.add.at(counts, (grams & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
         yield pieces(counts)
 
-    counts = merged(docs.select("text").mapInArrow(counted, SCHEMA), COUNTERS, np.int32, np.add)
+    counts = merged(docs.select("text").mapInArrow(lambda batches: resting(counted(batches)), SCHEMA), COUNTERS, np.int32, np.add)
     return np.clip(np.log2(np.maximum(counts, 1) / max(2 * counts.mean(), 4)) + 1, 0, 63).astype(np.uint8)
 
 
@@ -115,7 +115,7 @@ def _profiles(docs: DataFrame, size: int, percent: int, rarity: np.ndarray) -> D
                 names=["id", "doc_id", "n", "s1", "s2", "p", "prefix"],
             )
 
-    return docs.mapInArrow(profiled, "id long, doc_id long, n long, s1 long, s2 long, p long, prefix array<long>")
+    return docs.mapInArrow(lambda batches: resting(profiled(batches)), "id long, doc_id long, n long, s1 long, s2 long, p long, prefix array<long>")
 
 
 def _ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -140,7 +140,8 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 )
 
     # Equal keys have equal sets.
-    return written(docs.select("id", "text").mapInArrow(sets, "id long, grams binary").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    made = docs.select("id", "text").mapInArrow(lambda batches: resting(sets(batches)), "id long, grams binary")
+    return written(made.join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -164,7 +165,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
 
     with_b = pairs.select("a", "b").join(kept.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = with_b.join(kept.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long, link boolean")
+    return both.select("a", "b", "x", "y").mapInArrow(lambda batches: resting(compared(batches)), "a long, b long, link boolean")
 
 
 def block_links(ids: np.ndarray, labels: np.ndarray, outside: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -250,7 +251,7 @@ def _within(docs: DataFrame, near: DataFrame, labels: DataFrame, size: int, perc
             yield flush()
 
     ordered = dealt.select("k", "i", "j", "id", "g", "outside", "grams").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return ordered.mapInArrow(linked, "a long, b long")
+    return ordered.mapInArrow(lambda batches: resting(linked(batches)), "a long, b long")
 
 
 def _demand(percent: int) -> str:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fleetfault.llm.words import scatter
+from fleetfault.llm.words import resting, scatter
 
 PIECES = 64
 SCHEMA = "piece int, counts binary"
@@ -45,7 +45,7 @@ def merged(parts: DataFrame, size: int, kind: type, merge: np.ufunc) -> np.ndarr
             )
 
     out = np.zeros(size, kind).reshape(PIECES, -1)
-    for row in parts.repartition(PIECES, "piece").mapInArrow(add, SCHEMA).collect():
+    for row in parts.repartition(PIECES, "piece").mapInArrow(lambda tables: resting(add(tables)), SCHEMA).collect():
         out[row["piece"]] = np.frombuffer(row["counts"], kind)
     return out.ravel()
 
@@ -69,7 +69,7 @@ def bloom(keys: DataFrame) -> np.ndarray:
                     seen[at] = 1
         yield pieces(np.packbits(seen))
 
-    return merged(keys.mapInArrow(marked, SCHEMA), BLOOM_BITS // 8, np.uint8, np.bitwise_or)
+    return merged(keys.mapInArrow(lambda batches: resting(marked(batches)), SCHEMA), BLOOM_BITS // 8, np.uint8, np.bitwise_or)
 
 
 def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -82,6 +82,25 @@ def test_resting_task_gives_memory_back(monkeypatch):
     module._give_back()
 
 
+def test_tasks_before_the_shards_rest(spark, messy, words, monkeypatch):
+    """What the n-gram join and the decontamination leave in their workers is given back, too."""
+    from fleetfault.llm import components, jaccard, sketch
+
+    rested = {}
+    for module in (jaccard, sketch, components, decontam):
+        rested[module] = seen = spark.sparkContext.accumulator(0)
+
+        def noted(batches, seen=seen):
+            seen.add(1)
+            yield from batches
+
+        monkeypatch.setattr(module, "resting", noted)
+    jaccard.one_of_each(messy).count()
+    items = spark.createDataFrame([(1, " ".join(words[:30]))], "item_id long, text string")
+    decontam.clean(messy, items).count()
+    assert all(seen.value for seen in rested.values())
+
+
 def test_encoder_equals_library():
     rng = random.Random(2)
     parts = ["a", "b.", " ", "A.", "'s", ",x", "\n", "é", "漢", "<|endoftext|>", "<|ENDOFTEXT|>", "e", "́", "th", "\t", "😀", "|",
