@@ -13,6 +13,7 @@ writes can hold them and a lost task leaves no half file behind.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,9 +30,11 @@ from fleetfault.session import scratch_folder
 END_ID = 2
 SHARD_IDS = 1 << 21  # a shard ends with the text that reaches so many ids
 BLOCK = 1 << 16  # bits of a plane between two entries of the rank directory
-SLICE_BYTES = 4 << 20  # texts encoded at once; equal spans among them are looked up once
+SLICE_BYTES = 4 << 20  # texts between two looks at whether the shard is full
+CODED_BYTES = 2 << 20  # texts encoded at once; equal spans among them are looked up once
 KEPT_SPANS = 1 << 20  # spans a worker remembers before it starts anew; no influence on results
 MAGIC = b"FWM1"
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")  # letters that no normal form changes, one capital to one small letter
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -44,17 +47,19 @@ def write_file(ids: np.ndarray, keys: np.ndarray, missing: np.ndarray, lengths:
     kind = np.uint16 if bits <= 16 else np.uint32
     level, parts, sizes, zeros, ranks = ids.astype(kind), [], [], [], []
     for plane in range(bits - 1, -1, -1):
-        bit = (level >> kind(plane)) & kind(1) != 0
-        packed = np.packbits(bit, bitorder="little").tobytes()
-        before = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)[BLOCK - 1 :: BLOCK]]).astype(np.uint32)
+        bit = (level & kind(1 << plane)).astype(bool)
+        bytewise = np.packbits(bit, bitorder="little")
+        full = np.bitwise_count(bytewise[: len(bit) // BLOCK * (BLOCK // 8)]).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
+        before = np.concatenate([[0], np.cumsum(full)]).astype(np.uint32)
+        packed = bytewise.tobytes()
         blocks = [packed[k : k + BLOCK // 8] for k in range(0, len(packed), BLOCK // 8)]
         stored = [min(b, zlib.compress(b, 1), key=len) for b in blocks] if _worth_packing(blocks) else blocks
         parts += stored
         sizes.append([len(b) for b in stored])
         ranks.append(before)
-        low = level[~bit]
+        low = level.compress(~bit)
         zeros.append(len(low))
-        level = np.concatenate([low, level[bit]])
+        level = np.concatenate([low, level.compress(bit)])
     side = [_packed(x) for x in (keys.astype(np.int64), missing.astype(np.uint8), lengths.astype(np.int64),
                                  np.array(zeros, np.int64), np.array(sizes, np.uint32), np.array(ranks, np.uint32))]
     head = struct.pack("<4sQQB6I", MAGIC, len(ids), len(keys), bits, *map(len, side))
@@ -147,8 +152,8 @@ class Shard:
             blocks = [self.block(plane, k) for k in range(self.sizes.shape[1])]
             bit = (np.concatenate(blocks) if blocks else np.zeros(0, np.uint8)).astype(bool)
             above, low = np.empty_like(level), int(self.zeros[plane])
-            above[~bit] = level[:low]
-            above[bit] = level[low:] | kind(1 << (self.bits - 1 - plane))
+            above[np.flatnonzero(~bit)] = level[:low]
+            above[np.flatnonzero(bit)] = level[low:] | kind(1 << (self.bits - 1 - plane))
             level = above
         return level
 
@@ -161,8 +166,8 @@ class SpanEncoder:
     """Ids of texts by a ``tokenizers`` file, each distinct span encoded once per worker.
 
     A tokenizer that drops blanks and never joins across them is fed words, without regard
-    to the case of A-Z where it folds case, cut once more between a letter and the comma
-    or full stop after it.  Any other tokenizer is fed whole texts.
+    to the case of A-Z where it folds case, cut once more between a letter and the ASCII
+    mark after it.  Any other tokenizer is fed whole texts.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -175,43 +180,95 @@ class SpanEncoder:
         self.folds = self.by_word and '"Lowercase"' in json.dumps(setup.get("normalizer"))
         special = [x for x in setup.get("added_tokens", []) if x["special"] and "|" in x["content"] and x["content"] == x["content"].strip()]
         self.mark = (special[0]["content"], special[0]["id"]) if special else None
+        # Not cut before an apostrophe, which may begin a contraction, nor within a string that is matched before words are.
+        inside = "'" + "".join(x["content"] for x in setup.get("added_tokens", []))
+        self.marks = np.zeros(256, bool)
+        self.marks[[k for k in range(0x21, 0x7F) if not chr(k).isalnum() and chr(k) not in inside]] = True
+        self.plain = self._plain(setup) if self.folds else None
         self.clear()
 
+    def _plain(self, setup: dict):
+        """The same model fed small letters and blanks alone, without the steps that leave them as they are; None
+        where that is not known.  The last id of a word is one of those that end words."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        model, added = setup["model"], [x["content"] for x in setup.get("added_tokens", [])]
+        known = (
+            [(x["type"], x.get("pattern")) for x in setup["normalizer"].get("normalizers", [])]
+            == [("NFC", None), ("Replace", {"Regex": "\\s+"}), ("Lowercase", None)]
+            and [x["type"] for x in setup["pre_tokenizer"].get("pretokenizers", [])] == ["Split", "ByteLevel"]
+            and model["type"] == "BPE" and model.get("end_of_word_suffix") and not model.get("dropout")
+            and not any(PLAIN.fullmatch(x) for x in added)
+        )
+        if not known:
+            return None
+        split, level = setup["pre_tokenizer"]["pretokenizers"]
+        first, _, _ = split["pattern"].get("Regex", "").partition("[\\p{L}]+")
+        if level["add_prefix_space"] or level["use_regex"] or not re.fullmatch("('[a-z]+\\|)*", first):
+            return None
+        ends = [k for word, k in model["vocab"].items() if word.endswith(model["end_of_word_suffix"])]
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[ends] = True
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        return plain
+
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.names, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known spans, in order of their names
+        self.fresh: list[np.ndarray] = []
+        self.count = 0
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def learn(self, names: list[int], texts: list[str]) -> None:
-        """Encode new spans.  Many go in one call, held apart by a special token that they
-        cannot contain (no bar), since calls cost more than short words."""
+    def learn(self, names: np.ndarray, texts: list[str]) -> None:
+        """Encode new spans.  Many go in one call, held apart by blanks if they are letters alone, or else by a
+        special token that they cannot contain (no bar), since calls cost more than short words."""
         mark = self.mark if self.by_word else None
-        whole = [k for k, text in enumerate(texts) if mark is None or "|" in text]
+        rest = range(len(texts))
+        if self.plain:
+            words = [bool(PLAIN.fullmatch(x)) for x in texts]
+            letters, rest = np.flatnonzero(words), np.flatnonzero(~np.array(words, bool)).tolist()
+            for low in range(0, len(letters), 4096):
+                part = letters[low : low + 4096]
+                joined = " ".join([texts[k] for k in part]).lower()
+                ids = np.array(self.plain.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                at = np.flatnonzero(self.ends[ids])
+                if len(at) == len(part):
+                    self.keep(names[part], ids, np.diff(at, prepend=-1))
+                else:  # a letter that the model lacks
+                    rest += part.tolist()
+        whole = [k for k in rest if mark is None or "|" in texts[k]]
         for low in range(0, len(whole), 1024):
             part = whole[low : low + 1024]
             coded = [x.ids for x in self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)]
-            self.keep([names[k] for k in part], sum(coded, []), list(map(len, coded)))
-        if mark is None:
-            return
+            self.keep(names[part], sum(coded, []), list(map(len, coded)))
         apart = set(whole)
-        short = [k for k in range(len(texts)) if k not in apart] if apart else range(len(texts))
+        short = [k for k in rest if k not in apart]
         for low in range(0, len(short), 4096):
             part = short[low : low + 4096]
             joined = mark[0].join([texts[k] for k in part])
             ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
             at = np.flatnonzero(ids == mark[1])
             sizes = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
-            self.keep([names[k] for k in part], np.delete(ids, at), sizes)
-
-    def keep(self, names: list[int], ids, sizes) -> None:
+            self.keep(names[part], np.delete(ids, at), sizes)
+        both = np.concatenate([self.names, *self.fresh])
+        order = np.argsort(both)
+        self.names = both[order]
+        self.entry = np.concatenate([self.entry, np.arange(len(self.entry), len(both))])[order]
+        self.fresh = []
+
+    def keep(self, names: np.ndarray, ids, sizes) -> None:
         """Append the ids of spans to the pool, which grows by doubling."""
-        first, sizes = len(self.known), np.asarray(sizes, np.int64)
+        first, sizes = self.count, np.asarray(sizes, np.int64)
         self.pool = _grown(self.pool, self.used + len(ids))
         self.start, self.length = _grown(self.start, first + len(names)), _grown(self.length, first + len(names))
         self.pool[self.used : self.used + len(ids)] = ids
         self.length[first : first + len(names)] = sizes
         self.start[first : first + len(names)] = self.used + np.cumsum(sizes) - sizes
-        self.known.update(zip(names, range(first, first + len(names))))
+        self.fresh.append(names)
+        self.count += len(names)
         self.used += len(ids)
 
     def spans(self, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,9 +276,10 @@ class SpanEncoder:
             rows = np.flatnonzero(borders[1:] > borders[:-1])
             return rows, borders[:-1][rows], borders[1:][rows]
         rows, starts, ends = word_spans(data, borders)
-        letter = (data | 0x20) - np.uint8(97) < 26
-        stop = (data == 0x2C) | (data == 0x2E)
-        cut = np.flatnonzero(letter[:-1] & stop[1:]) + 1
+        cut = np.flatnonzero(self.marks[data[1:]]) + 1
+        last, lead = data[cut - 1], data[np.maximum(cut - 2, 0)]
+        beyond = (lead == 0xC3) & (last >> 6 == 2) & (last != 0x97) & (last != 0xB7)  # À to ÿ
+        cut = cut[((last | 0x20) - np.uint8(97) < 26) | beyond]
         owner = np.searchsorted(starts, cut, "right") - 1
         inner = (owner >= 0) & (cut > starts[owner]) & (cut < ends[owner])  # a text may end between the two
         cut, owner = cut[inner], owner[inner]
@@ -237,21 +295,35 @@ class SpanEncoder:
         if self.folds:  # special strings are matched before case is folded, and hold a bar
             barred = np.unique(np.searchsorted(starts, np.flatnonzero(data == 0x7C), "right") - 1)
             names[barred] = ~span_hashes(data, starts[barred], ends[barred])
-        unique, at, back = np.unique(names, return_index=True, return_inverse=True)
-        listed = unique.tolist()
-        if len(self.known) > KEPT_SPANS:
+        order = np.argsort(names)
+        ordered = names[order]
+        first = np.ones(len(names), bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        unique, at = ordered[first], order[first]
+        if len(self.names) > KEPT_SPANS:
             self.clear()
-        new = [k for k, name in enumerate(listed) if name not in self.known]
-        raw = data.tobytes()
-        self.learn([listed[k] for k in new], [raw[starts[at[k]] : ends[at[k]]].decode("utf-8", "replace") for k in new])
-        entry = np.fromiter(map(self.known.__getitem__, listed), np.int64, len(listed))[back]
+        place = np.searchsorted(self.names, unique)
+        new = np.ones(len(unique), bool)
+        inner = place < len(self.names)
+        new[inner] = self.names[place[inner]] != unique[inner]
+        if new.any():
+            raw = data.tobytes()
+            self.learn(unique[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            place = np.searchsorted(self.names, unique)
+        entry = np.empty(len(names), np.int64)
+        entry[order] = self.entry[place][np.cumsum(first) - 1]
         length = self.length[entry]
         stop = np.cumsum(length)
         total = int(stop[-1]) if len(stop) else 0
-        source = np.repeat(self.start[entry] - (stop - length), length) + np.arange(total)
-        out = np.full(total + n, end_id, np.uint32)
-        out[np.arange(total) + np.repeat(rows, length)] = self.pool[source]
         sizes = np.bincount(rows, weights=length, minlength=n).astype(np.int64) + 1
+        last = np.cumsum(sizes) - 1
+        inside = np.ones(total + n, bool)
+        inside[last] = False
+        source = np.repeat(self.start[entry] - (stop - length), length)
+        source += np.arange(total)
+        out = np.empty(total + n, np.uint32)
+        out[np.flatnonzero(inside)] = self.pool[source]
+        out[last] = end_id
         return out, sizes
 
 
@@ -294,11 +366,12 @@ def write_shards(
             key = np.asarray(key.fill_null(0))
             data, borders = text_bytes(batch.column(1))
             for low, high in slices(borders, min(SLICE_BYTES, 2 * shard_ids)):
-                part = data[borders[low] : borders[high]]
-                ids, sizes = store["encoder"].encode(part, borders[low : high + 1] - borders[low], end_id)
-                for piece, value in zip(kept, (ids, key[low:high], absent[low:high], sizes)):
-                    piece.append(value)
-                held += len(ids)
+                edges = borders[low : high + 1]
+                for a, b in slices(edges, CODED_BYTES):
+                    ids, sizes = store["encoder"].encode(data[edges[a] : edges[b]], edges[a : b + 1] - edges[a], end_id)
+                    for piece, value in zip(kept, (ids, key[low + a : low + b], absent[low + a : low + b], sizes)):
+                        piece.append(value)
+                    held += len(ids)
                 if held >= shard_ids:
                     yield flush(shard, *kept)
                     shard, held, kept = shard + 1, 0, ([], [], [], [])

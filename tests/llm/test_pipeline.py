@@ -111,6 +111,44 @@ def test_encoder_equals_library():
         assert ids[end - size : end].tolist() == coded(text)
 
 
+def test_marks_beside_letters():
+    texts = ["casa### fin*** été!! É# ÿ. a=\u0338b é<\u0338 don't can't! x'S# 'll; ªº! ß_ ŉ? İ! ×! ÷, é\u0301! 5a%b", "",
+             "<|endoftext|># a|b# |x|, K! ſ's, é\u00a0! a<|startoftext|>b <|endoftext|"]
+    encoder = wavelet.SpanEncoder(WORD_FILE)
+    for part in (texts, [x.upper() for x in texts], texts[::-1]):
+        ids, sizes = encoder.encode(*text_bytes(pa.array(part)), 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [coded(x) for x in part]
+
+
+def test_letters_are_fed_to_the_model_alone():
+    encoder = wavelet.SpanEncoder(WORD_FILE)
+    list(encoder.encode(*text_bytes(pa.array(["### !!"])), 2))
+    encoder.tokenizer = None  # its normal forms and patterns cost more than its merges
+    texts = ["casa###", "Straße Über a señor!!", "b"]
+    assert encoder.encode(*text_bytes(pa.array(texts)), 2)[0].tolist() == sum(map(coded, texts), [])
+
+
+def test_letters_that_the_model_lacks_are_fed_as_before():
+    encoder = wavelet.SpanEncoder(WORD_FILE)
+    encoder.ends[LIBRARY.encode("zebra").ids[-1]] = False
+    texts = ["casa zebra", "zebra fin"]
+    assert encoder.encode(*text_bytes(pa.array(texts)), 2)[0].tolist() == sum(map(coded, texts), [])
+
+
+def test_known_spans_take_little_memory():
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = pa.array([" ".join("".join(rng.choices("aeimnorst", k=9)) for _ in range(500)) for _ in range(100)])
+    encoder = wavelet.SpanEncoder(WORD_FILE)
+    tracemalloc.start()
+    for k in range(100):
+        encoder.encode(*text_bytes(texts[k : k + 1]), 2)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 110 * 50_000
+
+
 # Token counts
 
 
