@@ -10,6 +10,7 @@ lines.  Files are reached through Arrow's file systems by the path that Spark's
 from __future__ import annotations
 
 import itertools
+import os
 import re
 import zipfile
 import zlib
@@ -20,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetfault.session import written
+from fleetfault.session import scratch_folder, written
 from fleetfault.sources.archives import BLOCK_BYTES, BLOCKS, MAX_ARCHIVE_BYTES, member_class, member_blocks, oversize_rows, zip_files
 
 MEMBERS = (
@@ -32,6 +33,7 @@ RUN_BYTES = 4 * 1024 * 1024  # packed members of an archive that one task reads
 RUN_MEMBERS = 4  # and how many of them
 BATCH_ROWS = 1024
 LISTED = "64k"  # what a file weighs when only its name and length are read: some 2,000 a task
+ENTRIES = "name string, length long"  # of a folder, below the root; a folder's length is null
 _BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError, KeyError, pa.ArrowInvalid)
 
 
@@ -69,15 +71,75 @@ def put(path: str, content: bytes) -> None:
         out.write(content)
 
 
-def archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length)`` of all zip files below ``path``, written once; no content is read."""
-    weight = "spark.sql.files.openCostInBytes"
-    before = spark.conf.get(weight)
-    spark.conf.set(weight, LISTED)
+def _entries(root: str, below: str) -> Iterator[dict]:
+    """``ENTRIES`` of one folder; a local one is streamed."""
+    if local := re.match(r"file:/+", root):
+        with os.scandir("/" + root[local.end() :] + below) as found:
+            for entry in found:
+                try:
+                    entry.name.encode()
+                    yield {"name": f"{below}/{entry.name}", "length": None if entry.is_dir() else entry.stat().st_size}
+                except (OSError, UnicodeEncodeError):  # a link to nothing or in a circle, a name that no path can hold
+                    continue
+    else:
+        system, place = fs.FileSystem.from_uri(root)
+        for info in system.get_file_info(fs.FileSelector(place + below)):
+            if info.type in (fs.FileType.Directory, fs.FileType.File):
+                yield {"name": f"{below}/{info.base_name}", "length": info.size}
+
+
+def _taken(entry: dict) -> bool:
+    """Folders, and zip files that are not empty, without the hidden names that Spark's listing leaves out."""
+    name = entry["name"].rpartition("/")[2]
+    hidden = name.startswith(".") or name.startswith("_") and "=" not in name
+    if entry["length"] is None:
+        return name.startswith(("_metadata", "_common_metadata")) or not (hidden or name.endswith("._COPYING_"))
+    return name.endswith(".zip") and entry["length"] > 0 and not hidden
+
+
+def _root(spark: SparkSession, path: str) -> str | None:
+    """The whole path of one folder, null where only Spark can list: a pattern, a file, a store unknown to Arrow."""
+    if re.search(r"[{}\[\]*?\\]", path):
+        return None
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not store.exists(place) or not store.getFileStatus(place).isDirectory():
+        return None
+    root = store.makeQualified(place).toString().rstrip("/")
     try:
-        return written(zip_files(spark, path).select("path", "length"))
-    finally:
-        spark.conf.set(weight, before)
+        return root if root.startswith("file:") or fs.FileSystem.from_uri(root) else None
+    except (OSError, pa.ArrowException):
+        return None
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length)`` of all zip files below ``path``, written once; no content is read.
+
+    Tasks list the folders, one level of them after the other, so the driver holds no names: Spark's own
+    listing keeps every file in its memory.  It is left to Spark only where Arrow does not know the store.
+    """
+    root = _root(spark, path)
+    if root is None:
+        weight = "spark.sql.files.openCostInBytes"
+        before = spark.conf.get(weight)
+        spark.conf.set(weight, LISTED)
+        try:
+            return written(zip_files(spark, path).select("path", "length"))
+        finally:
+            spark.conf.set(weight, before)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders = (name for batch in batches for name in batch.column(0).to_pylist())
+        return _batches((row for name in folders for row in _entries(root, name) if _taken(row)), ENTRIES)
+
+    tasks, levels = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    folders = spark.range(1).select(F.lit("").alias("name"))
+    while not levels or not folders.isEmpty():
+        levels.append(scratch_folder(spark))
+        folders.repartition(tasks, F.xxhash64("name")).mapInArrow(listed, ENTRIES).write.parquet(levels[-1])
+        folders = spark.read.schema(ENTRIES).parquet(levels[-1]).where("length is null").select("name")
+    files = spark.read.schema(ENTRIES).parquet(*levels).where("length is not null")
+    return files.select(F.concat(F.lit(root), "name").alias("path"), "length")
 
 
 def member_table(files: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:

@@ -211,6 +211,33 @@ def test_small_archives_are_opened_once(spark, tmp_path):
     assert len(read) == 300 and {(r.n, r.tasks) for r in read} == {(3, 1)}
 
 
+def test_tasks_list_the_files(spark, tmp_path):
+    """The files are those of Spark's listing: odd and hidden names, links, folders of any depth."""
+    names = ["a.zip", "_a.zip", "_k=1.zip", ".h.zip", "_metadata.zip", "b.ZIP", "c.zip._COPYING_", "e f.zip", "p%20q.zip", "s+t.zip", "#h.zip",
+             "n\nl.zip", "_d/in.zip", "_metadata/in.zip", "_k=2/in.zip", ".d/in.zip", "d.zip/in.zip", "w._COPYING_/in.zip", "k=3/y.zip", "deep/er/st/x.zip"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    (tmp_path / "empty.zip").touch()
+    (tmp_path / "nothing").mkdir()
+    for link, to in (("link.zip", "a.zip"), ("more", "deep"), ("dead.zip", "gone")):
+        (tmp_path / link).symlink_to(tmp_path / to)
+    for path in (f"file:{tmp_path}", f"{tmp_path}/deep//er/", f"{tmp_path}/nothing", f"{tmp_path}/.d", f"{tmp_path}/a.zip", f"{tmp_path}/d*"):
+        got, want = members.archive_files(spark, path), archives.zip_files(spark, path).select("path", "length")
+        assert sorted(got.collect()) == sorted(want.collect())
+    assert members.archive_files(spark, str(tmp_path)).count() == 14
+    local, by_arrow = (sorted(str(x) for x in members._entries(root, "") if members._taken(x)) for root in (f"file:{tmp_path}", str(tmp_path)))
+    assert local == by_arrow and "{'name': '/deep', 'length': None}" in local and len(local) == 15
+
+
+def test_the_driver_does_not_list_archives(spark, tmp_path, monkeypatch):
+    (tmp_path / "f").mkdir()
+    for k in range(30):
+        (tmp_path / "f" / f"a{k}.zip").write_bytes(zipped(**{"bugreport-x.txt": "a\nb"}))
+    monkeypatch.setattr(members, "zip_files", None)
+    assert members.read_reports(spark, str(tmp_path)).where("error is null").count() == 30
+
+
 def test_python_workers_get_few_bytes_at_once(spark):
     """A batch of archives or texts is bounded by its bytes, not only by its rows."""
     big = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("content"))
