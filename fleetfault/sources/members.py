@@ -34,6 +34,7 @@ RUN_MEMBERS = 4  # and how many of them
 BATCH_ROWS = 1024
 LISTED = "64k"  # what a file weighs when only its name and length are read: some 2,000 a task
 ENTRIES = "name string, length long"  # of a folder, below the root; a folder's length is null
+TASK_ARCHIVES = 20_000  # whose directories one task reads
 _BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError, KeyError, pa.ArrowInvalid)
 
 
@@ -168,8 +169,10 @@ def member_table(files: DataFrame, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFr
         paths = (path for batch in batches for path in batch.column(0).to_pylist())
         return _batches((row for path in paths for row in directory(path)), MEMBERS)
 
-    # A directory costs a seek, whatever the archive's size: deal archives out evenly.
-    small = files.where(F.col("length") <= max_bytes).select("path").repartition(F.xxhash64("path"))
+    # A directory costs a seek, whatever the archive's size: deal archives out evenly.  The number of tasks is
+    # given, for by the few bytes of the paths Spark would make one task of them.
+    tasks = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // TASK_ARCHIVES))
+    small = files.where(F.col("length") <= max_bytes).select("path").repartition(tasks, F.xxhash64("path"))
     large = oversize_rows(files, max_bytes, "path").select("report_id", "path", "error")
     return small.mapInArrow(listed, MEMBERS).unionByName(large, allowMissingColumns=True)
 

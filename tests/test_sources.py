@@ -238,6 +238,14 @@ def test_the_driver_does_not_list_archives(spark, tmp_path, monkeypatch):
     assert members.read_reports(spark, str(tmp_path)).where("error is null").count() == 30
 
 
+def test_directories_are_read_in_many_tasks(spark, tmp_path):
+    """However few bytes the paths have, not one task opens all archives."""
+    for k in range(60):
+        (tmp_path / f"a{k}.zip").write_bytes(zipped(**{"bugreport-x.txt": "a\nb"}))
+    table = members.member_table(members.archive_files(spark, str(tmp_path)))
+    assert table.where("error is null").select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_python_workers_get_few_bytes_at_once(spark):
     """A batch of archives or texts is bounded by its bytes, not only by its rows."""
     big = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("content"))
